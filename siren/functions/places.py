@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siren import lexicons as L
-from siren.functions.text import SPACE, SPACE_CHARS, WORD, WORD_CHARS, _col, strip_space, text_or_empty
+from siren.functions.text import (
+    NON_ASCII, SPACE, SPACE_CHARS, WORD, WORD_CHARS, _col, is_ascii, strip_space, text_or_empty,
+)
 
 # Java's word boundary is ASCII only; these are its Unicode form.
 START = f"(?<!{WORD})"
 END = f"(?!{WORD})"
 
-# Patterns (fixed values).
-CITY_STATE = f"{START}([A-Z][a-zA-Z{SPACE_CHARS}]{{2,20}}),{SPACE}*([A-Z]{{2}}|[A-Z][a-z]+){END}"
-PLACE_WITH_HAZARD = f"([A-Z][a-z]+(?:[A-Z][a-z]+)?)(?:{'|'.join(L.HAZARD_SUFFIXES)})"
-PLACE_WORD = "([A-Z][a-z]{2,14})"
+# Patterns (fixed values). A look at the first letter comes before the look behind it, which costs more.
+CITY_STATE = f"(?=[A-Z]){START}[A-Z][a-zA-Z{SPACE_CHARS}]{{2,20}},{SPACE}*(?:[A-Z]{{2}}|[A-Z][a-z]+){END}"
+HAZARDS = "|".join(L.HAZARD_SUFFIXES)
+PLACE_TAG = rf"(?:^|\s)#*([A-Z][a-z]+(?:[A-Z][a-z]+)?(?:{HAZARDS})|[A-Z][a-z]{{2,14}})(?=\s|$)"
+HAZARD_END = f"(?<=[a-z])(?:{HAZARDS})$"
 COORDINATE_PAIR = rf"^(-?\d+\.?\d*),{SPACE}*(-?\d+\.?\d*)$"
 COORDINATES_IN_TEXT = rf"(-?\d{{1,3}}\.\d+),{SPACE}*(-?\d{{1,3}}\.\d+)"
 LOOSE_HASHTAG = (
@@ -27,69 +30,74 @@ LOOSE_HASHTAG = (
 
 
 def city_state(text: str | Column) -> Column:
-    """First "City, ST" or "City, State" of a text; NULL without one."""
+    """First "City, ST" or "City, State" of a text; empty without one. Texts without a comma are not searched."""
     text = text_or_empty(text)
-    city = F.regexp_extract(text, CITY_STATE, 1)
-    return F.when(city != "", F.concat(city, F.lit(", "), F.regexp_extract(text, CITY_STATE, 2)))
+    pair = F.regexp_extract(text, CITY_STATE, 0)
+    return F.when(F.contains(text, F.lit(",")), F.regexp_replace(pair, f",{SPACE}*", ", ")).otherwise("")
 
 
 def hashtag_place(tags: str | Column) -> Column:
-    """First of the space-joined hashtags that looks like a place; NULL without one.
+    """First of the space-joined hashtags that looks like a place; empty without one.
 
     A tag counts as a place if it is a capitalised name before a hazard word (the name is the place), or one
     capitalised word of 3-15 letters. One scan tests both per tag, in that order.
     """
-    pattern = rf"(?:^|\s)#*(?:{PLACE_WITH_HAZARD}|{PLACE_WORD})(?=\s|$)"
     tags = text_or_empty(tags)
-    return F.coalesce(
-        F.nullif(F.regexp_extract(tags, pattern, 1), F.lit("")),
-        F.nullif(F.regexp_extract(tags, pattern, 2), F.lit("")),
-    )
+    tag = F.regexp_extract(tags, PLACE_TAG, 1)
+    return F.when(tags != "", F.regexp_replace(tag, HAZARD_END, "")).otherwise("")
 
 
 def normalize_location(place: str | Column) -> Column:
     """A usable location name, or NULL for noise and leftovers of under two characters."""
-    stripped = strip_space(place)
-    ascii_only = strip_space(F.regexp_replace(stripped, r"[^\x00-\x7F]+", ""))
-    usable = ~F.lower(stripped).isin(L.LOCATION_NOISE) & (F.char_length(ascii_only) >= 2)
+    return _usable(strip_space(place))
+
+
+def _usable(stripped: Column) -> Column:
+    ascii_only = F.when(is_ascii(stripped), stripped).otherwise(
+        strip_space(F.regexp_replace(stripped, NON_ASCII, ""))
+    )
+    usable = (F.char_length(ascii_only) >= 2) & ~F.lower(stripped).isin(L.LOCATION_NOISE)
     return F.when(usable, F.substring(ascii_only, 1, 80))
 
 
-def located(
+def first_usable(steps: Sequence[tuple[str, Column]]) -> Column:
+    """The first (source, place) whose place normalises, as a struct; NULL when none does."""
+    candidates = F.array(*[F.struct(F.lit(source).alias("source"), place.alias("place")) for source, place in steps])
+
+    def each(found: Column, change: Callable[[Column], Column]) -> Column:
+        return F.transform(found, lambda step: F.struct(step["source"].alias("source"), change(step["place"]).alias("place")))
+
+    named = F.filter(candidates, lambda step: step["place"] != "")
+    usable = each(each(named, strip_space), _usable)
+    return F.try_element_at(F.filter(usable, lambda step: step["place"].isNotNull()), F.lit(1))
+
+
+def location_steps(
     text: str | Column,
     hashtags: str | Column,
     profile: str | Column,
     bio: str | Column,
     text_place: Column | None = None,
     bio_place: Column | None = None,
-) -> Column:
-    """Source code and location in one string, e.g. "bio:Lisbon"; NULL when every step fails.
-
-    One ``coalesce`` keeps the steps lazy: a row that is settled by its text never runs the patterns on its bio.
-    Use ``location_columns`` on the result.
-    """
-    in_text = normalize_location(city_state(text))
-    if text_place is not None:
-        in_text = F.coalesce(normalize_location(text_place), in_text)
+) -> list[tuple[str, Column]]:
+    """The candidates of the cascade in order, before normalisation: (source, place)."""
+    steps = [] if text_place is None else [("tweet", text_place)]
     # A name found in the bio hides the pattern, even when the name turns out to be noise.
-    in_bio = city_state(bio) if bio_place is None else F.coalesce(F.nullif(bio_place, F.lit("")), city_state(bio))
-    steps = {
-        "tweet": in_text,
-        "hashtag": normalize_location(hashtag_place(hashtags)),
-        "profile_location": normalize_location(text_or_empty(profile)),
-        "bio": normalize_location(in_bio),
-    }
-    return F.coalesce(*[F.concat(F.lit(source + ":"), place) for source, place in steps.items()])
+    in_bio = city_state(bio) if bio_place is None else F.coalesce(bio_place, city_state(bio))
+    return steps + [
+        ("tweet", city_state(text)),
+        ("hashtag", hashtag_place(hashtags)),
+        ("profile_location", text_or_empty(profile)),
+        ("bio", in_bio),
+    ]
 
 
 def location_columns(found: str | Column) -> dict[str, Column]:
-    """location, location_source and location_confidence from a ``located`` column."""
+    """location, location_source and location_confidence from a ``first_usable`` column."""
     found = _col(found)
-    source = F.when(found.isNull(), "none").otherwise(F.substring_index(found, ":", 1))
+    source = F.coalesce(found["source"], F.lit("none"))
     return {
-        "location": F.when(found.isNull(), "unknown").otherwise(
-            F.substr(found, F.instr(found, ":") + F.lit(1))
-        ),
+        "location": F.coalesce(found["place"], F.lit("unknown")),
         "location_source": source,
         "location_confidence": location_confidence(source),
     }
@@ -116,7 +124,8 @@ def first_listed_place(text: str | Column, places: Mapping[str, str]) -> Column:
         return f"[^{WORD_CHARS}]+".join(re.escape(word) for word in place[1:].split(" "))
 
     heads = [f"{re.escape(first)}(?:{'|'.join(map(tail, names))})" for first, names in sorted(by_first.items())]
-    pattern = f"{START}({'|'.join(heads)}){END}"
+    letters = "".join(re.escape(first) for first in sorted(by_first))
+    pattern = f"(?=[{letters}]){START}({'|'.join(heads)}){END}"
     match = F.regexp_extract(F.lower(text_or_empty(text)), pattern, 1)
     key = F.regexp_replace(match, f"[^{WORD_CHARS}]+", " ")
     entries = [F.lit(value) for pair in sorted(places.items()) for value in pair]
@@ -136,7 +145,7 @@ def parse_coordinates(location: str | Column) -> Column:
     location = strip_space(location)
     lat = F.regexp_extract(location, COORDINATE_PAIR, 1)
     lon = F.regexp_extract(location, COORDINATE_PAIR, 2)
-    return F.when(lat != "", F.struct(lat.cast("double").alias("lat"), lon.cast("double").alias("lon")))
+    return F.when(F.contains(location, F.lit(",")) & (lat != ""), F.struct(lat.cast("double").alias("lat"), lon.cast("double").alias("lon")))
 
 
 def coords_in_text(text: str | Column) -> Column:

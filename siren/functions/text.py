@@ -13,15 +13,24 @@ from pyspark.sql import functions as F
 SPACE_CHARS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 WORD_CHARS = r"\p{L}\p{N}_"
 
+# The same whitespace, character by character.
+ALL_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 SPACE = f"[{SPACE_CHARS}]"
 NOT_SPACE = f"[^{SPACE_CHARS}]"
 WORD = f"[{WORD_CHARS}]"
 
-LINKS = f"http{NOT_SPACE}+|www{NOT_SPACE}+|https{NOT_SPACE}+"
+# Whitespace that is not already one plain space: most texts then need no replacement at all.
+LOOSE_SPACE = f"{SPACE}{{2,}}|[{SPACE_CHARS}&&[^ ]]"
+LINKS = f"(?:http|www){NOT_SPACE}+"
 MENTION = f"@{WORD}+"
 HASHTAG = f"#({WORD}+)"
 NON_ASCII = r"[^\x00-\x7F]+"
 MARKUP = "<[^>]+>"
+REPEATED_MARK = r"([!?])\1+"
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -30,23 +39,27 @@ def text_or_empty(column: str | Column) -> Column:
 
 def squeeze(column: str | Column) -> Column:
     """Collapse whitespace runs to one space and strip."""
-    return F.trim(F.regexp_replace(_col(column), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(_col(column), LOOSE_SPACE, " "))
 
 
 def strip_space(column: str | Column) -> Column:
-    return F.regexp_replace(_col(column), f"^{SPACE}+|{SPACE}+$", "")
+    """Strip whitespace of any alphabet from both ends."""
+    return F.btrim(_col(column), F.lit(ALL_SPACE))
+
+
+def is_ascii(column: str | Column) -> Column:
+    return F.octet_length(_col(column)) == F.char_length(_col(column))
 
 
 def clean_text(column: str | Column) -> Column:
     """Normalised text for classification. The order of the steps is part of the result."""
     text = F.lower(text_or_empty(column))
-    text = F.regexp_replace(text, LINKS, "")
-    text = F.regexp_replace(text, MENTION, "")
-    text = squeeze(text)
+    linked = F.contains(text, F.lit("@")) | F.contains(text, F.lit("http")) | F.contains(text, F.lit("www"))
+    unlinked = F.regexp_replace(F.regexp_replace(text, LINKS, ""), MENTION, "")
+    text = squeeze(F.when(linked, unlinked).otherwise(text))
     text = F.replace(text, F.lit("#"), F.lit(""))
     text = F.regexp_replace(text, NON_ASCII, " ")
-    text = F.regexp_replace(text, "!!+", "!")
-    text = F.regexp_replace(text, r"\?\?+", "?")
+    text = F.regexp_replace(text, REPEATED_MARK, "$1")
     return F.trim(text)
 
 
@@ -57,7 +70,9 @@ def strip_tags(column: str | Column, max_chars: int | None = 500) -> Column:
 
 
 def extract_hashtags(column: str | Column) -> Column:
-    return F.regexp_extract_all(text_or_empty(column), F.lit(HASHTAG), F.lit(1))
+    text = text_or_empty(column)
+    tags = F.regexp_extract_all(text, F.lit(HASHTAG), F.lit(1))
+    return F.when(F.contains(text, F.lit("#")), tags).otherwise(F.array().cast("array<string>"))
 
 
 def hashtags_str(hashtags: str | Column) -> Column:

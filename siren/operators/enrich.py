@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from siren import lexicons as L
 from siren.functions import scoring
-from siren.functions.places import located, location_columns
+from siren.functions.places import first_usable, location_columns, location_steps
 from siren.functions.text import clean_text, extract_hashtags, hashtags_str
 from siren.operators.gazetteer import attach_coordinates, gazetteer_match
 from siren.operators.lookup import computed_once
@@ -116,12 +116,9 @@ def extract_location(
         )
     if prepared is not df:
         text_place, bio_place = F.col("_text_place"), F.col("_bio_place")
-    found = located("content", "hashtags_str", "user_location", "user_bio", text_place, bio_place)
-    return (
-        computed_once(prepared, {"_found": found})
-        .withColumns(location_columns("_found"))
-        .drop("_found", "_text_place", "_bio_place")
-    )
+    steps = location_steps("content", "hashtags_str", "user_location", "user_bio", text_place, bio_place)
+    located = computed_once(prepared, {"_found": first_usable(steps)})
+    return located.withColumns(location_columns("_found")).drop("_found", "_text_place", "_bio_place")
 
 
 def prioritise(df: DataFrame) -> DataFrame:

@@ -23,9 +23,12 @@ def computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
 
     Spark moves a filter on a projected column below the projection by repeating the column's expression; for
     columns that take dozens of text searches that costs more than it saves, and may outgrow generated code. A
-    filter on a generated column stays above it, while filters on other columns still move down to the scan.
+    filter on a generated column stays above it, while filters on other columns still move down to the scan. The
+    expressions themselves stay in a projection, which evaluates what they share once.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[column.alias(name) for name, column in columns.items()]))))
+    computed = df.withColumns({f"_once_{name}": column for name, column in columns.items()})
+    generated = F.inline(F.array(F.struct(*[F.col(f"_once_{name}").alias(name) for name in columns])))
+    return computed.select(*df.columns, generated)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

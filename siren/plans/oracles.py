@@ -385,7 +385,7 @@ over_texts(
     "loose_hashtag_pattern",
     rf"""nullif(regexp_extract(text, '(?:^|#)([A-Z][a-z]+(?:[A-Z][a-z]+)?(?:flood|quake|fire|storm|hurricane|cyclone|typhoon)?)(?:$|[^{WD}])', 1), '') AS place""",
 )
-over_texts("city_state", f"{city_state('text')} AS city_state")
+over_texts("city_state", f"coalesce({city_state('text')}, '') AS city_state")
 over_texts("report_id", f"{short_id('text_key || substr(text, 1, 30)')} AS report_id")
 ORACLES["strip_tags"] = (
     f"SELECT page_id, {strip_tags('html')} AS plain_text, substr({strip_tags('html')}, 1, 500) AS content FROM pages"
@@ -463,7 +463,7 @@ grams AS (SELECT doc_id, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS pla
           FROM starts, (VALUES (1), (2)) AS lengths(n) WHERE pos + n - 1 <= len(w)),
 found AS (SELECT doc_id, arg_min(upper(place), [pos, -n]) AS place FROM grams JOIN places USING (place) GROUP BY doc_id)
 SELECT doc_id, place FROM documents LEFT JOIN found USING (doc_id)"""
-over_reports("hashtag_place", f"SELECT tweet_id, {tag_place(tags('content'))} AS place FROM reports")
+over_reports("hashtag_place", f"SELECT tweet_id, coalesce({tag_place(tags('content'))}, '') AS place FROM reports")
 ORACLES["normalize_location"] = f"""WITH {TEXTS}
 SELECT text_key, {normal('raw')} AS location FROM (
   SELECT 'r-' || tweet_id AS text_key, user_location AS raw FROM reports

@@ -50,7 +50,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def gazetteer(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PLACES, GAZETTEER)
+    rows = ", ".join(f"('{place}', '{display}', {lat}D, {lon}D)" for place, display, lat, lon in PLACES)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS places({', '.join(GAZETTEER.names)})")
 
 
 def phrase_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
