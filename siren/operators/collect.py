@@ -63,9 +63,12 @@ def dedup_first_seen(df: DataFrame, key: str = "tweet_id", order: Sequence[Colum
 
 
 def is_relevant(words: Sequence[str] = L.RELEVANCE_WORDS) -> Column:
-    """Whether text and bio, joined without a space, hold any of the words."""
+    """Whether text and bio, joined without a space, hold any of the words.
+
+    A filter evaluates every mention of an expression anew; the lambda makes the lower-case text once.
+    """
     haystack = F.lower(F.concat(text_or_empty("content"), text_or_empty("user_bio")))
-    return any_word(haystack, words)
+    return F.exists(F.array(haystack), lambda lowered: any_word(lowered, words))
 
 
 def relevance_filter(df: DataFrame, words: Sequence[str] = L.RELEVANCE_WORDS) -> DataFrame:

@@ -26,20 +26,22 @@ def distinct_places(gazetteer: DataFrame) -> DataFrame:
 
 
 def place_names(gazetteer: DataFrame) -> DataFrame:
-    """Each name as its words, the way texts are read, with one display name."""
+    """Each name as its words, the way texts are read; a name may come more than once."""
     words = _words("place")
-    return (
-        gazetteer.select(F.array_join(words, " ").alias("name"), F.size(words).alias("n_words"), "display")
-        .where("n_words > 0")
-        .groupBy("name", "n_words")
-        .agg(F.min("display").alias("display"))
+    return gazetteer.select(F.array_join(words, " ").alias("name"), F.size(words).alias("n_words"), "display").where(
+        "n_words > 0"
     )
 
 
 def inline_places(gazetteer: DataFrame, max_places: int = MAX_INLINE_PLACES) -> dict[str, str] | None:
     """Names of a gazetteer small enough to be part of an expression, else None. Reads at most one row more."""
     rows = place_names(gazetteer).limit(max_places + 1).collect()
-    return None if len(rows) > max_places else {row.name: row.display for row in rows}
+    if len(rows) > max_places:
+        return None
+    places: dict[str, str] = {}
+    for row in rows:
+        places[row.name] = min(row.display, places.get(row.name, row.display))
+    return places
 
 
 def gazetteer_match(
@@ -67,7 +69,7 @@ def _match_by_join(
 ) -> DataFrame:
     names = place_names(gazetteer)
     longest = names.agg(F.coalesce(F.max("n_words"), F.lit(1))).first()[0]
-    names = names.select("name", "display")
+    names = names.groupBy("name").agg(F.min("display").alias("display"))
 
     texts = df.select(key, F.explode(F.array(*[
         F.struct(F.lit(out).alias("field"), _words(text).alias("words")) for text, out in columns.items()
@@ -80,7 +82,8 @@ def _match_by_join(
     ).select(key, "field", "pos", "length", F.array_join(F.slice("window", F.lit(1), F.col("length")), " ").alias("name"))
 
     found = lookup_join(
-        candidates, names, "name", F.struct(key, "pos"), how="inner", max_broadcast_rows=max_broadcast_rows
+        candidates, names, "name", F.struct(key, "pos"), how="inner", max_broadcast_rows=max_broadcast_rows,
+        bounded_by=gazetteer,
     )
     position = F.struct("pos", -F.col("length"))
     firsts = found.groupBy(key).agg(*[
@@ -129,7 +132,9 @@ def attach_coordinates(
     rows = df.withColumn("_pair", parse_coordinates(location)).withColumn(
         "_place", F.coalesce(name, F.concat(F.lit("\x00"), spread.cast("string")))
     )
-    joined = lookup_join(rows, entries, "_place", spread, max_broadcast_rows=max_broadcast_rows, salts=salts)
+    joined = lookup_join(
+        rows, entries, "_place", spread, max_broadcast_rows=max_broadcast_rows, salts=salts, bounded_by=gazetteer
+    )
     return joined.withColumns({
         "lat": F.coalesce("_pair.lat", "_lat"),
         "lon": F.coalesce("_pair.lon", "_lon"),

@@ -38,6 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Give a scan that has fewer pieces than there are cores to all cores; leave any other as it is.
+
+    For tables in a few files that cannot be split, read by work that is heavy per row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -46,15 +55,16 @@ def lookup_join(
     how: str = "left",
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     salts: int = SALTS,
+    bounded_by: DataFrame | None = None,
 ) -> DataFrame:
     """Join rows to a lookup table that has unique values of ``on``.
 
     A lookup of checked size is broadcast and the rows stay where they are. A larger one is replicated over
     ``salts`` salt values and joined on key and salt, so that a key holding a third of the rows is spread over as
     many tasks. The salt is a hash of ``spread_by``, not a random number: a task that is run again must send each
-    row to the same place.
+    row to the same place. ``bounded_by`` is a table the lookup has no more rows than, and is cheaper to count.
     """
-    if fits(lookup, max_broadcast_rows):
+    if fits(lookup if bounded_by is None else bounded_by, max_broadcast_rows):
         return rows.join(F.broadcast(lookup), on, how)
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -13,6 +13,7 @@ from siren.functions import places, scoring
 from siren.functions import text as T
 from siren.operators import collect, gazetteer, learn, search, stats
 from siren.operators import enrich as E
+from siren.operators.lookup import spread
 from siren.plans import relations as R
 from siren.schemas import ensure_columns, validate_reports
 from siren.session import new_path
@@ -228,7 +229,7 @@ QUERIES["report_id"] = over_texts(report_id=lambda text: T.report_id("text_key",
 
 @query
 def strip_tags(spark, sf_dir):
-    pages = R.table(spark, sf_dir, "pages")
+    pages = spread(R.table(spark, sf_dir, "pages"), "page_id")
     return pages.select(
         "page_id", T.strip_tags("html", None).alias("plain_text"), T.strip_tags("html").alias("content")
     )
@@ -377,7 +378,7 @@ def gazetteer_match(spark, sf_dir):
 def gazetteer_match_join(spark, sf_dir):
     """A gazetteer that grows with the data, over whole documents, by join."""
     matched = gazetteer.gazetteer_match(
-        R.table(spark, sf_dir, "documents").select("doc_id", "text"), R.phrase_gazetteer(spark, sf_dir),
+        spread(R.table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text"), R.phrase_gazetteer(spark, sf_dir),
         {"text": "place"}, key="doc_id", max_inline=0,
     )
     return matched.select("doc_id", "place")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siren.functions.text import iso_date, report_id
 from siren.operators import search
 from siren.operators.enrich import enrich
+from siren.operators.lookup import spread
 from siren.schemas import GAZETTEER
 from siren.session import new_path
 
@@ -88,7 +89,7 @@ def reports_of(events: DataFrame) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports_of(table(spark, sf_dir, "events"))
+    return reports_of(spread(table(spark, sf_dir, "events"), "event_id"))
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +111,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a report; copies of a text share an id."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
     return documents.select(
         report_id("lang", "text").alias("tweet_id"),
         F.col("text").alias("content"),
@@ -127,9 +128,9 @@ def doc_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts of the given tables and of the reports under one key."""
     parts = [
-        table(spark, sf_dir, "documents").select(_key("d", "doc_id"), "text"),
-        table(spark, sf_dir, "pages").select(_key("p", "page_id"), F.col("html").alias("text")),
-        table(spark, sf_dir, "conversations").select(_key("c", "conv_id", "turn"), "text"),
+        spread(table(spark, sf_dir, "documents"), "doc_id").select(_key("d", "doc_id"), "text"),
+        spread(table(spark, sf_dir, "pages"), "page_id").select(_key("p", "page_id"), F.col("html").alias("text")),
+        spread(table(spark, sf_dir, "conversations"), "conv_id", "turn").select(_key("c", "conv_id", "turn"), "text"),
         table(spark, sf_dir, "benchmark").select(_key("b", "item_id"), "text"),
         reports(spark, sf_dir).select(F.concat(F.lit("r-"), "tweet_id").alias("text_key"), F.col("content").alias("text")),
     ]
