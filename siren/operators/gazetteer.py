@@ -74,9 +74,9 @@ def _match_by_join(
     texts = df.select(key, F.explode(F.array(*[
         F.struct(F.lit(out).alias("field"), _words(text).alias("words")) for text, out in columns.items()
     ])).alias("part")).select(key, "part.field", "part.words").where(F.size("words") > 0)
-    # One row per word position; each position then offers one name per length, so no row grows with the square.
-    positions = texts.select(key, "field", "words", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("pos"))
-    starts = positions.select(key, "field", "pos", F.slice("words", F.col("pos"), F.lit(longest)).alias("window"))
+    # One row per word position, holding no more words than the longest name has: linear in the text.
+    windows = F.transform(F.sequence(F.lit(1), F.size("words")), lambda pos: F.slice("words", pos, F.lit(longest)))
+    starts = texts.select(key, "field", F.posexplode(windows).alias("pos", "window"))
     candidates = starts.select(
         key, "field", "pos", F.explode(F.sequence(F.lit(1), F.size("window"))).alias("length"), "window"
     ).select(key, "field", "pos", "length", F.array_join(F.slice("window", F.lit(1), F.col("length")), " ").alias("name"))
@@ -90,7 +90,7 @@ def _match_by_join(
         F.min_by(F.when(F.col("field") == out, F.col("display")), F.when(F.col("field") == out, position)).alias(out)
         for out in columns.values()
     ])
-    return df.join(firsts, key, "left")
+    return df.join(firsts, key, "left").select(*df.columns, *columns.values())
 
 
 def _words(text: str) -> Column:

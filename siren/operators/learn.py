@@ -50,9 +50,10 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split``: exactly ``round(share * n)`` rows of each label are "test", the rest "train".
 
-    The test rows are those with the smallest md5 of seed and key. Ranking a label's rows in one window would put a
-    whole label into one task, so the cut is found from counts per hash bucket (at most 65,536 per label), and only
-    the rows of the one bucket that holds the cut are ranked. The rows themselves are not shuffled.
+    The test rows are those with the smallest (md5 of seed and key, key). Ranking a label's rows in one window would
+    put a whole label into one task. Instead, counts per hash bucket (at most 65,536 per label) give the bucket that
+    holds the last test row, and only that bucket is ranked. Each label then has one threshold, which every row is
+    compared with where it is.
     """
     hashed = df.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
     hashed = hashed.withColumn("_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
@@ -67,14 +68,16 @@ def stratified_split(
     cuts = running.where((F.col("upto") >= F.col("wanted")) & (F.col("upto") - F.col("n") < F.col("wanted"))).select(
         label, F.col("_bucket").alias("_cut"), (F.col("wanted") - F.col("upto") + F.col("n")).alias("_take")
     )
-    marked = lookup_join(hashed, written(cuts, "split"), label, spread_by=key)
-    # A label with nothing to take has no cut: all of it is training data.
-    below = F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False))
-    at_cut = F.coalesce(F.col("_bucket") == F.col("_cut"), F.lit(False))
-    settled = marked.where(~at_cut).withColumn("split", F.when(below, "test").otherwise("train"))
+    at_cut = lookup_join(hashed, written(cuts, "split-buckets"), label, key, how="inner").where("_bucket = _cut")
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_hash", key))
-    ranked = marked.where(at_cut).withColumn("split", F.when(rank <= F.col("_take"), "test").otherwise("train"))
-    return settled.unionByName(ranked).drop("_hash", "_bucket", "_cut", "_take")
+    last = at_cut.withColumn("_rank", rank).where("_rank = _take").select(
+        label, F.col("_hash").alias("_last_hash"), F.col(key).alias("_last_key")
+    )
+    marked = lookup_join(hashed, written(last, "split-thresholds"), label, key)
+    is_test = F.struct(F.col("_hash"), F.col(key)) <= F.struct("_last_hash", "_last_key")
+    # A label with nothing to take has no threshold: all of it is training data.
+    split = F.when(F.col("_last_hash").isNotNull() & is_test, "test").otherwise("train")
+    return marked.withColumn("split", split).select(*df.columns, "split")
 
 
 def tokenize(text: str | Column, max_tokens: int | None = MAX_TOKENS) -> Column:

@@ -64,8 +64,9 @@ def lookup_join(
     many tasks. The salt is a hash of ``spread_by``, not a random number: a task that is run again must send each
     row to the same place. ``bounded_by`` is a table the lookup has no more rows than, and is cheaper to count.
     """
+    columns = rows.columns + [name for name in lookup.columns if name != on]
     if fits(lookup if bounded_by is None else bounded_by, max_broadcast_rows):
-        return rows.join(F.broadcast(lookup), on, how)
+        return rows.join(F.broadcast(lookup), on, how).select(*columns)
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_rows.join(salted_lookup, [on, "_salt"], how).drop("_salt")
+    return salted_rows.join(salted_lookup, [on, "_salt"], how).select(*columns)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siren.functions.text import iso_date, report_id
 from siren.operators import search
 from siren.operators.enrich import enrich
-from siren.operators.lookup import spread
+from siren.operators.lookup import spread, written
 from siren.schemas import GAZETTEER
 from siren.session import new_path
 
@@ -104,7 +104,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         path = new_path(spark, "stored")
-        search.sort_by(enriched(spark, sf_dir)).write.parquet(path)
+        search.sort_by(written(enriched(spark, sf_dir), "enriched")).write.parquet(path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
 

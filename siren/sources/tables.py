@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siren.operators.lookup import written
 from siren.operators.search import sort_by
 from siren.schemas import ENRICHED, ENRICHED_COLUMNS, LABELLED, LEGACY, RAW, RAW_COLUMNS, ensure_columns
 
@@ -66,12 +67,20 @@ def write_raw(df: DataFrame, path: str, format: str = "parquet") -> None:
 
 def enriched_rows(df: DataFrame) -> DataFrame:
     """The stored enriched columns that exist, most urgent first."""
-    return sort_by(df).select(*[name for name in ENRICHED_COLUMNS if name in df.columns])
+    return sort_by(df).select(*_stored_columns(df))
 
 
-def write_enriched(df: DataFrame, path: str, format: str = "parquet") -> None:
-    """Sorted by range over all files, so scans for urgent reports skip most of them by their statistics."""
-    rows = enriched_rows(df)
+def _stored_columns(df: DataFrame) -> list[str]:
+    return [name for name in ENRICHED_COLUMNS if name in df.columns]
+
+
+def write_enriched(df: DataFrame, path: str, format: str = "parquet", staged: bool = True) -> None:
+    """Sorted by range over all files, so scans for urgent reports skip most of them by their statistics.
+
+    A range sort reads its input twice, once to sample the ranges. ``staged`` writes the unsorted rows to the shared
+    folder first, so that the enrichment itself runs once; leave it out for a table that is stored already.
+    """
+    rows = enriched_rows(written(df.select(*_stored_columns(df), "tweet_id"), "enriched-unsorted") if staged else df)
     if format == "csv":
         write_csv(rows, path)
     else:
