@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siren.functions.places import first_listed_place, parse_coordinates
 from siren.functions.text import WORD, text_or_empty
-from siren.operators.lookup import MAX_BROADCAST_ROWS, SALTS, lookup_join
+from siren.operators.lookup import MAX_BROADCAST_ROWS, SALTS, lookup_join, written
 
 MAX_INLINE_PLACES = 1000
 NO_PLACE = ["unknown", "", "none"]
@@ -67,9 +67,11 @@ def gazetteer_match(
 def _match_by_join(
     df: DataFrame, gazetteer: DataFrame, columns: Mapping[str, str], key: str, max_broadcast_rows: int
 ) -> DataFrame:
-    names = place_names(gazetteer)
+    # Written once: its sizes are asked for, and it takes part in two joins.
+    names = written(
+        place_names(gazetteer).groupBy("name", "n_words").agg(F.min("display").alias("display")), "place-names"
+    )
     longest = names.agg(F.coalesce(F.max("n_words"), F.lit(1))).first()[0]
-    names = names.groupBy("name").agg(F.min("display").alias("display"))
 
     texts = df.select(key, F.explode(F.array(*[
         F.struct(F.lit(out).alias("field"), _words(text).alias("words")) for text, out in columns.items()
@@ -77,13 +79,19 @@ def _match_by_join(
     # One row per word position, holding no more words than the longest name has: linear in the text.
     windows = F.transform(F.sequence(F.lit(1), F.size("words")), lambda pos: F.slice("words", pos, F.lit(longest)))
     starts = texts.select(key, "field", F.posexplode(windows).alias("pos", "window"))
+    # Most words begin no name: only the others go on to be joined as names of every length.
+    first_words = names.select(F.substring_index("name", " ", 1).alias("first")).distinct()
+    starts = lookup_join(
+        starts.withColumn("first", F.get("window", 0)), first_words, "first", F.struct(key, "pos"), how="left_semi",
+        max_broadcast_rows=max_broadcast_rows, bounded_by=names,
+    )
     candidates = starts.select(
         key, "field", "pos", F.explode(F.sequence(F.lit(1), F.size("window"))).alias("length"), "window"
     ).select(key, "field", "pos", "length", F.array_join(F.slice("window", F.lit(1), F.col("length")), " ").alias("name"))
 
     found = lookup_join(
-        candidates, names, "name", F.struct(key, "pos"), how="inner", max_broadcast_rows=max_broadcast_rows,
-        bounded_by=gazetteer,
+        candidates, names.select("name", "display"), "name", F.struct(key, "pos"), how="inner",
+        max_broadcast_rows=max_broadcast_rows, bounded_by=names,
     )
     position = F.struct("pos", -F.col("length"))
     firsts = found.groupBy(key).agg(*[
