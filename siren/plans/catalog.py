@@ -319,16 +319,11 @@ def rule_probs(spark, sf_dir):
 
 @query
 def urgency_blend(spark, sf_dir):
-    """The blend over given probabilities: each event's value scaled to 0-1, and the score of its text."""
-    events = R.table(spark, sf_dir, "events")
-    keyed = R.reports_of(events).join(
-        events.select(R.report_id(F.col("event_id").cast("string")).alias("tweet_id"), "event_id"), "tweet_id"
-    )
-    probability = (F.col("event_id") % 101) / F.lit(100.0)
-    return keyed.select(
-        "event_id",
-        scoring.urgency_blend(probability, scoring.urgency_keyword_score(T.clean_text("content"))).alias("urgency"),
-    )
+    """The blend over given probabilities, 0.00 to 1.00 from the like counts, and the keyword part of the text."""
+    reports = R.reports(spark, sf_dir)
+    probability = (F.col("like_count") % 101) / F.lit(100.0)
+    keyword_part = scoring.urgency_keyword_score(T.clean_text("content"))
+    return reports.select("tweet_id", scoring.urgency_blend(probability, keyword_part).alias("urgency"))
 
 
 @query

@@ -430,9 +430,9 @@ over_judged(
        CAST(CASE category WHEN 'Help Request' THEN round(p, 4) ELSE 0.1 END AS DOUBLE) AS p_help_request,
        CAST(CASE category WHEN 'Help Request' THEN 0.1 WHEN 'Damage Report' THEN 0.75 ELSE 0.15 END AS DOUBLE) AS p_damage_report""",
 )
-ORACLES["urgency_blend"] = f"""WITH {REPORTS}, judged_texts AS (SELECT content AS text FROM templates),{JUDGED}
-SELECT event_id, round(CAST(event_id % 101 AS DOUBLE) * 0.8 + 0.2 * k, 2) AS urgency
-FROM events JOIN templates ON event_id % {len(TEMPLATES)} = tpl_id JOIN judged ON text = content"""
+ORACLES["urgency_blend"] = f"""WITH {REPORTS}, judged_texts AS (SELECT content AS text FROM reports),{JUDGED}
+SELECT tweet_id, round(CAST(like_count % 101 AS DOUBLE) * 0.8 + 0.2 * k, 2) AS urgency
+FROM reports JOIN judged ON text = content"""
 over_enriched("classify", "SELECT tweet_id, category, urgency_score, 'rule-based' AS model_mode FROM enriched")
 ORACLES["score_fn_classify"] = f"""WITH {REPORTS}, judged_texts AS (SELECT content AS text FROM reports),{JUDGED}
 SELECT tweet_id, CASE WHEN length(clean_text) > 50 THEN 'Help Request' ELSE 'Information' END AS category,
@@ -461,7 +461,7 @@ tokens AS (SELECT doc_id, regexp_extract_all(lower(text), '[{WD}]+') AS w FROM d
 starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM tokens),
 grams AS (SELECT doc_id, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS place
           FROM starts, (VALUES (1), (2)) AS lengths(n) WHERE pos + n - 1 <= len(w)),
-found AS (SELECT doc_id, arg_min(upper(place), [pos, -n]) AS place FROM grams JOIN places USING (place) GROUP BY doc_id)
+found AS (SELECT doc_id, arg_min('<' || place || '>', [pos, -n]) AS place FROM grams JOIN places USING (place) GROUP BY doc_id)
 SELECT doc_id, place FROM documents LEFT JOIN found USING (doc_id)"""
 over_reports("hashtag_place", f"SELECT tweet_id, coalesce({tag_place(tags('content'))}, '') AS place FROM reports")
 ORACLES["normalize_location"] = f"""WITH {TEXTS}

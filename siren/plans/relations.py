@@ -61,7 +61,7 @@ def phrase_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrase = F.array_join(F.slice(words, 1, 2), " ")
     turns = table(spark, sf_dir, "conversations").select(phrase.alias("place")).where("place <> ''").distinct()
     return turns.select(
-        "place", F.upper("place").alias("display"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon")
+        "place", F.concat(F.lit("<"), "place", F.lit(">")).alias("display"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon")
     )
 
 
