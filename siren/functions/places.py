@@ -65,7 +65,9 @@ def first_usable(steps: Sequence[tuple[str, Column]]) -> Column:
     candidates = F.array(*[F.struct(F.lit(source).alias("source"), place.alias("place")) for source, place in steps])
 
     def each(found: Column, change: Callable[[Column], Column]) -> Column:
-        return F.transform(found, lambda step: F.struct(step["source"].alias("source"), change(step["place"]).alias("place")))
+        return F.transform(
+            found, lambda step: F.struct(step["source"].alias("source"), change(step["place"]).alias("place"))
+        )
 
     named = F.filter(candidates, lambda step: step["place"] != "")
     usable = each(each(named, strip_space), _usable)

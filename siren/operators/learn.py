@@ -125,11 +125,18 @@ def eval_metrics(df: DataFrame, label: str = "label", prediction: str = "predict
     confusion = df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
+    none = F.lit(0).cast("long")
+    hits = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(none)
+
+    def side(cls: str, support: Column, predicted: Column, hits: Column) -> Column:
+        return F.struct(
+            F.col(cls).cast("double").alias("class"), support.alias("support"), predicted.alias("predicted"),
+            hits.alias("hits"),
+        )
+
     # One row as its label and one as its prediction, added up per class.
     sides = confusion.select(F.inline(F.array(
-        F.struct(F.col("label").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), hit.cast("long").alias("hits")),
-        F.struct(F.col("prediction").alias("class"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("hits")),
+        side("label", F.col("n"), none, hits), side("prediction", none, F.col("n"), none)
     )))
     classes = sides.groupBy("class").agg(
         F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hits").alias("hits")

@@ -257,9 +257,10 @@ def preprocess(spark, sf_dir):
 def author_norm(spark, sf_dir):
     events = R.table(spark, sf_dir, "events")
     handle = F.concat(F.lit("@@"), F.col("event_type"), F.lit("@"), F.col("user_id").cast("string"))
-    office = F.when(
-        F.col("event_type") != "error", F.concat(F.lit("Office of "), F.col("event_type"), F.lit(" coordination and aid no "), F.col("user_id").cast("string"))
+    name = F.concat(
+        F.lit("Office of "), F.col("event_type"), F.lit(" coordination and aid no "), F.col("user_id").cast("string")
     )
+    office = F.when(F.col("event_type") != "error", name)
     return events.select(
         "event_id",
         T.author_handle(F.when(F.col("event_type") != "view", handle)).alias("handle"),
@@ -390,9 +391,12 @@ def hashtag_place(spark, sf_dir):
 @query
 def normalize_location(spark, sf_dir):
     """Profiles of the reports, and all texts for their lengths and alphabets."""
-    profiles = R.reports(spark, sf_dir).select(F.concat(F.lit("r-"), "tweet_id").alias("text_key"), F.col("user_location").alias("raw"))
-    documents = R.texts(spark, sf_dir).select("text_key", F.concat(F.lit("  "), F.col("text"), F.lit(" ")).alias("raw"))
-    return profiles.unionByName(documents).select("text_key", places.normalize_location("raw").alias("location"))
+    profiles = R.reports(spark, sf_dir).select(
+        F.concat(F.lit("r-"), "tweet_id").alias("text_key"), F.col("user_location").alias("raw")
+    )
+    padded = F.concat(F.lit("  "), F.col("text"), F.lit(" "))
+    texts = R.texts(spark, sf_dir).select("text_key", padded.alias("raw"))
+    return profiles.unionByName(texts).select("text_key", places.normalize_location("raw").alias("location"))
 
 
 @query
@@ -592,7 +596,9 @@ def train_classifier(spark, sf_dir):
 @query
 def model_classify(spark, sf_dir):
     cleaned = E.preprocess(R.reports(spark, sf_dir))
-    labelled = E.rule_classify(cleaned).select(F.col("clean_text").alias("text"), learn.label_id("category").alias("label"))
+    labelled = E.rule_classify(cleaned).select(
+        F.col("clean_text").alias("text"), learn.label_id("category").alias("label")
+    )
     model = learn.train_classifier(labelled, reg_params=(0.01,), features=1 << 12, max_iter=10)
     return E.classify(cleaned, model=model).select("tweet_id", "category", "urgency_score", "model_mode")
 
@@ -606,7 +612,8 @@ def save_load_model(spark, sf_dir):
     learn.save_model(model, path)
     before = model.transform(labelled).select("doc_id", F.col("prediction").alias("before"))
     after = learn.load_model(path).transform(labelled).select("doc_id", F.col("prediction").alias("after"))
-    return before.join(after, "doc_id").groupBy((F.col("before") == F.col("after")).alias("same")).agg(F.count(F.lit(1)).alias("n"))
+    same = (F.col("before") == F.col("after")).alias("same")
+    return before.join(after, "doc_id").groupBy(same).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _length_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -628,7 +635,10 @@ def run_log(spark, sf_dir):
     path = new_path(spark, "runs")
     metrics = learn.eval_metrics(_length_rule(spark, sf_dir))
     for run in ("first", "second"):
-        params = {"model_name": "length rule", "epochs": 3, "batch_size": 16, "learning_rate": 2e-5, "train_size": 0, "val_size": 0}
+        params = {
+            "model_name": "length rule", "epochs": 3, "batch_size": 16, "learning_rate": 2e-5, "train_size": 0,
+            "val_size": 0,
+        }
         learn.run_log(spark, params, metrics, path, run)
     return spark.read.parquet(path).select(
         "run_id", F.col("params")["epochs"].alias("epochs"), F.round("eval_accuracy", 8).alias("eval_accuracy"),

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siren.functions.text import author_handle, author_name, iso_date, parse_pub_date, report_id, squeeze, strip_tags, text_or_empty
+from siren.functions.text import (
+    author_handle, author_name, iso_date, parse_pub_date, report_id, squeeze, strip_tags, text_or_empty,
+)
 from siren.operators.collect import cap_per_query
 from siren.schemas import ALERT_ITEM, FEED_ITEM, RAW_COLUMNS, SITUATION_REPORTS, SOCIAL_POST
 

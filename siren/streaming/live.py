@@ -12,7 +12,14 @@ from siren.operators.enrich import enrich
 from siren import lexicons as L
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, format: str = "parquet", max_files: int | None = None, **options: str) -> DataFrame:
+def read_stream(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    format: str = "parquet",
+    max_files: int | None = None,
+    **options: str,
+) -> DataFrame:
     """New files of a folder as a stream."""
     reader = spark.readStream.format(format).schema(schema).options(**options)
     if max_files is not None:
