@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siren.operators.lookup import written
 
-__all__ = ["id_and_text", "slices", "text_column", "written"]
+__all__ = ["id_and_text", "lots", "slices", "written"]
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -19,10 +19,6 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def text_column(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``max_bytes`` of a string column, or one row."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
@@ -34,3 +30,15 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
         size += length
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def lots(texts: list[str | None], max_chars: int) -> Iterator[list[str | None]]:
+    """Parts of a list with at most ``max_chars`` characters, or one text."""
+    start, size = 0, 0
+    for k, text in enumerate(texts):
+        if size + len(text or "") > max_chars and k > start:
+            yield texts[start:k]
+            start, size = k, 0
+        size += len(text or "")
+    if start < len(texts):
+        yield texts[start:]
