@@ -18,8 +18,7 @@ from siren.llm.jaccard_join import similarity_classes
 from siren.llm.packing import pack
 from siren.llm.rows import written
 
-#: A document's normalised text, as the exact dedup takes it.
-_LOWERED = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _only(docs: DataFrame, kept: DataFrame, text_key: str, key: Column) -> DataFrame:
@@ -47,7 +46,8 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     kept = exact_dedup(docs).where("kept").select("doc_id", F.unhex("text_sha256").alias("_sha"))
-    return _only(docs, kept, "_sha", F.unhex(F.sha2(_LOWERED, 256)))
+    lowered = F.translate(F.coalesce("text", F.lit("")), _UPPER, _UPPER.lower())
+    return _only(docs, kept, "_sha", F.unhex(F.sha2(lowered, 256)))
 
 
 def distinct_sets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

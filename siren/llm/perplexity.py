@@ -60,11 +60,29 @@ def grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return code
 
 
+def base_failed(n_words, n_repeat_words):
+    """The plain rules, of columns or arrays."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED_PERCENT * n_words)
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
-    """How often each gram occurs in the texts of each language: (lang, gram, n). NULL languages are one of their own."""
+    """How often each gram occurs in the texts of each language: (lang, gram, n). NULL languages are one of their own.
+
+    Texts that fail the plain rules are rejected anyway and do not count. A task counts a line it meets again only
+    once, so that a text's copies, or a passage that many texts share, do not pass for fluent language.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+        seen: set[int] = set()
+
+        def new_lines(text: str) -> str:
+            lines = []
+            for line in text.split("\n"):
+                if (key := hash(line)) not in seen:
+                    seen.add(key)
+                    lines.append(line)
+            return "\n".join(lines)
 
         def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
             codes, index = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
@@ -72,10 +90,12 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, "text", LOT):
-                langs = part.column("lang").to_pylist()
-                texts = part.column("text").to_pylist()
+                langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
+                rules = text_rules(texts)
+                failed = base_failed(rules["n_words"], rules["n_repeat_words"]).tolist()
                 for lang in set(langs):
-                    data, starts, _ = padded([t for t, x in zip(texts, langs, strict=True) if x == lang], ORDER - 1)
+                    mine = [new_lines(t) for t, x, f in zip(texts, langs, failed, strict=True) if x == lang and not f]
+                    data, starts, _ = padded(mine, ORDER - 1)
                     found = np.unique(grams(data, inside(len(data), starts, ORDER - 1)), return_counts=True)
                     parts = held.setdefault(lang, [])
                     parts.append(found)
@@ -129,7 +149,7 @@ def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> list[dict[str, np.ndarr
 
 def log_probabilities(model: list[dict[str, np.ndarray]], codes: np.ndarray, order: int = ORDER) -> np.ndarray:
     """Of each gram's last class behind the others."""
-    if order == 0 or not len(codes):
+    if order == 0 or not model:
         return np.full(len(codes), -BITS * np.log(2), np.float32)
     table = model[order - 1]
     codes = codes.astype(table["codes"].dtype) & ((1 << BITS * order) - 1)
@@ -198,7 +218,7 @@ def score_texts(docs: DataFrame, models: dict[str | None, list[dict]]) -> DataFr
                     rows = np.array([k for k, x in enumerate(langs) if x == lang])
                     data, starts, ends = padded([texts[k] for k in rows], ORDER - 1)
                     at = inside(len(data), starts, ORDER - 1)
-                    sums = np.concatenate([[0], np.cumsum(log_probabilities(shared.value[lang], grams(data, at)), dtype=float)])
+                    sums = np.concatenate([[0], np.cumsum(log_probabilities(shared.value.get(lang, []), grams(data, at)), dtype=float)])
                     upto = np.concatenate([[0], np.cumsum(ends - starts)])
                     with np.errstate(invalid="ignore"):
                         means[rows] = -np.diff(sums[upto]) / (ends - starts)
@@ -248,9 +268,7 @@ def quality(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     for lang in counts["lang"].unique().tolist():
         mine = counts[counts["lang"].isna() if lang is None else counts["lang"] == lang].sort_values("gram")
         models[lang] = kneser_ney(mine["gram"].to_numpy(), mine["n"].to_numpy())
-    for row in docs.select(F.col("lang").cast("string")).distinct().collect():
-        models.setdefault(row.lang, [])  # a language of empty texts only
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     scored = written(score_texts(docs, models).withColumn("base_failed", failed), "perplexity")
     limits = [(lang, *band) for lang, band in bands(scored, width).items()]
     limits = docs.sparkSession.createDataFrame(limits, "_lang string, _low double, _high double")

@@ -134,7 +134,8 @@ class Scorer:
                 escape = np.log2((total[known] + different[known]) / different[known])
                 costs[known, :, k] += escape[:, None]
                 costs[row, sym, k] = np.log2((total[row] + different[row]) / times)
-        self._costs = np.concatenate(tables).reshape(-1, len(self.languages))
+        costs = np.concatenate(tables)
+        self._costs = costs.reshape(len(costs) * width, len(self.languages))
 
     def bits(self, texts: list[str | None]) -> np.ndarray:
         """Code lengths: a row per text, a column per language."""

@@ -122,7 +122,8 @@ class WaveletFile:
         """How often a token occurs in [start, end)."""
         if token < 0 or token >> len(self._zeros):
             return 0
-        first, last = self._range(token, start, self.n if end is None else end)
+        end = self.n if end is None else min(end, self.n)
+        first, last = self._range(token, min(start, end), end)
         return last - first
 
     def occurrence(self, token: int, k: int) -> int:
