@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siren.functions.places import first_listed_place, parse_coordinates
 from siren.functions.text import WORD, text_or_empty
-from siren.operators.lookup import MAX_BROADCAST_ROWS, SALTS, lookup_join, written
+from siren.operators.lookup import MAX_BROADCAST_ROWS, SALTS, lookup_join, row_hash, written
 
 MAX_INLINE_PLACES = 1000
 NO_PLACE = ["unknown", "", "none"]
@@ -48,7 +48,6 @@ def gazetteer_match(
     df: DataFrame,
     gazetteer: DataFrame,
     columns: Mapping[str, str],
-    key: str = "tweet_id",
     max_inline: int = MAX_INLINE_PLACES,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
@@ -56,49 +55,57 @@ def gazetteer_match(
 
     ``columns`` maps text columns to the columns to add. Names match case-insensitively, by whole words, over the
     whole text. A short gazetteer becomes part of the expression, with no join. A longer one is joined to the
-    texts' word sequences; this needs ``key`` to be unique.
+    texts' word sequences, and a text's answer is carried back by the text's digest: equal texts have equal answers,
+    whatever ids their rows have. The join writes its answers before the rows are read again, so streams go through
+    ``foreachBatch`` (as in ``streaming.live``).
     """
     places = inline_places(gazetteer, max_inline)
     if places is not None:
         return df.withColumns({out: first_listed_place(text, places) for text, out in columns.items()})
-    return _match_by_join(df, gazetteer, columns, key, max_broadcast_rows)
+    return _match_by_join(df, gazetteer, columns, max_broadcast_rows)
 
 
-def _match_by_join(
-    df: DataFrame, gazetteer: DataFrame, columns: Mapping[str, str], key: str, max_broadcast_rows: int
-) -> DataFrame:
+def _digest(text: str) -> Column:
+    """What stands for a text; NULL for texts without a word, which name no place."""
+    return F.when(text_or_empty(text).rlike(WORD), F.unhex(F.sha2(text_or_empty(text), 256)))
+
+
+def _match_by_join(df: DataFrame, gazetteer: DataFrame, columns: Mapping[str, str], max_broadcast_rows: int) -> DataFrame:
     # Written once: its sizes are asked for, and it takes part in two joins.
     names = written(
         place_names(gazetteer).groupBy("name", "n_words").agg(F.min("display").alias("display")), "place-names"
     )
     longest = names.agg(F.coalesce(F.max("n_words"), F.lit(1))).first()[0]
 
-    texts = df.select(key, F.explode(F.array(*[
-        F.struct(F.lit(out).alias("field"), _words(text).alias("words")) for text, out in columns.items()
-    ])).alias("part")).select(key, "part.field", "part.words").where(F.size("words") > 0)
+    texts = df.select(F.explode(F.array(*[
+        F.struct(_digest(text).alias("text"), _words(text).alias("words")) for text in columns
+    ])).alias("part")).select("part.text", "part.words").where(F.size("words") > 0)
     # One row per word position, holding no more words than the longest name has: linear in the text.
     windows = F.transform(F.sequence(F.lit(1), F.size("words")), lambda pos: F.slice("words", pos, F.lit(longest)))
-    starts = texts.select(key, "field", F.posexplode(windows).alias("pos", "window"))
+    starts = texts.select("text", F.posexplode(windows).alias("pos", "window"))
     # Most words begin no name: only the others go on to be joined as names of every length.
     first_words = names.select(F.substring_index("name", " ", 1).alias("first")).distinct()
     starts = lookup_join(
-        starts.withColumn("first", F.get("window", 0)), first_words, "first", F.struct(key, "pos"), how="left_semi",
+        starts.withColumn("first", F.get("window", 0)), first_words, "first", F.struct("text", "pos"), how="left_semi",
         max_broadcast_rows=max_broadcast_rows, bounded_by=names,
     )
     candidates = starts.select(
-        key, "field", "pos", F.explode(F.sequence(F.lit(1), F.size("window"))).alias("length"), "window"
-    ).select(key, "field", "pos", "length", F.array_join(F.slice("window", F.lit(1), F.col("length")), " ").alias("name"))
+        "text", "pos", F.explode(F.sequence(F.lit(1), F.size("window"))).alias("length"), "window"
+    ).select("text", "pos", "length", F.array_join(F.slice("window", F.lit(1), F.col("length")), " ").alias("name"))
 
     found = lookup_join(
-        candidates, names.select("name", "display"), "name", F.struct(key, "pos"), how="inner",
+        candidates, names.select("name", "display"), "name", F.struct("text", "pos"), how="inner",
         max_broadcast_rows=max_broadcast_rows, bounded_by=names,
     )
-    position = F.struct("pos", -F.col("length"))
-    firsts = found.groupBy(key).agg(*[
-        F.min_by(F.when(F.col("field") == out, F.col("display")), F.when(F.col("field") == out, position)).alias(out)
-        for out in columns.values()
-    ])
-    return df.join(firsts, key, "left").select(*df.columns, *columns.values())
+    # Copies of a text meet as partial minima. The answers are written: the rows are then read once, beside them.
+    first = F.min_by("display", F.struct("pos", -F.col("length"))).alias("_display")
+    answers = written(found.groupBy("text").agg(first), "found-places").withColumnRenamed("text", "_text")
+    result = df
+    for text, out in columns.items():
+        keyed = result.withColumn("_text", F.coalesce(_digest(text), F.concat(F.lit("none-"), row_hash(df).cast("string")).cast("binary")))
+        joined = lookup_join(keyed, answers, "_text", row_hash(df), max_broadcast_rows=max_broadcast_rows)
+        result = joined.withColumnRenamed("_display", out).drop("_text")
+    return result.select(*df.columns, *columns.values())
 
 
 def _words(text: str) -> Column:

@@ -10,12 +10,22 @@ from pyspark.sql import functions as F
 from siren.session import new_path
 
 MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether a table has at most ``max_rows`` rows; reads no more than that of each partition."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether a table has at most ``max_rows`` rows and ``max_bytes`` of values, by sums of each task; no row moves."""
+    size = sum(
+        (F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)) for name in df.columns), F.lit(8).cast("long")
+    )
+    row = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return row["rows"] <= max_rows and row["bytes"] <= max_bytes
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's own values, for salts: a task that is run again sends each row to the same place."""
+    return F.xxhash64(*[name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
 
 
 def computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
@@ -59,7 +69,7 @@ def lookup_join(
 ) -> DataFrame:
     """Join rows to a lookup table that has unique values of ``on``.
 
-    A lookup of checked size is broadcast and the rows stay where they are. A larger one is replicated over
+    A lookup of checked size (rows and bytes) is broadcast and the rows stay where they are. A larger one is replicated over
     ``salts`` salt values and joined on key and salt, so that a key holding a third of the rows is spread over as
     many tasks. The salt is a hash of ``spread_by``, not a random number: a task that is run again must send each
     row to the same place. ``bounded_by`` is a table the lookup has no more rows than, and is cheaper to count.

@@ -1,4 +1,8 @@
-"""The live feed: the batch column functions on a stream of landed files."""
+"""The live feed: the batch column functions on a stream of landed files.
+
+``stream_enrich`` runs the batch function on every micro-batch, whatever the gazetteer's size, and appends to a table;
+counters and alerts are streams over that table (``read_enriched``).
+"""
 
 from __future__ import annotations
 
@@ -32,11 +36,10 @@ def stream_dedup(stream: DataFrame, delay: str = "1 day", key: str = "tweet_id",
     return stream.where(F.col(key) != "").withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def stream_counters(stream: DataFrame, delay: str = "1 day", window: str = "1 hour", time: str = "event_ts") -> DataFrame:
-    """Counters of enriched reports per window of event time; a window is final once the watermark has passed it."""
+def window_counters(reports: DataFrame, window: str = "1 hour", time: str = "event_ts") -> DataFrame:
+    """Counters of enriched reports per window of event time."""
     return (
-        stream.withWatermark(time, delay)
-        .groupBy(F.window(time, window))
+        reports.groupBy(F.window(time, window))
         .agg(
             F.count(F.lit(1)).alias("total"),
             F.count_if(F.col("urgency_score") > L.HIGH_URGENCY).alias("high_urgency"),
@@ -57,6 +60,11 @@ def start(stream: DataFrame, path: str, checkpoint: str, interval: str | None =
     return writer.trigger(**trigger).start(path)
 
 
+def read_enriched(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The table that ``stream_enrich`` appends to, as a stream; at least one batch must have been written."""
+    return read_stream(spark, path, spark.read.parquet(path).schema, max_files=max_files)
+
+
 def stream_enrich(
     stream: DataFrame, path: str, checkpoint: str, gazetteer: DataFrame | None = None, interval: str | None = None
 ) -> StreamingQuery:
@@ -73,6 +81,28 @@ def stream_enrich(
     return _each_batch(stream, write_batch, checkpoint, interval)
 
 
+def stream_counters(
+    stream: DataFrame, path: str, checkpoint: str, window: str = "1 hour", interval: str | None = None, time: str = "event_ts"
+) -> StreamingQuery:
+    """Keep counters per window of enriched reports, in a folder per batch with that batch's share of each window.
+
+    Every report counts, also those of windows still open and those that come late: ``read_counters`` adds the shares
+    up. A batch that is run again after a failure writes the same folder again, so nothing counts twice.
+    """
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        window_counters(batch, window, time).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _each_batch(stream, write_batch, checkpoint, interval)
+
+
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    """The counters of all windows so far."""
+    names = ("total", "high_urgency", "unknown_location", "critical_review")
+    shares = spark.read.parquet(path)
+    return shares.groupBy("window_start", "window_end").agg(*[F.sum(name).alias(name) for name in names])
+
+
 def stream_alerts(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Append enriched reports that are urgent and without a place to an alerts table, once each."""
 

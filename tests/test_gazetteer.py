@@ -79,3 +79,29 @@ def test_geocode_report(spark):
     rows = [("Lima",), ("Lima",), ("unknown",), ("none",), ("",), (None,), ("Oslo",), ("1.5,2.5",)]
     df = spark.createDataFrame(rows, "location string")
     assert tuple(G.geocode_report(df, make_gazetteer(spark)).first()) == (3, 2)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"max_inline": 0}, {"max_inline": 0, "max_broadcast_rows": 0}])
+def test_ids_do_not_matter(spark, sizes):
+    """Repeated, blank and absent ids: a text's place belongs to the text."""
+    rows = [("a", "York"), ("a", "no place"), ("", "Lima"), ("", ""), (None, "Port-au-Prince"), (None, None), ("a", "york")]
+    df = spark.createDataFrame(rows, "tweet_id string, content string")
+    found = G.gazetteer_match(df, make_gazetteer(spark), {"content": "place"}, **sizes).collect()
+    assert sorted(((r.tweet_id, r.content, r.place) for r in found), key=str) == sorted(
+        ((i, t, brute_force(t)) for i, t in rows), key=str
+    )
+
+
+def test_join_reads_the_rows_once_and_moves_none(spark, tmp_path):
+    spark.createDataFrame([("k", "Lima")] * 50, "tweet_id string, content string").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    matched = G.gazetteer_match(df, make_gazetteer(spark), {"content": "a"}, max_inline=0)
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("tweet_id") and plan.count(str(tmp_path / "rows")) == 1 and "hashpartitioning" not in plan
+
+
+def test_sizes_are_summed_where_the_rows_are(spark):
+    from siren.operators.lookup import fits
+
+    df = spark.range(1000).selectExpr("id", "repeat('x', 100) AS name")
+    assert fits(df, 1000) and not fits(df, 999) and not fits(df, 1000, max_bytes=100_000)

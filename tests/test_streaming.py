@@ -53,20 +53,34 @@ def test_dedup_across_refreshes(spark, tmp_path):
     assert sorted(ids) == ["t1", "t2", "t3", "t4"]
 
 
-def test_counters_emit_final_windows_only(spark, tmp_path):
-    for hour in (1, 2, 9):
-        land(spark, tmp_path / "in", reports(spark, range(14), hour))
-    enriched = enrich(stream(spark, tmp_path / "in"), R.gazetteer(spark))
-    live.start(live.stream_counters(enriched, delay="2 hours"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("window_start").collect()
+def test_counters_of_all_windows(spark, tmp_path):
+    """Over several refreshes, a late file, and a table of places too large to be part of the expressions."""
+    more = spark.range(2000).selectExpr("concat('zzplace', id) place", "'x' display", "0D lat", "0D lon")
+    places = R.gazetteer(spark).unionAll(more)
+
+    def run():
+        live.stream_enrich(stream(spark, tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), places).awaitTermination()
+        enriched = live.read_enriched(spark, str(tmp_path / "out"), max_files=1)
+        live.stream_counters(enriched, str(tmp_path / "counts"), str(tmp_path / "ck2")).awaitTermination()
+
+    land(spark, tmp_path / "in", reports(spark, range(14), 2))
+    run()
+    land(spark, tmp_path / "in", reports(spark, range(14), 9))
+    land(spark, tmp_path / "in", reports(spark, range(14), 2))
+    run()
+    run()  # nothing new
+    rows = live.read_counters(spark, str(tmp_path / "counts")).orderBy("window_start").collect()
     assert [(r.window_start.hour, r.total, r.high_urgency, r.unknown_location, r.critical_review) for r in rows] == [
-        (1, 14, 5, 3, 1), (2, 14, 5, 3, 1),
+        (2, 28, 10, 6, 2), (9, 14, 5, 3, 1),
     ]
 
 
 def test_alerts(spark, tmp_path):
     land(spark, tmp_path / "in", reports(spark, range(28)))
-    enriched = enrich(stream(spark, tmp_path / "in"), R.gazetteer(spark), geocode=False)
+    live.stream_enrich(
+        stream(spark, tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "ck1"), R.gazetteer(spark)
+    ).awaitTermination()
+    enriched = live.read_enriched(spark, str(tmp_path / "table"))
     live.stream_alerts(enriched, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.tweet_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["t18", "t4"]
 
