@@ -47,9 +47,10 @@ def hashtag_place(tags: str | Column) -> Column:
     return F.when(tags != "", F.regexp_replace(tag, HAZARD_END, "")).otherwise("")
 
 
-def normalize_location(place: str | Column) -> Column:
-    """A usable location name, or NULL for noise and leftovers of under two characters."""
-    return _usable(strip_space(place))
+def normalize_location(place: str | Column, max_chars: int | None = None) -> Column:
+    """A usable location name, or NULL for noise and leftovers of under two characters; ``max_chars`` cuts it."""
+    usable = _usable(strip_space(place))
+    return usable if max_chars is None else F.substring(usable, 1, max_chars)
 
 
 def _usable(stripped: Column) -> Column:
@@ -57,7 +58,7 @@ def _usable(stripped: Column) -> Column:
         strip_space(F.regexp_replace(stripped, NON_ASCII, ""))
     )
     usable = (F.char_length(ascii_only) >= 2) & ~F.lower(stripped).isin(L.LOCATION_NOISE)
-    return F.when(usable, F.substring(ascii_only, 1, 80))
+    return F.when(usable, ascii_only)
 
 
 def first_usable(steps: Sequence[tuple[str, Column]]) -> Column:
@@ -85,7 +86,7 @@ def location_steps(
     """The candidates of the cascade in order, before normalisation: (source, place)."""
     steps = [] if text_place is None else [("tweet", text_place)]
     # A name found in the bio hides the pattern, even when the name turns out to be noise.
-    in_bio = city_state(bio) if bio_place is None else F.coalesce(bio_place, city_state(bio))
+    in_bio = city_state(bio) if bio_place is None else F.coalesce(F.nullif(bio_place, F.lit("")), city_state(bio))
     return steps + [
         ("tweet", city_state(text)),
         ("hashtag", hashtag_place(hashtags)),

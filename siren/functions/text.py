@@ -63,8 +63,8 @@ def clean_text(column: str | Column) -> Column:
     return F.trim(text)
 
 
-def strip_tags(column: str | Column, max_chars: int | None = 500) -> Column:
-    """Markup replaced by spaces, whitespace collapsed; ``max_chars=None`` keeps the whole text."""
+def strip_tags(column: str | Column, max_chars: int | None = None) -> Column:
+    """Markup replaced by spaces, whitespace collapsed; ``max_chars`` cuts the text."""
     text = squeeze(F.regexp_replace(text_or_empty(column), MARKUP, " "))
     return text if max_chars is None else F.substring(text, 1, max_chars)
 

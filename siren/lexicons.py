@@ -55,11 +55,6 @@ LOCATION_CONFIDENCE = {
     "none": "none",
 }
 
-SEARCH_QUERIES = [
-    "flood help rescue", "earthquake urgent rescue", "disaster emergency help", "hurricane rescue needed",
-    "wildfire evacuate", "cyclone flood relief",
-]
-
 URGENT_WEIGHT = 8
 MEDIUM_WEIGHT = 3
 HIGH_URGENCY = 70

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siren import lexicons as L
 from siren.functions.scoring import any_word
 from siren.functions.text import _col, text_or_empty
-from siren.operators.lookup import lookup_join, written
+from siren.operators.lookup import SALTS, computed_once, lookup_join, row_hash, written
 
 MIN_ROWS = 5
 
@@ -22,22 +22,31 @@ def union_sources(*feeds: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
 
 
-def first_queries(df: DataFrame, n: int, queries: Sequence[str] = L.SEARCH_QUERIES) -> DataFrame:
+def first_queries(df: DataFrame, n: int, queries: Sequence[str]) -> DataFrame:
     """Rows found by the first ``n`` of the ordered search queries."""
     return df.where(F.col("query_used").isin(list(queries[:n])))
 
 
+#: Above this rank Spark does not limit groups before the shuffle.
+GROUP_LIMIT = 1000
+
+
 def cap_per_query(df: DataFrame, n: int | None, by: str = "query_used", order: Sequence[Column] | None = None) -> DataFrame:
     """The first ``n`` rows of each query, newest first; all rows for ``n=None``.
 
-    Spark limits each group before the shuffle (``WindowGroupLimit``), so a hot query sends at most ``n`` rows per
-    task.
+    Up to 1,000 rows Spark limits each group before the shuffle (``WindowGroupLimit``), so a hot query sends at most
+    ``n`` rows per task. Beyond, a query's rows are first limited in ``SALTS`` parts, so that no task sorts them all.
     """
     if n is None:
         return df
     order = order or [F.col("event_ts").desc_nulls_last(), F.col("tweet_id")]
+    capped = df
+    if n > GROUP_LIMIT:
+        capped = capped.withColumn("_part", F.pmod(row_hash(df), F.lit(SALTS)).cast("int"))
+        part_rank = F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order))
+        capped = capped.withColumn("_rank", part_rank).where(F.col("_rank") <= n).drop("_rank", "_part")
     rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    return capped.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
 def source_failover(df: DataFrame, by: str = "query_used", rank: str = "mirror_rank", spread_by: str = "tweet_id") -> DataFrame:
@@ -62,17 +71,14 @@ def dedup_first_seen(df: DataFrame, key: str = "tweet_id", order: Sequence[Colum
     return df.where(F.col(key) != "").withColumn("_first", first).where("_first = 1").drop("_first")
 
 
-def is_relevant(words: Sequence[str] = L.RELEVANCE_WORDS) -> Column:
-    """Whether text and bio, joined without a space, hold any of the words.
-
-    A filter evaluates every mention of an expression anew; the lambda makes the lower-case text once.
-    """
-    haystack = F.lower(F.concat(text_or_empty("content"), text_or_empty("user_bio")))
-    return F.exists(F.array(haystack), lambda lowered: any_word(lowered, words))
+def _searched(df: DataFrame) -> DataFrame:
+    """Text and bio in lower case, joined without a space, made once: a filter on them stays above, in generated code."""
+    return computed_once(df, {"_searched": F.lower(F.concat(text_or_empty("content"), text_or_empty("user_bio")))})
 
 
 def relevance_filter(df: DataFrame, words: Sequence[str] = L.RELEVANCE_WORDS) -> DataFrame:
-    return df.where(is_relevant(words))
+    """Rows whose text or bio holds any of the words."""
+    return _searched(df).where(any_word(F.col("_searched"), words)).drop("_searched")
 
 
 def at_least(df: DataFrame, n: int) -> Column:
@@ -83,7 +89,7 @@ def at_least(df: DataFrame, n: int) -> Column:
 def relevance_fallback(df: DataFrame, words: Sequence[str] = L.RELEVANCE_WORDS, min_rows: int = MIN_ROWS) -> DataFrame:
     """Relevant rows; all rows when fewer than ``min_rows`` are relevant."""
     enough = at_least(relevance_filter(df, words).select(F.lit(1)), min_rows)
-    return df.where(is_relevant(words) | ~enough)
+    return _searched(df).where(any_word(F.col("_searched"), words) | ~enough).drop("_searched")
 
 
 def source_fallback(df: DataFrame, substitute: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -92,6 +98,23 @@ def source_fallback(df: DataFrame, substitute: DataFrame, min_rows: int = MIN_RO
     return df.where(enough).unionByName(substitute.where(~enough), allowMissingColumns=True)
 
 
+def collect_reports(
+    feeds: Sequence[DataFrame],
+    substitute: DataFrame | None = None,
+    words: Sequence[str] = L.RELEVANCE_WORDS,
+    min_rows: int = MIN_ROWS,
+) -> DataFrame:
+    """What a round of collecting gives: the feeds in order, each report once, the relevant ones.
+
+    With ``substitute``, fewer than ``min_rows`` collected rows are replaced by it before the dedup. Where fewer than
+    ``min_rows`` reports are relevant, all stay.
+    """
+    collected = union_sources(*feeds)
+    if substitute is not None:
+        collected = source_fallback(collected, substitute, min_rows)
+    return relevance_fallback(dedup_first_seen(collected), words, min_rows)
+
+
 def distinct_ordered(df: DataFrame, value: str, ordinal: str | Column, ignore: Sequence[str] = ("", "unknown")) -> DataFrame:
     """Distinct values with the position they first appear at, in that order."""
     kept = df.where(F.col(value).isNotNull() & ~F.col(value).isin(list(ignore)))

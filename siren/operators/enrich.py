@@ -64,7 +64,8 @@ def probability_classify(df: DataFrame, probabilities: Column, text: str = "clea
     The category is the most probable class, the first of them on a tie.
     """
     labels = F.array(*[F.lit(label) for label in L.LABELS])
-    scored = df.withColumn("_probabilities", probabilities)
+    # A filter on the result must not run the scorer a second time.
+    scored = computed_once(df, {"_probabilities": probabilities})
     best = F.array_position("_probabilities", F.array_max("_probabilities")).cast("int")
     probability = [F.get("_probabilities", index) for index in range(len(L.LABELS))]
     return scored.withColumns({
@@ -81,6 +82,15 @@ def model_classify(df: DataFrame, model: PipelineModel, text: str = "clean_text"
     return result.select(*df.columns, "category", "urgency_score", "all_probs")
 
 
+def _batchwise(function: ScoreFn) -> ScoreFn:
+    """A user's function under the hints by which Spark knows it takes batches, whatever it is written as."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from function(batches)
+
+    return run
+
+
 def classify(
     df: DataFrame, model: PipelineModel | None = None, score_fn: ScoreFn | None = None, text: str = "clean_text"
 ) -> DataFrame:
@@ -92,28 +102,26 @@ def classify(
     if model is not None:
         return model_classify(df, model, text).withColumn("model_mode", F.lit("model"))
     if score_fn is not None:
-        scorer = F.pandas_udf(score_fn, T.ArrayType(T.DoubleType()))
+        scorer = F.pandas_udf(_batchwise(score_fn), T.ArrayType(T.DoubleType()))
         return probability_classify(df, scorer(text), text).withColumn("model_mode", F.lit("model"))
     return rule_classify(df, text).withColumn("model_mode", F.lit("rule-based"))
 
 
 def extract_location(
-    df: DataFrame, gazetteer: DataFrame | None = None, entity_fn: EntityFn | None = None, key: str = "tweet_id", **sizes: int
+    df: DataFrame, gazetteer: DataFrame | None = None, entity_fn: EntityFn | None = None, **sizes: int
 ) -> DataFrame:
     """Add location, location_source and location_confidence.
 
     Places in text and bio come from the gazetteer or from a user's ``entity_fn`` (text batches to place names or
-    NULL); without either only patterns, hashtags and the profile are used.
+    NULL, an empty name counts as none); without either only patterns, hashtags and the profile are used.
     """
     text_place = bio_place = None
     prepared = df
     if entity_fn is not None:
-        finder = F.pandas_udf(entity_fn, T.StringType())
-        prepared = df.withColumns({"_text_place": finder("content"), "_bio_place": finder("user_bio")})
+        finder = F.pandas_udf(_batchwise(entity_fn), T.StringType())
+        prepared = computed_once(df, {"_text_place": finder("content"), "_bio_place": finder("user_bio")})
     elif gazetteer is not None:
-        prepared = gazetteer_match(
-            df, gazetteer, {"content": "_text_place", "user_bio": "_bio_place"}, key=key, **sizes
-        )
+        prepared = gazetteer_match(df, gazetteer, {"content": "_text_place", "user_bio": "_bio_place"}, **sizes)
     if prepared is not df:
         text_place, bio_place = F.col("_text_place"), F.col("_bio_place")
     steps = location_steps("content", "hashtags_str", "user_location", "user_bio", text_place, bio_place)

@@ -75,8 +75,8 @@ def filter_known_location(df: DataFrame) -> DataFrame:
     return df.where(known_location())
 
 
-def filter_not_geocoded(df: DataFrame, limit: int | None = 30) -> DataFrame:
-    """Distinct known locations without coordinates, in name order."""
+def filter_not_geocoded(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct known locations without coordinates; the first ``limit`` in name order."""
     names = df.where(known_location() & F.col("lat").isNull()).select("location").distinct()
     return names.orderBy("location").limit(limit) if limit is not None else names
 
@@ -110,9 +110,9 @@ def search_reports(
     has_coords: bool = False,
     sort: str = "urgency_score",
     ascending: bool = False,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """All filters together, sorted and limited. Cheap comparisons come before the pattern searches."""
+    """All filters together, sorted; ``limit`` keeps the first rows. Cheap comparisons come before the pattern searches."""
     found = filter_min_urgency(df, min_urgency)
     if urgency_range is not None:
         found = filter_urgency_range(found, *urgency_range)

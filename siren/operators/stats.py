@@ -83,36 +83,34 @@ def distributions(df: DataFrame, columns: Sequence[str] = DISTRIBUTIONS) -> Data
 
 
 def describe_urgency(df: DataFrame, column: str = "urgency_score") -> DataFrame:
-    """count, mean, std, min, interpolated quartiles, max.
+    """count, mean, std, min, interpolated quartiles, max of the column's values as they are.
 
-    Scores have two decimals between 0 and 100, so the rows first shrink to at most 10,001 (score, count) pairs; the
-    exact percentiles are taken over those.
+    Moments are merged by the tasks. Exact quartiles are taken over (value, count) pairs; scores have two decimals
+    between 0 and 100, so there are at most 10,001 of those.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.round(column, 2).alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    score, n = F.col("score"), F.col("n")
-    total, mean = F.sum(n), F.sum(score * n) / F.sum(n)
-    quartiles = F.percentile("score", [0.25, 0.5, 0.75], n)
-    spread = counts.agg(
-        total.alias("count"), mean.alias("mean"), F.min("score").alias("min"), F.max("score").alias("max"),
-        F.sum(score * score * n).alias("_squares"), quartiles.alias("_quartiles"),
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("score"))
+    counts = values.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    quartiles = counts.agg(F.percentile("score", [0.25, 0.5, 0.75], F.col("n")).alias("q")).scalar()
+    moments = values.agg(
+        F.count(F.lit(1)).alias("count"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"),
+        F.min("score").alias("min"), F.max("score").alias("max"),
     )
-    variance = (F.col("_squares") - F.col("count") * F.col("mean") * F.col("mean")) / (F.col("count") - 1)
-    return spread.select(
-        "count", "mean",
-        F.when(F.col("count") > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("std"),
-        "min",
+    return moments.withColumn("_quartiles", quartiles).select(
+        "count", "mean", "std", "min",
         F.get("_quartiles", 0).alias("p25"), F.get("_quartiles", 1).alias("p50"), F.get("_quartiles", 2).alias("p75"),
         "max",
     )
 
 
 def urgency_histogram(df: DataFrame, bins: int = 20, column: str = "urgency_score") -> DataFrame:
-    """Reports per score bin over 0-100; the top score belongs to the last bin."""
+    """Reports per score bin over 0-100, empty bins too; the top score belongs to the last bin."""
     bucket = F.least(F.width_bucket(column, F.lit(0.0), F.lit(100.0), F.lit(bins)), F.lit(bins))
     width = 100.0 / bins
     counted = df.where(F.col(column).isNotNull()).groupBy(bucket.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(
-        "bin", ((F.col("bin") - 1) * width).alias("bin_start"), (F.col("bin") * width).alias("bin_end"), "n"
+    every = df.sparkSession.range(1, bins + 1, numPartitions=1).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counted, "bin", "left").select(
+        "bin", ((F.col("bin") - 1) * width).alias("bin_start"), (F.col("bin") * width).alias("bin_end"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
     ).orderBy("bin")
 
 

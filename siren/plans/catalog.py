@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siren import lexicons as L
 from siren.functions import places, scoring
 from siren.functions import text as T
-from siren.operators import collect, gazetteer, learn, search, stats
+from siren.operators import batch, collect, gazetteer, learn, search, stats
 from siren.operators import enrich as E
 from siren.operators.lookup import spread
 from siren.plans import relations as R
@@ -40,7 +40,14 @@ RAW_VIEW = (
 
 @query
 def read_rss_reports(spark, sf_dir):
-    reports = feeds.read_rss_reports(spark, R.landed_posts_feed(spark, sf_dir), max_per_query=None, item_lines=True)
+    reports = feeds.read_rss_reports(spark, R.landed_posts_feed(spark, sf_dir), item_lines=True)
+    return reports.select(*RAW_VIEW, "mirror_rank")
+
+
+@query
+def read_rss_documents(spark, sf_dir):
+    """The same feeds as whole documents, a task to each."""
+    reports = feeds.read_rss_reports(spark, R.landed_posts_feed(spark, sf_dir, items_per_document=50))
     return reports.select(*RAW_VIEW, "mirror_rank")
 
 
@@ -49,28 +56,34 @@ def cap_per_query(spark, sf_dir):
     return collect.cap_per_query(R.reports(spark, sf_dir), 20).select("tweet_id", "query_used", "date")
 
 
+@query
+def cap_per_query_many(spark, sf_dir):
+    """A cap above the rank up to which Spark limits groups by itself."""
+    return collect.cap_per_query(R.reports(spark, sf_dir), 1500).select("tweet_id", "query_used", "date")
+
+
 @query
 def source_failover(spark, sf_dir):
-    reports = feeds.read_rss_reports(spark, R.landed_posts_feed(spark, sf_dir), max_per_query=None, item_lines=True)
+    reports = feeds.read_rss_reports(spark, R.landed_posts_feed(spark, sf_dir), item_lines=True)
     return collect.source_failover(reports).select("tweet_id", "query_used", "mirror_rank")
 
 
 @query
 def read_alert_feed(spark, sf_dir):
-    return feeds.read_alert_feed(spark, R.landed_alert_feed(spark, sf_dir), limit=None, item_lines=True).select(*RAW_VIEW)
+    return feeds.read_alert_feed(spark, R.landed_alert_feed(spark, sf_dir), item_lines=True).select(*RAW_VIEW)
 
 
 @query
 def read_situation_reports(spark, sf_dir):
     path = R.landed_situation_reports(spark, sf_dir)
-    return feeds.read_situation_reports(spark, path, limit=None).select(*RAW_VIEW)
+    return feeds.read_situation_reports(spark, path).select(*RAW_VIEW)
 
 
 @query
 def read_social_posts(spark, sf_dir):
     as_of = F.lit("2024-01-20 12:00:00").cast("timestamp")
     path = R.landed_social_posts(spark, sf_dir)
-    return feeds.read_social_posts(spark, path, as_of=as_of, max_per_query=None).select(*RAW_VIEW)
+    return feeds.read_social_posts(spark, path, as_of=as_of).select(*RAW_VIEW)
 
 
 @query
@@ -128,10 +141,15 @@ def source_fallback(spark, sf_dir):
 
 @query
 def source_freshness(spark, sf_dir):
-    files = R.table(spark, sf_dir, "events")
-    as_of = F.max("_metadata.file_modification_time") + F.expr("INTERVAL 3 MINUTES")
-    newest = files.agg(as_of.alias("as_of")).scalar()
-    return tables.source_freshness(files, newest)
+    """Several landed files, seen at three times after the last of them landed."""
+    files = spark.read.parquet(R.landed_reports(spark, sf_dir))
+    newest = files.agg(F.max("_metadata.file_modification_time").alias("t")).first()["t"]
+    seen = []
+    for label, later in (("soon", "30 MINUTES"), ("today", "5 HOURS"), ("next day", "30 HOURS")):
+        as_of = F.lit(newest) + F.expr(f"INTERVAL {later}")
+        ages = tables.source_freshness(files, as_of, minutes=60)
+        seen.append(ages.groupBy(F.lit(label).alias("seen"), "age", "fresh").agg(F.sum("n_rows").alias("n_rows")))
+    return seen[0].unionAll(seen[1]).unionAll(seen[2])
 
 
 @query
@@ -145,7 +163,18 @@ def write_raw(spark, sf_dir):
 def write_enriched(spark, sf_dir):
     path = new_path(spark, "enriched")
     tables.write_enriched(R.enriched(spark, sf_dir), path)
-    return spark.read.parquet(path)
+    stored = spark.read.parquet(path)
+    return stored.select(
+        "tweet_id", *tables.ENRICHED_COLUMNS, "clean_text", "keyword_score", "hashtags_str", "like_count", "model_mode"
+    )
+
+
+@query
+def write_enriched_again(spark, sf_dir):
+    """A stored table written from a stored table."""
+    path = new_path(spark, "enriched")
+    tables.write_enriched(R.stored(spark, sf_dir), path, staged=False)
+    return spark.read.parquet(path).select("tweet_id", "urgency_score", "location", "lat")
 
 
 @query
@@ -196,6 +225,28 @@ def relevance_fallback(spark, sf_dir):
     return all_docs.unionByName(some_reports).select("tweet_id", F.md5("content").alias("content_md5"))
 
 
+@query
+def collect_reports(spark, sf_dir):
+    """Two feeds that share reports, and a third of documents; enough is collected and relevant."""
+    reports = R.reports(spark, sf_dir).select("tweet_id", "event_ts", "content", "user_bio")
+    documents = R.doc_reports(spark, sf_dir).select("tweet_id", "content", "user_bio")
+    base = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    substitute = synthetic_reports(R.table(spark, sf_dir, "events"), "event_id", base).select("tweet_id", "content")
+    first = reports.where(F.col("tweet_id") < "8")
+    collected = collect.collect_reports([first, documents, reports], substitute)
+    return collected.select("tweet_id", "source_rank", F.md5("content").alias("content_md5"))
+
+
+@query
+def collect_nothing(spark, sf_dir):
+    """Empty feeds: the substitute set goes through dedup and relevance."""
+    nothing = R.reports(spark, sf_dir).select("tweet_id", "event_ts", "content", "user_bio").where("content = 'no such text'")
+    base = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    made = synthetic_reports(R.table(spark, sf_dir, "events"), "event_id", base)
+    substitute = made.select("tweet_id", "event_ts", "content", "user_bio")
+    return collect.collect_reports([nothing], substitute).select("tweet_id", F.md5("content").alias("content_md5"))
+
+
 @query
 def distinct_ordered(spark, sf_dir):
     enriched = R.stored(spark, sf_dir)
@@ -231,7 +282,7 @@ QUERIES["report_id"] = over_texts(report_id=lambda text: T.report_id("text_key",
 def strip_tags(spark, sf_dir):
     pages = spread(R.table(spark, sf_dir, "pages"), "page_id")
     return pages.select(
-        "page_id", T.strip_tags("html", None).alias("plain_text"), T.strip_tags("html").alias("content")
+        "page_id", T.strip_tags("html").alias("plain_text"), T.strip_tags("html", 500).alias("content")
     )
 
 
@@ -345,9 +396,29 @@ def score_fn_classify(spark, sf_dir):
     return classified.select("tweet_id", "category", "urgency_score", "model_mode")
 
 
+@query
+def classify_texts(spark, sf_dir):
+    """Documents, turns and addresses by the rules."""
+    classified = E.classify(E.preprocess(R.text_reports(spark, sf_dir)))
+    return classified.select("tweet_id", "category", "urgency_score", "keyword_score", "model_mode")
+
+
 @query
 def enrich_batch(spark, sf_dir):
-    return stats.batch_counts(R.stored(spark, sf_dir))
+    """Every result of a batch, beside the counts of the batch."""
+    rows, counts = batch.enrich_batch(R.reports(spark, sf_dir), R.gazetteer(spark))
+    return rows.select("tweet_id", "category", "urgency_score", "location").withColumns({
+        name: counts.select(name).scalar() for name in counts.columns
+    })
+
+
+@query
+def run_batch(spark, sf_dir):
+    """Collect, enrich, store and summarise: the summary, and the counters seen on the way."""
+    reports = R.reports(spark, sf_dir)
+    counters, summary = batch.run_batch([reports, reports], R.gazetteer(spark), new_path(spark, "run"))
+    rows = [("observed", name, str(value)) for name, value in counters.items()]
+    return summary.unionByName(spark.createDataFrame(rows, "section string, name string, value string"))
 
 
 @query
@@ -372,14 +443,54 @@ def gazetteer_match(spark, sf_dir):
 
 @query
 def gazetteer_match_join(spark, sf_dir):
-    """A gazetteer that grows with the data, over whole documents, by join."""
+    """A gazetteer that grows with the data, over whole documents whose ids repeat or are absent, by join."""
+    documents = spread(R.table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text")
+    loose = documents.withColumn("tweet_id", F.when(F.col("doc_id") % 5 > 1, F.col("doc_id") % 3))
+    matched = gazetteer.gazetteer_match(loose, R.phrase_gazetteer(spark, sf_dir), {"text": "place"}, max_inline=0)
+    return matched.select("doc_id", "tweet_id", "place")
+
+
+@query
+def gazetteer_match_shuffled(spark, sf_dir):
+    """The same with nothing broadcast."""
+    documents = spread(R.table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text")
     matched = gazetteer.gazetteer_match(
-        spread(R.table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text"), R.phrase_gazetteer(spark, sf_dir),
-        {"text": "place"}, key="doc_id", max_inline=0,
+        documents, R.phrase_gazetteer(spark, sf_dir), {"text": "place"}, max_inline=0, max_broadcast_rows=0
     )
     return matched.select("doc_id", "place")
 
 
+@query
+def hashtag_place_texts(spark, sf_dir):
+    tags = T.hashtags_str(T.extract_hashtags("content"))
+    return R.text_reports(spark, sf_dir).select("tweet_id", places.hashtag_place(tags).alias("place"))
+
+
+@query
+def extract_location_texts(spark, sf_dir):
+    """Places in documents, turns and addresses, by a gazetteer of their own words."""
+    located = E.extract_location(E.preprocess(R.text_reports(spark, sf_dir)), R.word_gazetteer(spark, sf_dir))
+    return located.select("tweet_id", "location", "location_source", "location_confidence")
+
+
+@query
+def entity_fn_location(spark, sf_dir):
+    """The entity hook, with a finder of the first word of nine letters or more."""
+
+    def finder(batches):
+        for texts in batches:
+            yield texts.str.extract(r"\b([A-Za-z]{9,})\b", expand=False).fillna("")
+
+    located = E.extract_location(E.preprocess(R.text_reports(spark, sf_dir)), entity_fn=finder)
+    return located.select("tweet_id", "location", "location_source")
+
+
+@query
+def enrich_texts(spark, sf_dir):
+    enriched = E.enrich(R.text_reports(spark, sf_dir), R.word_gazetteer(spark, sf_dir))
+    return enriched.select("tweet_id", "category", "urgency_score", "location", "location_source", "priority", "lat", "lon")
+
+
 @query
 def hashtag_place(spark, sf_dir):
     reports = R.reports(spark, sf_dir)
@@ -505,7 +616,7 @@ QUERIES["filter_location_contains"] = over_enriched(lambda df: search.filter_loc
 QUERIES["filter_has_coords"] = over_enriched(search.filter_has_coords)
 QUERIES["filter_critical_review"] = over_enriched(search.filter_critical_review)
 QUERIES["filter_known_location"] = over_enriched(search.filter_known_location)
-QUERIES["filter_not_geocoded"] = over_enriched(lambda df: search.filter_not_geocoded(df), "location")
+QUERIES["filter_not_geocoded"] = over_enriched(search.filter_not_geocoded, "location")
 QUERIES["sort_by"] = over_enriched(lambda df: search.sort_by(df, "priority_rank", ascending=True))
 QUERIES["top_urgent"] = over_enriched(lambda df: search.top_urgent(df, 100))
 QUERIES["top_high_urgency"] = over_enriched(lambda df: search.top_high_urgency(df, 5))
@@ -578,29 +689,35 @@ def stratified_split(spark, sf_dir):
 
 @query
 def tokenize(spark, sf_dir):
-    tokens = learn.tokenize("text", None)
+    tokens = learn.tokenize("text")
     return R.texts(spark, sf_dir).select(
         "text_key",
         F.size(tokens).cast("long").alias("n_tokens"),
-        F.array_join(learn.tokenize("text"), " ").alias("model_input"),
+        F.array_join(tokens, " ").alias("model_input"),
     )
 
 
 @query
 def train_classifier(spark, sf_dir):
-    split = learn.stratified_split(_labelled_documents(spark, sf_dir), "doc_id")
-    model = learn.train_classifier(split.where("split = 'train'"), reg_params=(0.01, 0.1), max_iter=10)
-    return learn.eval_metrics(model.transform(split.where("split = 'test'")))
+    """A classifier of the documents' languages, on a fifth of each language that it has not seen."""
+    languages = F.array(*[F.lit(lang) for lang in ("de", "en", "es", "fr")])
+    label = (F.array_position(languages, F.col("lang")) - 1).alias("label")
+    documents = R.table(spark, sf_dir, "documents").select("doc_id", "text", label)
+    split = learn.stratified_split(documents, "doc_id")
+    model = learn.train_classifier(split.where("split = 'train'"), reg_params=(0.001, 0.1), features=1 << 12, max_iter=10)
+    metrics = learn.eval_metrics(model.transform(split.where("split = 'test'")))
+    return metrics.select("n", (F.col("f1") > 0.9).alias("good_f1"), (F.col("accuracy") > 0.9).alias("good_accuracy"))
 
 
 @query
 def model_classify(spark, sf_dir):
+    """A model taught by the rules gives the rules' categories."""
     cleaned = E.preprocess(R.reports(spark, sf_dir))
     labelled = E.rule_classify(cleaned).select(
         F.col("clean_text").alias("text"), learn.label_id("category").alias("label")
     )
-    model = learn.train_classifier(labelled, reg_params=(0.01,), features=1 << 12, max_iter=10)
-    return E.classify(cleaned, model=model).select("tweet_id", "category", "urgency_score", "model_mode")
+    model = learn.build_pipeline(features=1 << 12, max_iter=50).fit(labelled.select("text", F.col("label").cast("double")))
+    return E.classify(cleaned, model=model).select("tweet_id", "category", "model_mode")
 
 
 @query
@@ -650,17 +767,21 @@ def run_log(spark, sf_dir):
 
 
 def _stream_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = R.table(spark, sf_dir, "events").schema
-    return R.reports_of(live.read_stream(spark, sf_dir, schema, pathGlobFilter="events.parquet"))
+    """The reports as a stream of several files, two to a batch."""
+    path = R.landed_reports(spark, sf_dir)
+    return live.read_stream(spark, path, spark.read.parquet(path).schema, max_files=2)
+
+
+def _enriched_stream(spark: SparkSession, sf_dir: str, places: DataFrame) -> str:
+    """Where a stream has enriched all reports."""
+    path = new_path(spark, "live")
+    live.stream_enrich(_stream_reports(spark, sf_dir), f"{path}/table", f"{path}/checkpoint", places).awaitTermination()
+    return f"{path}/table"
 
 
 @query
 def stream_enrich(spark, sf_dir):
-    path = new_path(spark, "live")
-    live.stream_enrich(
-        _stream_reports(spark, sf_dir), f"{path}/table", f"{path}/checkpoint", R.gazetteer(spark)
-    ).awaitTermination()
-    return spark.read.parquet(f"{path}/table").select(*FOUND, "lat", "lon")
+    return spark.read.parquet(_enriched_stream(spark, sf_dir, R.gazetteer(spark))).select(*FOUND, "lat", "lon")
 
 
 @query
@@ -675,21 +796,22 @@ def stream_dedup(spark, sf_dir):
 
 @query
 def stream_counters(spark, sf_dir):
-    """Hourly counters of the windows that are final."""
-    path = new_path(spark, "live")
-    enriched = E.enrich(_stream_reports(spark, sf_dir), R.gazetteer(spark), geocode=False)
-    live.start(live.stream_counters(enriched), f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    stored = spark.read.parquet(f"{path}/table")
-    return stored.withColumns({
+    """Hourly counters of all windows, over reports enriched with thousands of names."""
+    enriched = _enriched_stream(spark, sf_dir, R.wide_gazetteer(spark, sf_dir))
+    path = new_path(spark, "counters")
+    stream = live.read_enriched(spark, enriched, max_files=4)
+    live.stream_counters(stream, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return live.read_counters(spark, f"{path}/table").withColumns({
         name: F.date_format(name, "yyyy-MM-dd HH:mm:ss") for name in ("window_start", "window_end")
     })
 
 
 @query
 def stream_alerts(spark, sf_dir):
-    path = new_path(spark, "live")
-    enriched = E.enrich(_stream_reports(spark, sf_dir), R.gazetteer(spark), geocode=False)
-    live.stream_alerts(enriched, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    enriched = _enriched_stream(spark, sf_dir, R.wide_gazetteer(spark, sf_dir))
+    path = new_path(spark, "alerts")
+    stream = live.read_enriched(spark, enriched, max_files=4)
+    live.stream_alerts(stream, f"{path}/table", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/table").select(*FOUND)
 
 

@@ -90,7 +90,7 @@ def normal(place: str) -> str:
     ascii_only = strip_space(rf"regexp_replace({stripped}, '[^\x00-\x7F]+', '', 'g')")
     return (
         f"CASE WHEN lower({stripped}) NOT IN ({', '.join(map(lit, L.LOCATION_NOISE))}) "
-        f"AND length({ascii_only}) >= 2 THEN substr({ascii_only}, 1, 80) END"
+        f"AND length({ascii_only}) >= 2 THEN {ascii_only} END"
     )
 
 
@@ -259,30 +259,32 @@ def xml_text(column: str) -> str:
 FEED = f"""
 feed AS (
   SELECT {short_id("'https://feeds.example/' || page_id || substr(body, 1, 30)")} AS tweet_id,
-         {iso(FEED_TIME.format('page_id'))} AS date, substr(body, 1, 500) AS content,
+         {iso(FEED_TIME.format('page_id'))} AS date, body AS content,
          'desk_' || page_id AS username, '' AS user_bio, '' AS user_location, {RAW_NUMBERS},
          'site ' || split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), ':', 1), '.', -1) AS query_used,
          CASE WHEN url LIKE 'https%' THEN 1 ELSE 2 END AS mirror_rank
   FROM (SELECT *, {strip_tags(xml_text('html'))} AS body FROM pages) WHERE length(body) >= 10
 )"""
 ORACLES["read_rss_reports"] = f"WITH {FEED} SELECT * FROM feed"
+ORACLES["read_rss_documents"] = ORACLES["read_rss_reports"]
 ORACLES["source_failover"] = f"""WITH {FEED} SELECT tweet_id, query_used, mirror_rank FROM feed f
 WHERE mirror_rank = (SELECT min(mirror_rank) FROM feed g WHERE g.query_used = f.query_used)"""
-over_reports(
-    "cap_per_query",
-    "SELECT tweet_id, query_used, date FROM reports "
-    "QUALIFY row_number() OVER (PARTITION BY query_used ORDER BY event_ts DESC, tweet_id) <= 20",
-)
+for _name, _cap in (("cap_per_query", 20), ("cap_per_query_many", 1500)):
+    over_reports(
+        _name,
+        "SELECT tweet_id, query_used, date FROM reports "
+        f"QUALIFY row_number() OVER (PARTITION BY query_used ORDER BY event_ts DESC, tweet_id) <= {_cap}",
+    )
 ORACLES["read_alert_feed"] = f"""
 SELECT {short_id("'https://alerts.example/' || doc_id")} AS tweet_id, {iso(FEED_TIME.format('doc_id'))} AS date,
-       substr({strip_tags("'Alert ' || source || '. ' || " + xml_text('text'))}, 1, 500) AS content,
+       {strip_tags("'Alert ' || source || '. ' || " + xml_text('text'))} AS content,
        'GDACS_Alert' AS username, 'Global Disaster Alert and Coordination System (UN)' AS user_bio,
        CASE WHEN lang <> 'en' THEN '1' || substr(source, 4) || '.5,-2' || substr(source, 4) || '.25' ELSE '' END AS user_location,
        {RAW_NUMBERS}, 'gdacs_feed' AS query_used
 FROM documents"""
 ORACLES["read_situation_reports"] = f"""
 SELECT {short_id("'Report  ' || doc_id || " + iso(FEED_TIME.format('doc_id')))} AS tweet_id, {iso(FEED_TIME.format('doc_id'))} AS date,
-       substr({squeeze("'Report  ' || doc_id || '. ' || substr(text, 1, 300)")}, 1, 500) AS content,
+       {squeeze("'Report  ' || doc_id || '. ' || text")} AS content,
        CASE WHEN lang = 'fr' THEN 'ReliefWeb'
             ELSE substr('Office_of_' || source || '_and_the_coordination_unit', 1, 30) END AS username,
        'UN ReliefWeb disaster report' AS user_bio, CASE WHEN lang = 'es' THEN '' ELSE upper(lang) END AS user_location,
@@ -321,13 +323,18 @@ synthetic AS (
 ORACLES["synthetic_reports"] = f"WITH {SYNTHETIC_ROWS} SELECT * FROM synthetic"
 ORACLES["source_fallback"] = f"""WITH {REPORTS}, {SYNTHETIC_ROWS}
 SELECT 'full' AS feed, tweet_id, content FROM reports UNION ALL SELECT 'empty', tweet_id, content FROM synthetic"""
-ORACLES["source_freshness"] = (
-    "SELECT 'events.parquet' AS file_name, count(*) AS n_rows, '3m ago' AS age, true AS fresh FROM events"
-)
+ORACLES["source_freshness"] = """
+SELECT seen, age, fresh, (SELECT count(*) FROM events)::BIGINT AS n_rows
+FROM (VALUES ('soon', '30m ago', true), ('today', '5h ago', false), ('next day', '30h ago', false)) v(seen, age, fresh)"""
 ORACLES["write_raw"] = f"""WITH {DOC_REPORTS}
-SELECT '' AS date, tweet_id, substr(content, 1, 1000) AS content, username, user_bio, user_location,
+SELECT '' AS date, tweet_id, content, username, user_bio, user_location,
        CAST(like_count AS VARCHAR) AS like_count, '' AS retweet_count, query_used FROM doc_reports"""
-over_enriched("write_enriched", f"SELECT {', '.join(ENRICHED_COLUMNS)} FROM enriched")
+over_enriched(
+    "write_enriched",
+    f"SELECT tweet_id, {', '.join(ENRICHED_COLUMNS)}, clean_text, {keyword_score('content')} AS keyword_score, "
+    f"array_to_string({tags('content')}, ' ') AS hashtags_str, like_count, 'rule-based' AS model_mode FROM enriched",
+)
+over_enriched("write_enriched_again", "SELECT tweet_id, urgency_score, location, lat FROM enriched")
 over_enriched(
     "write_enriched_by_day",
     "SELECT tweet_id, strftime(event_ts, '%Y-%m-%d') AS event_date, urgency_score FROM enriched",
@@ -365,6 +372,18 @@ WHERE {relevant(['tsunami warning center'])}
 UNION ALL
 SELECT tweet_id, md5(content) FROM reports
 WHERE {relevant(L.RELEVANCE_WORDS)} OR (SELECT count(*) FROM reports WHERE {relevant(L.RELEVANCE_WORDS)}) < 5"""
+ORACLES["collect_reports"] = f"""WITH {REPORTS}, {DOC_REPORTS},
+fed AS (
+  SELECT tweet_id, 0 AS source_rank, content, user_bio FROM reports WHERE tweet_id < '8'
+  UNION ALL SELECT tweet_id, 1, content, user_bio FROM doc_reports
+  UNION ALL SELECT tweet_id, 2, content, user_bio FROM reports
+),
+once AS (SELECT tweet_id, min(source_rank) AS source_rank, arg_min(content, source_rank) AS content,
+                arg_min(user_bio, source_rank) AS user_bio FROM fed WHERE tweet_id <> '' GROUP BY tweet_id)
+SELECT tweet_id, CAST(source_rank AS INTEGER) AS source_rank, md5(content) AS content_md5 FROM once
+WHERE {relevant(L.RELEVANCE_WORDS)}"""
+ORACLES["collect_nothing"] = f"""WITH {SYNTHETIC_ROWS}
+SELECT tweet_id, md5(content) AS content_md5 FROM synthetic WHERE {relevant(L.RELEVANCE_WORDS)}"""
 over_enriched(
     "distinct_ordered",
     "SELECT location, min(epoch_us(event_ts)) AS first_position FROM enriched "
@@ -438,9 +457,14 @@ ORACLES["score_fn_classify"] = f"""WITH {REPORTS}, judged_texts AS (SELECT conte
 SELECT tweet_id, CASE WHEN length(clean_text) > 50 THEN 'Help Request' ELSE 'Information' END AS category,
        round(CASE WHEN length(clean_text) > 50 THEN 40 ELSE 16 END + 0.2 * k, 2) AS urgency_score, 'model' AS model_mode
 FROM reports JOIN judged ON content = text"""
+over_enriched(
+    "enrich_batch",
+    """SELECT tweet_id, category, urgency_score, location, count(*) OVER () AS total,
+       count(*) FILTER (urgency_score > 70) OVER () AS high_urgency_count,
+       count(*) FILTER (location = 'unknown') OVER () AS unknown_location_count FROM enriched""",
+)
 BATCH = """SELECT count(*) AS total, count(*) FILTER (urgency_score > 70) AS high_urgency_count,
 count(*) FILTER (location = 'unknown') AS unknown_location_count FROM enriched"""
-over_enriched("enrich_batch", BATCH)
 over_enriched(
     "enrich",
     "SELECT tweet_id, date, category, urgency_score, location, location_source, location_confidence, priority, lat, lon FROM enriched",
@@ -462,7 +486,8 @@ starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM tokens),
 grams AS (SELECT doc_id, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS place
           FROM starts, (VALUES (1), (2)) AS lengths(n) WHERE pos + n - 1 <= len(w)),
 found AS (SELECT doc_id, arg_min('<' || place || '>', [pos, -n]) AS place FROM grams JOIN places USING (place) GROUP BY doc_id)
-SELECT doc_id, place FROM documents LEFT JOIN found USING (doc_id)"""
+SELECT doc_id, CASE WHEN doc_id % 5 > 1 THEN doc_id % 3 END AS tweet_id, place FROM documents LEFT JOIN found USING (doc_id)"""
+ORACLES["gazetteer_match_shuffled"] = ORACLES["gazetteer_match_join"].replace("CASE WHEN doc_id % 5 > 1 THEN doc_id % 3 END AS tweet_id, ", "")
 over_reports("hashtag_place", f"SELECT tweet_id, coalesce({tag_place(tags('content'))}, '') AS place FROM reports")
 ORACLES["normalize_location"] = f"""WITH {TEXTS}
 SELECT text_key, {normal('raw')} AS location FROM (
@@ -481,6 +506,70 @@ SELECT {short_id('CAST(event_id AS VARCHAR)')} AS tweet_id, location
 FROM events JOIN found ON event_id % {len(TEMPLATES)} = tpl_id""",
 )
 
+# Documents, turns and addresses as reports, and a gazetteer of single words of their own.
+TEXT_REPORTS = f"""
+text_reports AS (
+  SELECT 'd-' || doc_id AS tweet_id, text AS content, '' AS user_bio,
+         CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Worldwide' ELSE source || ' harbour' END AS user_location FROM documents
+  UNION ALL SELECT 'c-' || conv_id || '-' || turn,
+         CASE WHEN turn % 4 = 2 THEN role WHEN turn % 2 = 1 THEN text || ' #' || regexp_extract(text, '^([A-Z][a-z]+)', 1)
+              ELSE text END,
+         CASE WHEN turn % 4 = 2 THEN role || ' ' || text ELSE '' END, '' FROM conversations
+  UNION ALL SELECT 'p-' || page_id, url, '', split_part(split_part(split_part(url, '://', 2), '/', 1), ':', 1) FROM pages
+),
+word_places AS (
+  SELECT DISTINCT lower(regexp_extract(text, '^([A-Z][a-z]{{6,}})', 1)) AS place FROM conversations
+  WHERE regexp_matches(text, '^[A-Z][a-z]{{6,}}')
+),
+word_answers AS (
+  SELECT text, upper(place[1]) || place[2:] AS place FROM (
+    SELECT text, arg_min(place, pos) AS place FROM (
+      SELECT text, unnest(w) AS place, unnest(range(1, len(w) + 1)) AS pos FROM (
+        SELECT text, regexp_extract_all(lower(text), '[{WD}]+') AS w FROM (
+          SELECT content AS text FROM text_reports UNION SELECT user_bio FROM text_reports))) JOIN word_places USING (place)
+    GROUP BY text)
+)"""
+
+
+def text_cascade(text_place: str, bio_place: str, joins: str) -> str:
+    in_text = f"coalesce({normal(text_place)}, {normal('text_pattern')})"
+    return f"""
+text_candidates AS (
+  SELECT tweet_id, {in_text} AS c1, {normal('tag')} AS c2, {normal('user_location')} AS c3,
+         {normal(f"coalesce(nullif({bio_place}, ''), bio_pattern)")} AS c4
+  FROM (SELECT t.*, {city_state('content')} AS text_pattern, {city_state('user_bio')} AS bio_pattern,
+               {tag_place(tags('content'))} AS tag FROM text_reports t) t {joins}
+),
+text_located AS (
+  SELECT tweet_id, coalesce(c1, c2, c3, c4, 'unknown') AS location,
+         CASE WHEN c1 IS NOT NULL THEN 'tweet' WHEN c2 IS NOT NULL THEN 'hashtag'
+              WHEN c3 IS NOT NULL THEN 'profile_location' WHEN c4 IS NOT NULL THEN 'bio' ELSE 'none' END AS location_source
+  FROM text_candidates
+)"""
+
+
+WORD_CASCADE = text_cascade(
+    "a.place", "b.place", "LEFT JOIN word_answers a ON a.text = t.content LEFT JOIN word_answers b ON b.text = t.user_bio"
+)
+_NINE = r"regexp_extract({0}, '(?:^|[^\p{{L}}\p{{N}}_])([A-Za-z]{{9,}})(?:$|[^\p{{L}}\p{{N}}_])', 1)"
+ORACLES["hashtag_place_texts"] = (
+    f"WITH {TEXT_REPORTS} SELECT tweet_id, coalesce({tag_place(tags('content'))}, '') AS place FROM text_reports"
+)
+ORACLES["extract_location_texts"] = f"""WITH {TEXT_REPORTS},{WORD_CASCADE}
+SELECT tweet_id, location, location_source, {confidence('location_source')} AS location_confidence FROM text_located"""
+ORACLES["entity_fn_location"] = f"""WITH {TEXT_REPORTS},{text_cascade(_NINE.format('content'), _NINE.format('user_bio'), '')}
+SELECT tweet_id, location, location_source FROM text_located"""
+TEXT_JUDGED = f"judged_texts AS (SELECT content AS text FROM text_reports),{JUDGED}"
+ORACLES["classify_texts"] = f"""WITH {TEXT_REPORTS}, {TEXT_JUDGED}
+SELECT tweet_id, category, urgency_score, {keyword_score('content')} AS keyword_score, 'rule-based' AS model_mode
+FROM text_reports JOIN judged ON text = content"""
+ORACLES["enrich_texts"] = f"""WITH {TEXT_REPORTS}, {TEXT_JUDGED},{WORD_CASCADE}
+SELECT tweet_id, category, urgency_score, location, location_source, {priority('urgency_score', 'location_source')} AS priority,
+       coalesce({pair('location', 1)}, CAST(length(p.place) AS DOUBLE)) AS lat,
+       coalesce({pair('location', 2)}, -CAST(length(p.place) AS DOUBLE)) AS lon
+FROM text_reports JOIN judged ON text = content JOIN text_located USING (tweet_id)
+LEFT JOIN word_places p ON p.place = lower(location)"""
+
 # -- priority and geocoding ------------------------------------------------------------------------------
 
 ORACLES["priority_label"] = f"""
@@ -524,7 +613,7 @@ found("filter_critical_review", "urgency_score > 70 AND location = 'unknown'")
 found("filter_known_location", "location NOT IN ('unknown', '')")
 over_enriched(
     "filter_not_geocoded",
-    "SELECT DISTINCT location FROM enriched WHERE location NOT IN ('unknown', '') AND lat IS NULL ORDER BY location LIMIT 30",
+    "SELECT DISTINCT location FROM enriched WHERE location NOT IN ('unknown', '') AND lat IS NULL",
 )
 found("sort_by", "true")
 over_enriched("top_urgent", f"SELECT {FOUND} FROM enriched ORDER BY urgency_score DESC, tweet_id LIMIT 100")
@@ -580,8 +669,9 @@ over_enriched(
 )
 over_enriched(
     "urgency_histogram",
-    """SELECT bin, CAST((bin - 1) * 5 AS DOUBLE) AS bin_start, CAST(bin * 5 AS DOUBLE) AS bin_end, count(*) AS n
-FROM (SELECT CAST(least(floor(urgency_score / 5) + 1, 20) AS INTEGER) AS bin FROM enriched) GROUP BY bin""",
+    """SELECT CAST(b AS INTEGER) AS bin, CAST((b - 1) * 5 AS DOUBLE) AS bin_start, CAST(b * 5 AS DOUBLE) AS bin_end,
+       (SELECT count(*) FROM enriched WHERE least(floor(urgency_score / 5) + 1, 20) = b) AS n
+FROM range(1, 21) bins(b)""",
 )
 over_enriched(
     "map_counters",
@@ -589,8 +679,7 @@ over_enriched(
        count(*) FILTER (location = 'unknown') AS unknown_location FROM enriched""",
 )
 over_enriched("batch_counts", BATCH)
-over_enriched(
-    "run_summary",
+RUN_SUMMARY = (
     """SELECT 'counter' AS section, 'total' AS name, CAST(count(*) AS VARCHAR) AS value FROM enriched
 UNION ALL SELECT 'counter', 'high_urgency', CAST(count(*) AS VARCHAR) FROM enriched WHERE urgency_score > 70
 UNION ALL SELECT 'counter', 'unknown_location', CAST(count(*) AS VARCHAR) FROM enriched WHERE location = 'unknown'
@@ -599,8 +688,15 @@ UNION ALL SELECT 'priority', priority, CAST(count(*) AS VARCHAR) FROM enriched G
 UNION ALL SELECT * FROM (
   SELECT 'top', tweet_id, printf('[%.1f]', urgency_score) || ' | ' || substr(content, 1, 80) || ' | ' || location
          || ' | ' || location_source || ' | ' || priority
-  FROM enriched WHERE urgency_score > 70 ORDER BY urgency_score DESC, tweet_id LIMIT 5)""",
-)
+  FROM enriched WHERE urgency_score > 70 ORDER BY urgency_score DESC, tweet_id LIMIT 5)"""
+)
+over_enriched("run_summary", RUN_SUMMARY)
+ORACLES["run_batch"] = f"""WITH {ENRICHED.replace('enriched AS (', 'every AS (')},
+enriched AS (SELECT * FROM every WHERE {relevant(L.RELEVANCE_WORDS)})
+{RUN_SUMMARY}
+UNION ALL SELECT 'observed', 'processed', CAST(count(*) AS VARCHAR) FROM enriched
+UNION ALL SELECT 'observed', 'high_urgency', CAST(count(*) AS VARCHAR) FROM enriched WHERE urgency_score > 70
+UNION ALL SELECT 'observed', 'unknown_location', CAST(count(*) AS VARCHAR) FROM enriched WHERE location = 'unknown'"""
 ORACLES["label_distribution"] = "SELECT quality, count(*) AS n FROM labels GROUP BY quality"
 
 # -- learning --------------------------------------------------------------------------------------------
@@ -621,8 +717,13 @@ FROM labels"""
 TOKENS = f"regexp_extract_all(lower(text), '[{WD}]+')"
 over_texts(
     "tokenize",
-    f"CAST(len({TOKENS}) AS BIGINT) AS n_tokens, array_to_string({TOKENS}[1:128], ' ') AS model_input",
+    f"CAST(len({TOKENS}) AS BIGINT) AS n_tokens, array_to_string({TOKENS}, ' ') AS model_input",
 )
+ORACLES["train_classifier"] = """
+SELECT CAST(sum(n) AS BIGINT) AS n, true AS good_f1, true AS good_accuracy
+FROM (SELECT round(0.2 * count(*)) AS n FROM documents GROUP BY lang)"""
+over_enriched("model_classify", "SELECT tweet_id, category, 'model' AS model_mode FROM enriched")
+ORACLES["save_load_model"] = "SELECT true AS same, count(*) AS n FROM labels JOIN documents USING (doc_id)"
 METRICS = """
 pairs AS (SELECT quality AS label, CASE WHEN n_chars >= 500 THEN 1 ELSE 0 END AS prediction FROM labels JOIN documents USING (doc_id)),
 classes AS (
@@ -658,8 +759,7 @@ over_enriched(
        count(*) AS total, count(*) FILTER (urgency_score > 70) AS high_urgency,
        count(*) FILTER (location = 'unknown') AS unknown_location,
        count(*) FILTER (urgency_score > 70 AND location = 'unknown') AS critical_review
-FROM (SELECT *, date_trunc('hour', event_ts) AS w FROM enriched)
-GROUP BY w HAVING w + INTERVAL 1 HOUR <= (SELECT max(event_ts) - INTERVAL 1 DAY FROM enriched)""",
+FROM (SELECT *, date_trunc('hour', event_ts) AS w FROM enriched) GROUP BY w""",
 )
 found("stream_alerts", "priority = 'CRITICAL_REVIEW'")
 

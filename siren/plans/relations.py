@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siren.functions.text import iso_date, report_id
-from siren.operators import search
 from siren.operators.enrich import enrich
-from siren.operators.lookup import spread, written
+from siren.operators.lookup import spread
 from siren.schemas import GAZETTEER
 from siren.session import new_path
+from siren.sources.tables import write_enriched
 
 # Texts given to the events: content, bio, profile location. Together they reach every branch of the rules.
 TEMPLATES = [
     (
-        "URGENT!! Stranded on a roof in Houston, please help - send help and rescue boats, flood rising "
-        "https://ex.am/1 #HoustonFlood",
+        "Urgent!! SOS from the Houston clinic: two people dying, emergency rescue asked to help https://ex.am/1 "
+        "#HoustonClinic",
         "boat owner",
         "Houston, TX",
     ),
@@ -104,11 +104,65 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         path = new_path(spark, "stored")
-        search.sort_by(written(enriched(spark, sf_dir), "enriched")).write.parquet(path)
+        write_enriched(enriched(spark, sf_dir), path)
         _stored[key] = path
     return spark.read.parquet(_stored[key])
 
 
+def text_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, conversation turns and page addresses as reports: texts of their own, profiles and bios on some.
+
+    Every other turn has its first word as a hashtag; every fourth has its text as the bio, behind its role.
+    """
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id").select(
+        _key("d", "doc_id"),
+        F.col("text").alias("content"),
+        F.lit("").alias("user_bio"),
+        F.when(F.col("doc_id") % 3 == 0, "")
+        .when(F.col("doc_id") % 3 == 1, "Worldwide")
+        .otherwise(F.concat("source", F.lit(" harbour")))
+        .alias("user_location"),
+    )
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    tag = F.concat(F.lit(" #"), F.regexp_extract("text", "^([A-Z][a-z]+)", 1))
+    turns = turns.select(
+        _key("c", "conv_id", "turn"),
+        F.when(F.col("turn") % 4 == 2, F.col("role"))
+        .otherwise(F.concat("text", F.when(F.col("turn") % 2 == 1, tag).otherwise("")))
+        .alias("content"),
+        F.when(F.col("turn") % 4 == 2, F.concat("role", F.lit(" "), "text")).otherwise("").alias("user_bio"),
+        F.lit("").alias("user_location"),
+    )
+    pages = spread(table(spark, sf_dir, "pages"), "page_id").select(
+        _key("p", "page_id"), F.col("url").alias("content"), F.lit("").alias("user_bio"),
+        F.regexp_extract("url", "^https?://([^/:]*)", 1).alias("user_location"),
+    )
+    return documents.unionByName(turns).unionByName(pages).withColumnRenamed("text_key", "tweet_id")
+
+
+def word_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gazetteer of the texts' own words: the long first words of conversation turns."""
+    word = F.lower(F.regexp_extract("text", "^([A-Z][a-z]{6,})", 1)).alias("place")
+    words = table(spark, sf_dir, "conversations").select(word).where("place != ''").distinct()
+    size = F.length("place").cast("double")
+    return words.select("place", F.initcap("place").alias("display"), size.alias("lat"), (-size).alias("lon"))
+
+
+def wide_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short gazetteer among thousands of names that no report holds: long words of the documents behind "zz"."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{10,})"), F.lit(1))
+    names = table(spark, sf_dir, "documents").select(F.explode(words).alias("word")).distinct()
+    others = names.select(F.concat(F.lit("zz"), "word").alias("place"), "word", F.lit(0.0), F.lit(0.0))
+    return gazetteer(spark).unionAll(others)
+
+
+def landed_reports(spark: SparkSession, sf_dir: str, files: int = 6) -> str:
+    """The reports in several files, as a feed would land them."""
+    path = new_path(spark, "landed")
+    reports(spark, sf_dir).repartition(files, "tweet_id").write.parquet(path)
+    return path
+
+
 def doc_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a report; copies of a text share an id."""
     documents = spread(table(spark, sf_dir, "documents"), "doc_id")
@@ -163,8 +217,11 @@ def xml_text(column: str | Column) -> Column:
     return F.regexp_replace(column, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
 
 
-def land_xml(items: DataFrame, name: str, namespaces: str, *partitions: str) -> str:
-    """A folder of feed items, one per line; absent values are absent elements."""
+def land_xml(items: DataFrame, name: str, namespaces: str, *partitions: str, document: Column | None = None) -> str:
+    """A folder of feed items, one per line; absent values are absent elements.
+
+    With ``document``, the items of each of its values are one feed document, in a file of its own.
+    """
     elements = [
         F.when(
             F.col(f"`{tag}`").isNotNull(),
@@ -173,9 +230,17 @@ def land_xml(items: DataFrame, name: str, namespaces: str, *partitions: str) ->
         for tag in items.columns
         if tag not in partitions
     ]
-    item = F.concat(F.lit(f"<item {namespaces}>"), F.concat_ws("", *elements), F.lit("</item>"))
     path = new_path(items.sparkSession, name)
-    items.select(item.alias("value"), *partitions).write.partitionBy(*partitions).text(path)
+    body = F.concat_ws("", *elements)
+    if document is None:
+        item = F.concat(F.lit(f"<item {namespaces}>"), body, F.lit("</item>"))
+        items.select(item.alias("value"), *partitions).write.partitionBy(*partitions).text(path)
+        return path
+    item = F.concat(F.lit("<item>"), body, F.lit("</item>"))
+    listed = items.groupBy(*partitions, document.alias("_document")).agg(F.concat_ws("\n", F.collect_list(item)).alias("_items"))
+    feed = F.concat(F.lit(f"<rss {namespaces}>\n<channel>\n"), "_items", F.lit("\n</channel>\n</rss>"))
+    writer = listed.select(feed.alias("value"), *partitions).write.option("maxRecordsPerFile", 1)
+    writer.partitionBy(*partitions).text(path)
     return path
 
 
@@ -185,7 +250,7 @@ def _escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"\r?\n|\r", "&#10;")
 
 
-def landed_posts_feed(spark: SparkSession, sf_dir: str) -> str:
+def landed_posts_feed(spark: SparkSession, sf_dir: str, items_per_document: int | None = None) -> str:
     """Pages as feed items: the query is the host's first letters, the mirror a function of the page."""
     pages = table(spark, sf_dir, "pages")
     items = pages.select(
@@ -197,9 +262,10 @@ def landed_posts_feed(spark: SparkSession, sf_dir: str) -> str:
         _feed_query().alias("query_used"),
         _feed_mirror().alias("mirror_rank"),
     )
-    return land_xml(
-        items, "posts", 'xmlns:dc="http://purl.org/dc/elements/1.1/"', "query_used", "mirror_rank"
-    )
+    number = F.regexp_extract("link", "([0-9]+)$", 1).cast("long")
+    document = None if items_per_document is None else F.floor(number / items_per_document)
+    namespace = 'xmlns:dc="http://purl.org/dc/elements/1.1/"'
+    return land_xml(items, "posts", namespace, "query_used", "mirror_rank", document=document)
 
 
 def _feed_query() -> Column:

@@ -17,6 +17,12 @@ ENRICHED_COLUMNS = [
     "priority", "lat", "lon", "username", "user_location", "query_used",
 ]
 
+# The stored table: what the CSV form has, and what tells reports apart and explains their scores.
+STORED_COLUMNS = [
+    "tweet_id", "event_ts", *ENRICHED_COLUMNS, "user_bio", "like_count", "retweet_count", "clean_text", "keyword_score",
+    "hashtags_str", "all_probs", "model_mode", "source_rank",
+]
+
 RAW = T.StructType([
     T.StructField("date", T.StringType()),
     T.StructField("tweet_id", T.StringType()),

@@ -47,6 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+def remove_written(spark: SparkSession) -> None:
+    """Remove the tables written on the way, once nothing reads them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siren")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/siren/{name}-{uuid.uuid4().hex}"

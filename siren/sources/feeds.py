@@ -22,17 +22,11 @@ from siren.schemas import ALERT_ITEM, FEED_ITEM, RAW_COLUMNS, SITUATION_REPORTS,
 
 # Fixed values of the feeds.
 MIN_CHARS = 10
-MAX_CHARS = 500
-MAX_PER_QUERY = 20
-MAX_ALERTS = 30
-MAX_SITUATION_REPORTS = 20
-MAX_POSTS_PER_QUERY = 30
 POST_DAYS = 3
 ALERT_USER = "GDACS_Alert"
 ALERT_BIO = "Global Disaster Alert and Coordination System (UN)"
 ALERT_QUERY = "gdacs_feed"
 SITUATION_TYPES = ["Situation Report", "News and Press Release"]
-SITUATION_BODY_CHARS = 300
 SITUATION_USER = "ReliefWeb"
 SITUATION_BIO = "UN ReliefWeb disaster report"
 SITUATION_QUERY = "reliefweb_api"
@@ -50,13 +44,15 @@ def read_items(spark: SparkSession, path: str, schema: T.StructType, item_lines:
 def read_rss_reports(
     spark: SparkSession,
     path: str,
-    max_per_query: int | None = MAX_PER_QUERY,
+    max_per_query: int | None = None,
     ingest_ts: Column | None = None,
     item_lines: bool = False,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Post feeds: description, or the title without one; texts under 10 characters are skipped.
 
-    ``max_per_query=None`` reads all. Only partition folders carry ``query_used`` and ``mirror_rank``.
+    All items and whole texts, unless ``max_per_query`` keeps the newest of each query (counted behind the skipping) or
+    ``max_chars`` cuts texts. Only partition folders carry ``query_used`` and ``mirror_rank``.
     """
     items = read_items(spark, path, _with_partitions(FEED_ITEM), item_lines)
     text = strip_tags(
@@ -66,7 +62,7 @@ def read_rss_reports(
     reports = reports.select(
         _time(parse_pub_date("pubDate"), ingest_ts),
         report_id("link", F.substring("_text", 1, 30)).alias("tweet_id"),
-        F.substring("_text", 1, MAX_CHARS).alias("content"),
+        _cut(F.col("_text"), max_chars).alias("content"),
         author_handle(F.col("`dc:creator`")).alias("username"),
         F.lit("").alias("user_bio"),
         F.lit("").alias("user_location"),
@@ -81,18 +77,19 @@ def read_rss_reports(
 def read_alert_feed(
     spark: SparkSession,
     path: str,
-    limit: int | None = MAX_ALERTS,
+    limit: int | None = None,
     ingest_ts: Column | None = None,
     item_lines: bool = False,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """Hazard alerts with coordinates, the newest ``limit`` of them; ``limit=None`` reads all."""
+    """Hazard alerts with coordinates: all of them, or the newest ``limit``."""
     items = read_items(spark, path, ALERT_ITEM, item_lines)
     lat, lon = text_or_empty("`geo:lat`"), text_or_empty("`geo:long`")
     text = F.concat(text_or_empty("title"), F.lit(". "), text_or_empty("description"))
     alerts = items.select(
         _time(parse_pub_date("pubDate"), ingest_ts),
         report_id("link").alias("tweet_id"),
-        strip_tags(text, MAX_CHARS).alias("content"),
+        strip_tags(text, max_chars).alias("content"),
         F.lit(ALERT_USER).alias("username"),
         F.lit(ALERT_BIO).alias("user_bio"),
         F.when((lat != "") & (lon != ""), F.concat(lat, F.lit(","), lon)).otherwise("").alias("user_location"),
@@ -106,26 +103,26 @@ def read_alert_feed(
 def read_situation_reports(
     spark: SparkSession,
     path: str,
-    limit: int | None = MAX_SITUATION_REPORTS,
+    limit: int | None = None,
     types: Sequence[str] = tuple(SITUATION_TYPES),
     ingest_ts: Column | None = None,
+    max_body_chars: int | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """Situation reports, one JSON document per line or file, newest first.
+    """Situation reports, one JSON document per line or file: all of them, or the newest ``limit``.
 
-    A record that carries a type must have one of ``types``; records without were filtered by the request.
+    Texts are whole unless ``max_body_chars`` cuts the body or ``max_chars`` what is made of title and body. that carries a type must have one of ``types``; records without were filtered by the request.
     """
     documents = spark.read.schema(SITUATION_REPORTS).option("multiLine", False).json(path)
     fields = documents.select(F.inline("data")).select("fields.*")
     wanted = F.col("type").isNull() | F.exists("type", lambda kind: kind["name"].isin(list(types)))
     first_country = F.try_element_at("country", F.lit(1))["name"]
     first_source = F.try_element_at("source", F.lit(1))["name"]
-    text = F.concat(
-        text_or_empty("title"), F.lit(". "), F.substring(text_or_empty("body"), 1, SITUATION_BODY_CHARS)
-    )
+    text = F.concat(text_or_empty("title"), F.lit(". "), _cut(text_or_empty("body"), max_body_chars))
     reports = fields.where(wanted).select(
         _time(F.try_to_timestamp("date.created"), ingest_ts),
         report_id("title", "date.created").alias("tweet_id"),
-        F.substring(squeeze(text), 1, MAX_CHARS).alias("content"),
+        _cut(squeeze(text), max_chars).alias("content"),
         author_name(first_source, SITUATION_USER).alias("username"),
         F.lit(SITUATION_BIO).alias("user_bio"),
         text_or_empty(first_country).alias("user_location"),
@@ -142,7 +139,7 @@ def read_social_posts(
     as_of: Column | None = None,
     days: int = POST_DAYS,
     lang: str = "en",
-    max_per_query: int | None = MAX_POSTS_PER_QUERY,
+    max_per_query: int | None = None,
 ) -> DataFrame:
     """Native posts, JSON lines: of one language, from the day ``days`` before ``as_of`` on."""
     posts = spark.read.schema(SOCIAL_POST).json(path)
@@ -163,6 +160,10 @@ def read_social_posts(
     return cap_per_query(_dated(reports), max_per_query)
 
 
+def _cut(text: Column, max_chars: int | None) -> Column:
+    return text if max_chars is None else F.substring(text, 1, max_chars)
+
+
 def _with_partitions(schema: T.StructType) -> T.StructType:
     return T.StructType([
         *schema.fields,

@@ -20,18 +20,21 @@ LIKES = (5, 5000)
 RETWEETS = (2, 2000)
 USERS = (100, 999)
 
-# content, bio, profile location, query
+_EVENTS = ("river over the quay", "gas leak", "power cut", "sand storm", "burst dam")
+_TOWNS = ("Aveiro", "Pécs", "Hilo", "Gävle")
+_CALLS = (
+    ("we need help to move out, please hurry", "resident"),
+    ("the east road is closed", "road desk"),
+    ("two cellars damaged, nobody hurt", "builder"),
+    ("shelter open in the old gym", "volunteer"),
+)
+
+#: Content, bio, profile location and query of each made-up report: every event in a town, with every call.
 TEMPLATES: list[Template] = [
-    ("URGENT flood water rising in Galveston, people trapped on roofs, send rescue boats #GalvestonFlood", "Harbour pilot", "Galveston, TX", "flood help"),
-    ("Strong earthquake felt in Valparaiso, several houses collapsed, need immediate rescue", "Radio host", "Valparaiso, Chile", "earthquake urgent"),
-    ("Please help, my parents are stranded near the river in Cork", "Student", "", "rescue needed"),
-    ("Wildfire closing in on Redding, homes destroyed along the ridge #ReddingFire", "Forester", "Northern valley", "wildfire evacuate"),
-    ("Shelter open at the sports hall, volunteers and blankets available", "Community centre", "Leeds, UK", "disaster relief needed"),
-    ("Hurricane warning: everyone in zone B must evacuate now", "County office", "Mobile, AL", "hurricane emergency"),
-    ("SOS two fishermen missing after the storm off Kochi", "Coast watch", "Kochi, India", "rescue needed"),
-    ("Landslide blocked the pass, emergency crews on the way", "Road service", "Innsbruck, Austria", "disaster relief needed"),
-    ("Bridge damage after the quake, closed until further notice", "Traffic desk", "Wellington", "earthquake urgent"),
-    ("Cyclone relief supplies reached the islands, update at noon", "Aid worker", "Suva, Fiji", "cyclone flood relief"),
+    (f"{event.capitalize()} in {town}, {call} #{town}", f"{who} of {town}" if k % 3 else "", town if k % 2 else "", event)
+    for k, event in enumerate(_EVENTS)
+    for town in (_TOWNS[k % len(_TOWNS)],)
+    for call, who in _CALLS
 ]
 
 

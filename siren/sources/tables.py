@@ -2,89 +2,108 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siren.operators.lookup import written
-from siren.operators.search import sort_by
-from siren.schemas import ENRICHED, ENRICHED_COLUMNS, LABELLED, LEGACY, RAW, RAW_COLUMNS, ensure_columns
+from siren.operators.lookup import row_hash, written
+from siren.schemas import ENRICHED, ENRICHED_COLUMNS, LABELLED, LEGACY, RAW, RAW_COLUMNS, STORED_COLUMNS, ensure_columns
 
-MAX_FIELD_CHARS = 1000
 FRESH_MINUTES = 5
+#: What stands for line breaks, and for the sign that begins these, in files of one row per line.
+ESCAPES = (("%", "%25"), ("\n", "%0A"), ("\r", "%0D"))
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
+    """CSV with a header and doubled quotes, as ``write_csv`` writes it: one row per line, so tasks split large files.
+
+    ``multiline`` reads files of other programs, with line breaks inside quotes; each is then read by one task.
+    """
+    rows = spark.read.csv(path, schema=schema, header=True, multiLine=multiline, escape='"', enforceSchema=True)
+    return rows if multiline else _escaped(rows, [(code, plain) for plain, code in reversed(ESCAPES)])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header, doubled quotes and line breaks inside quotes."""
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', enforceSchema=True)
+def write_csv(df: DataFrame, path: str, multiline: bool = False) -> None:
+    """CSV with a header; line breaks are escaped unless ``multiline`` keeps them inside quotes."""
+    rows = df if multiline else _escaped(df, ESCAPES)
+    options = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("overwrite").csv(path, header=True, escape='"', **options)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+def _escaped(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    texts = [name for name, kind in df.dtypes if kind == "string"]
+    return df.withColumns({
+        name: reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), pairs, F.col(name)) for name in texts
+    })
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Raw reports; an absent text is the empty string."""
-    return read_csv(spark, path, RAW).na.fill("")
+    return read_csv(spark, path, RAW, multiline).na.fill("")
 
 
-def read_enriched_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Enriched reports; absent texts are empty, absent coordinates stay NULL."""
-    return read_csv(spark, path, ENRICHED).na.fill("")
+def read_enriched_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Enriched reports in the columns of the CSV form; absent texts are empty, absent coordinates stay NULL."""
+    return read_csv(spark, path, ENRICHED, multiline).na.fill("")
 
 
-def read_legacy_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_legacy_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """The older layout, renamed to the raw one."""
-    renamed = read_csv(spark, path, LEGACY).withColumnsRenamed(
+    renamed = read_csv(spark, path, LEGACY, multiline).withColumnsRenamed(
         {"text": "content", "bio": "user_bio", "location": "user_location"}
     )
     return ensure_columns(renamed.na.fill(""))
 
 
-def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, LABELLED)
+def read_labelled(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    return read_csv(spark, path, LABELLED, multiline)
+
 
+def raw_rows(df: DataFrame, max_field_chars: int | None = None) -> DataFrame:
+    """The stored raw columns in order, as text; ``max_field_chars`` cuts each."""
 
-def raw_rows(df: DataFrame) -> DataFrame:
-    """The stored raw columns in order, as text of at most 1000 characters."""
-    return df.select(*[
-        (
-            F.substring(F.coalesce(F.col(name).cast("string"), F.lit("")), 1, MAX_FIELD_CHARS)
-            if name in df.columns
-            else F.lit("")
-        ).alias(name)
-        for name in RAW_COLUMNS
-    ])
+    def field(name: str) -> Column:
+        text = F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
+        return text if max_field_chars is None else F.substring(text, 1, max_field_chars)
 
+    return df.select(*[field(name).alias(name) for name in RAW_COLUMNS])
 
-def write_raw(df: DataFrame, path: str, format: str = "parquet") -> None:
-    rows = raw_rows(df)
+
+def write_raw(df: DataFrame, path: str, format: str = "parquet", max_field_chars: int | None = None) -> None:
+    rows = raw_rows(df, max_field_chars)
     if format == "csv":
         write_csv(rows, path)
     else:
         rows.write.mode("overwrite").format(format).save(path)
 
 
-def enriched_rows(df: DataFrame) -> DataFrame:
-    """The stored enriched columns that exist, most urgent first."""
-    return sort_by(df).select(*_stored_columns(df))
-
+def enriched_rows(df: DataFrame, columns: Sequence[str] = STORED_COLUMNS) -> DataFrame:
+    """Those of the stored columns that exist, most urgent first.
 
-def _stored_columns(df: DataFrame) -> list[str]:
-    return [name for name in ENRICHED_COLUMNS if name in df.columns]
+    Equal scores are ordered by id, or by a hash of the row without one, so they never form one range of a sort.
+    """
+    tie = F.col("tweet_id") if "tweet_id" in df.columns else F.lit("")
+    ordered = df.orderBy(F.col("urgency_score").desc(), tie, row_hash(df))
+    return ordered.select(*[name for name in columns if name in df.columns])
 
 
 def write_enriched(df: DataFrame, path: str, format: str = "parquet", staged: bool = True) -> None:
-    """Sorted by range over all files, so scans for urgent reports skip most of them by their statistics.
+    """The stored table: id, time, probabilities and all other enriched columns, which searches, counters, display and
+    map read back, and which can be written again. CSV has the fixed columns of that form only.
 
-    A range sort reads its input twice, once to sample the ranges. ``staged`` writes the unsorted rows to the shared
-    folder first, so that the enrichment itself runs once; leave it out for a table that is stored already.
+    Sorted by range over all files, so scans for urgent reports skip most of them by their statistics. A range sort
+    reads its input twice, once to sample the ranges. ``staged`` writes the unsorted rows to the shared folder first,
+    so that the enrichment itself runs once; leave it out for a table that is stored already.
     """
-    rows = enriched_rows(written(df.select(*_stored_columns(df), "tweet_id"), "enriched-unsorted") if staged else df)
+    wanted = [name for name in STORED_COLUMNS if name in df.columns]
+    rows = written(df.select(*wanted), "enriched-unsorted") if staged else df
     if format == "csv":
-        write_csv(rows, path)
+        write_csv(enriched_rows(rows, ENRICHED_COLUMNS), path)
     else:
-        rows.write.mode("overwrite").format(format).save(path)
+        enriched_rows(rows).write.mode("overwrite").format(format).save(path)
 
 
 def write_enriched_by_day(df: DataFrame, path: str) -> None:

@@ -88,3 +88,24 @@ def test_filters_on_raw_columns_reach_the_scan(spark):
     enriched = R.enrich(R.reports_of(R.table(spark, "/root/testdata/sf0.001", "events")), R.gazetteer(spark))
     plan = plan_of(enriched.where("retweet_count = 7"))
     assert "EqualTo(user_id,7)" in plan
+
+
+def test_relevance_stays_above_an_exchange(spark):
+    df = spark.range(10).selectExpr("cast(id AS string) AS content", "'' AS user_bio").repartition(4)
+    plan = C.relevance_filter(df, ["1"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Filter") < plan.index("Exchange") and "exists(" not in plan
+
+
+def test_large_caps_are_limited_in_parts(spark):
+    df = spark.range(9000).selectExpr("cast(id AS string) AS tweet_id", "timestamp_seconds(id) AS event_ts", "'q' AS query_used")
+    capped = C.cap_per_query(df, 1500)
+    assert capped.count() == 1500 and capped.agg(F.min("event_ts").cast("long")).first()[0] == 7500
+    assert "_part" in capped._jdf.queryExecution().executedPlan().toString()
+
+
+def test_collect_reports_replaces_next_to_nothing(spark):
+    schema = "tweet_id string, content string, user_bio string"
+    few = spark.createDataFrame([("a", "flood", "")], schema)
+    substitute = spark.createDataFrame([(f"s{k}", "fire rescue", "") for k in range(6)], schema)
+    assert C.collect_reports([few, few]).count() == 1
+    assert {r.tweet_id for r in C.collect_reports([few], substitute).collect()} == {f"s{k}" for k in range(6)}

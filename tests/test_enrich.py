@@ -113,3 +113,27 @@ def test_validation(spark):
     assert [r.valid for r in validate_reports(df).collect()] == [True, False, False, False, False, False]
     good, bad = split_valid(df)
     assert (good.count(), bad.count()) == (1, 5)
+
+
+def test_hooks_without_type_hints(spark):
+    """Plain functions and lambdas, and an empty name counts as none."""
+    rows = [("Dinner in Quito", "cook, now at Lima, PE", "")]
+    df = spark.createDataFrame(rows, "content string, user_bio string, user_location string")
+
+    def scorer(batches):
+        for texts in batches:
+            yield texts.map(lambda text: [0.1, 0.7, 0.2])
+
+    scored = E.classify(E.preprocess(df), score_fn=scorer)
+    assert scored.first().category == "Help Request"
+    located = E.extract_location(E.preprocess(df), entity_fn=lambda batches: (b.map(lambda t: "") for b in batches)).first()
+    assert (located.location, located.location_source) == ("Lima, PE", "bio")
+    plan = scored.where("urgency_score > 1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_real_texts_reach_every_source(spark):
+    sf = "/root/testdata/sf0.01"
+    located = E.extract_location(E.preprocess(R.text_reports(spark, sf)), R.word_gazetteer(spark, sf))
+    assert {r.location_source for r in located.select("location_source").distinct().collect()} == set(L.LOCATION_CONFIDENCE)
+    assert located.select("location").distinct().count() > 100

@@ -44,7 +44,7 @@ def test_split_compares_rows_where_they_are(spark):
 
 def test_tokenize(spark):
     df = spark.createDataFrame([("Help! 3 l'été " + "x " * 200,)], "text string")
-    row = df.select(learn.tokenize("text").alias("cut"), learn.tokenize("text", None).alias("all")).first()
+    row = df.select(learn.tokenize("text", 128).alias("cut"), learn.tokenize("text").alias("all")).first()
     assert row.cut[:4] == ["help", "3", "l", "été"] and len(row.cut) == 128 and len(row.all) == 204
 
 

@@ -1,6 +1,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from siren.plans.catalog import QUERIES
+from siren.plans.oracles import ORACLES
 from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -13,13 +15,14 @@ def connection():
 
 
 def test_only_fitted_models_go_without_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, connection, name):
-    assert compare(spark, connection, SF, entry.queries()[name], entry.oracle_sql().get(name)) == ""
+    assert compare(spark, connection, SF, QUERIES[name], ORACLES.get(name)) == ""
 
 
 def test_entry(spark):

@@ -42,17 +42,19 @@ def test_rss_documents_with_mirrors(spark, tmp_path):
 def test_rss_cap_keeps_the_newest(spark, tmp_path):
     items = [item(title=f"report number {i}", link=f"l{i}", pubDate=f"Sat, 18 Apr 2026 10:{i:02d}:00 GMT") for i in range(30)]
     land(tmp_path / "query_used=q" / "mirror_rank=0", "a.xml", ROOT % "".join(items))
-    assert feeds.read_rss_reports(spark, str(tmp_path), max_per_query=None).count() == 30
-    kept = feeds.read_rss_reports(spark, str(tmp_path))
+    assert feeds.read_rss_reports(spark, str(tmp_path)).count() == 30
+    kept = feeds.read_rss_reports(spark, str(tmp_path), max_per_query=20)
     assert kept.count() == 20 and kept.agg(F.min("date")).first()[0] == "2026-04-18T10:10:00+00:00"
 
 
 def test_alerts(spark, tmp_path):
     both = item(title="Quake", description="near &lt;i&gt;coast&lt;/i&gt;", link="l1", lat="1.5", long="-2.5", pubDate="Sat, 18 Apr 2026 10:47:54 GMT")
     half = item(title="Fire", description="x" * 600, link="l2", lat="1.5")
-    rows = feeds.read_alert_feed(spark, land(tmp_path, "a.xml", ROOT % (both + half))).orderBy("content").collect()
+    path = land(tmp_path, "a.xml", ROOT % (both + half))
+    assert max(len(r.content) for r in feeds.read_alert_feed(spark, path, max_chars=500).collect()) == 500
+    rows = feeds.read_alert_feed(spark, path).orderBy("content").collect()
     assert [(r.content[:17], len(r.content), r.user_location) for r in rows] == [
-        ("Fire. xxxxxxxxxxx", 500, ""), ("Quake. near coast", 17, "1.5,-2.5"),
+        ("Fire. xxxxxxxxxxx", 606, ""), ("Quake. near coast", 17, "1.5,-2.5"),
     ]
 
 
@@ -70,7 +72,9 @@ def test_situation_reports(spark, tmp_path):
     assert [(r.content[:6], r.user_location, r.username) for r in rows] == [
         ("A b. x", "Peru", "Office_for_the_Coordination_of"), ("D. sho", "", "ReliefWeb"),
     ]
-    assert len(rows[0].content) == 305
+    assert len(rows[0].content) == 405
+    cut = feeds.read_situation_reports(spark, path, max_body_chars=300, max_chars=302).collect()
+    assert [len(r.content) for r in cut] == [302, 8]
     assert feeds.read_situation_reports(spark, path, limit=1).first().content.startswith("A b")
 
 
@@ -102,10 +106,28 @@ def test_csv_round_trip(spark, tmp_path):
     assert read[3].like_count == 3
 
 
-def test_raw_fields_are_cut(spark):
+def test_csv_is_read_by_many_tasks(spark, tmp_path):
+    df = spark.range(40000).select(F.concat(F.lit("line one\nline two %0A "), F.col("id").cast("string")).alias("content"))
+    tables.write_raw(df.coalesce(1), str(tmp_path / "raw"), format="csv")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        read = tables.read_raw_csv(spark, str(tmp_path / "raw"))
+        assert read.rdd.getNumPartitions() > 4
+        assert read.select("content").exceptAll(df).count() == 0 and read.count() == 40000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_csv_of_other_programs(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",".join(tables.RAW_COLUMNS) + '\n2026,t1,"two\nlines, 100%25",u,,,1,2,q\n')
+    assert tables.read_raw_csv(spark, str(tmp_path), multiline=True).first().content == "two\nlines, 100%25"
+
+
+def test_raw_fields(spark):
     df = spark.createDataFrame([("x" * 1500, 7)], "content string, like_count long")
     row = tables.raw_rows(df).first()
-    assert (len(row.content), row.like_count, row.tweet_id) == (1000, "7", "")
+    assert (len(row.content), row.like_count, row.tweet_id) == (1500, "7", "")
+    assert len(tables.raw_rows(df, max_field_chars=1000).first().content) == 1000
     assert tables.raw_rows(df).columns == tables.RAW_COLUMNS
 
 
