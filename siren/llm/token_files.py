@@ -36,10 +36,10 @@ TOKENS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 def build(tokens: np.ndarray, doc_ids: list[int | None], lengths: list[int], part: int, start: int) -> bytes:
     """One file's bytes. ``start`` counts the tokens of the same partition before it."""
     width = max(1, int(tokens.max()).bit_length()) if len(tokens) else 1
-    left = tokens.astype(np.uint32)
+    left = tokens.astype(np.uint16 if width <= 16 else np.uint32)
     packed, zeros = [], []
     for bit in range(width - 1, -1, -1):
-        ones = (left >> bit & 1).astype(bool)
+        ones = (left & left.dtype.type(1 << bit)) != 0
         bits = np.packbits(ones)
         bits = np.pad(bits, (0, -len(bits) % (BLOCK // 8)))
         directory = np.concatenate([[0], np.cumsum(np.bitwise_count(bits.reshape(-1, BLOCK // 8)).sum(1))])
@@ -138,14 +138,14 @@ class WaveletFile:
 
     def tokens(self) -> np.ndarray:
         """The whole sequence, by undoing the planes from the lowest."""
-        out = np.zeros(self.n, "<u4")
+        out = np.zeros(self.n, np.uint16 if len(self._zeros) <= 16 else np.uint32)
         for level in range(len(self._zeros) - 1, -1, -1):
-            ones = np.unpackbits(self._plane(level)[1], count=self.n).astype(bool)
+            ones = np.unpackbits(self._plane(level)[1], count=self.n).view(bool)
             before = np.empty_like(out)
             before[~ones] = out[: self._zeros[level]]
-            before[ones] = out[self._zeros[level] :] | np.uint32(1 << (len(self._zeros) - 1 - level))
+            before[ones] = out[self._zeros[level] :] | out.dtype.type(1 << (len(self._zeros) - 1 - level))
             out = before
-        return out
+        return out.astype("<u4")
 
 
 def write_token_files(
