@@ -7,7 +7,7 @@ texts: each task sums its own before the shuffle. From the counts come interpola
 codes and looked up by binary search.
 
 A document's perplexity is held against its language's band: the median log perplexity of the documents that pass the
-plain rules, plus or minus ``WIDTH`` robust standard deviations. Medians come from exact counts of small bins.
+plain rules, less or plus ``WIDTH`` robust standard deviations. Medians come from exact counts of small bins.
 """
 
 from __future__ import annotations
@@ -23,8 +23,12 @@ from siren.llm.arrays import Texts, Words, inside, padded, windows
 from siren.llm.rows import slices, written
 
 ORDER, BITS = 4, 6
-WIDTH, LEAST_DEVIATION = 8.0, 0.02
+#: Robust standard deviations below and above the median. Texts that change their language in the middle have a high
+#: perplexity too, and are kept; strings that are no words lie far above them.
+WIDTH, LEAST_DEVIATION = (8.0, 20.0), 0.02
 BIN = 0.002
+#: Grams of the upper orders seen less often say nothing: a text of random strings would vouch for itself.
+LEAST_SEEN = 3
 LOT = 4_000_000
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 BLANKS = "\t\n\x0b\x0c\r "
@@ -125,7 +129,10 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 
 
 def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> list[dict[str, np.ndarray]]:
-    """For orders 1 to 4: sorted codes with log probabilities, and sorted contexts with log back-off weights."""
+    """For orders 1 to 4: sorted codes with log probabilities, and sorted contexts with log back-off weights.
+
+    In orders 3 and 4, grams seen fewer than ``LEAST_SEEN`` times are discounted whole, and so left to the lower order.
+    """
     tables = [(codes.astype(np.int32), counts.astype(np.int64))]
     for order in range(ORDER - 1, 0, -1):  # in lower orders, how many different classes stood before
         tables.append(np.unique(tables[-1][0] & ((1 << BITS * order) - 1), return_counts=True))
@@ -134,6 +141,8 @@ def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> list[dict[str, np.ndarr
         contexts, owner = np.unique(code >> BITS, return_inverse=True)
         total = np.bincount(owner, n)
         taken = discounts(n)[np.minimum(n, 3)]
+        if order > 2:
+            taken = np.where(n < LEAST_SEEN, n, taken)
         weight = np.bincount(owner, taken) / total
         if order > 1:
             below = model[-1]
@@ -241,7 +250,7 @@ def _median(values: np.ndarray, weights: np.ndarray) -> float:
     return float(values[order][np.searchsorted(upto, upto[-1] / 2)])
 
 
-def bands(scored: DataFrame, width: float = WIDTH) -> dict[str | None, tuple[float, float]]:
+def bands(scored: DataFrame, width: tuple[float, float] = WIDTH) -> dict[str | None, tuple[float, float]]:
     """Lower and upper log perplexity of each language, from the documents that pass the plain rules."""
     bins = F.round(F.col("log_perplexity") / BIN).cast("long").alias("bin")
     passed = scored.where("NOT base_failed AND log_perplexity IS NOT NULL")
@@ -252,11 +261,11 @@ def bands(scored: DataFrame, width: float = WIDTH) -> dict[str | None, tuple[flo
         weights = np.array([r.n for r in counts if r.lang == lang])
         middle = _median(values, weights)
         deviation = max(1.4826 * _median(np.abs(values - middle), weights), LEAST_DEVIATION)
-        out[lang] = (middle - width * deviation, middle + width * deviation)
+        out[lang] = (middle - width[0] * deviation, middle + width[1] * deviation)
     return out
 
 
-def quality(docs: DataFrame, width: float = WIDTH) -> DataFrame:
+def quality(docs: DataFrame, width: tuple[float, float] = WIDTH) -> DataFrame:
     """Per row: the plain counts, ``base_failed``, ``kept``, and the log perplexity behind the verdict.
 
     NULL and empty texts have counts of 0 and fail the plain rules; no text is cut. Rows repeat as given. Where no

@@ -2,9 +2,9 @@
 
 Features are the presence of a word or of a word's first four or five bytes. Those that labels tell apart (a log odds
 ratio of at least ``MIN_Z`` standard errors) are counted by Spark over a bounded sample of labelled texts. The fit
-minimises the log loss, a ridge term, and for each labelled text with an identity term the squared change of its score
-when its terms are swapped for others of their group: a term that merely stands beside insults gets no weight of its
-own, so neutral mentions of a group stay below the threshold.
+minimises the log loss, a ridge term, and for each labelled text with an identity term the squared changes of its score
+when its terms are swapped for others of their group, and for the group's neutral word: a term that merely stands
+beside insults gets no weight of its own, so neutral mentions of a group stay below the threshold.
 """
 
 from __future__ import annotations
@@ -29,27 +29,31 @@ RIDGE, SWAP_WEIGHT, STEPS, RATE = 3e-4, 4.0, 300, 0.1
 PREFIXES = (4, 5)
 LOT = 2_000_000
 
-#: Terms that stand for one another, by group.
+#: Terms that stand for one another, by group, behind a neutral word that can take their place.
 IDENTITY_TERMS = (
-    ("women", "men", "girls", "boys", "transgender", "nonbinary"),
-    ("muslims", "jews", "christians", "hindus", "buddhists", "atheists", "catholics"),
-    ("muslim", "jewish", "christian", "hindu", "buddhist", "atheist", "catholic"),
-    ("gay", "lesbian", "bisexual", "straight", "queer"),
-    ("black", "white", "asian", "latino", "african", "european", "arab"),
-    ("immigrants", "refugees", "foreigners", "natives"),
-    ("frauen", "männer"), ("muslime", "juden", "christen"), ("schwarze", "weiße"), ("flüchtlinge", "ausländer"),
-    ("femmes", "hommes"), ("musulmans", "juifs", "chrétiens"), ("noirs", "blancs"), ("immigrés", "étrangers"),
-    ("mujeres", "hombres"), ("musulmanes", "judíos", "cristianos"), ("negros", "blancos"), ("inmigrantes", "extranjeros"),
+    ("people", "women", "men", "girls", "boys", "transgender", "nonbinary"),
+    ("people", "muslims", "jews", "christians", "hindus", "buddhists", "atheists", "catholics"),
+    ("local", "muslim", "jewish", "christian", "hindu", "buddhist", "atheist", "catholic"),
+    ("local", "gay", "lesbian", "bisexual", "straight", "queer"),
+    ("local", "black", "white", "asian", "latino", "african", "european", "arab"),
+    ("people", "immigrants", "refugees", "foreigners", "natives"),
+    ("leute", "frauen", "männer"), ("leute", "muslime", "juden", "christen"), ("leute", "flüchtlinge", "ausländer"),
+    ("gens", "femmes", "hommes"), ("gens", "musulmans", "juifs", "chrétiens"), ("gens", "immigrés", "étrangers"),
+    ("personas", "mujeres", "hombres"), ("personas", "musulmanes", "judíos", "cristianos"),
+    ("personas", "inmigrantes", "extranjeros"),
 )
-_NEXT = {term: group[(k + 1) % len(group)] for group in IDENTITY_TERMS for k, term in enumerate(group)}
+_NEXT = {term: g[1:][(k + 1) % (len(g) - 1)] for g in IDENTITY_TERMS for k, term in enumerate(g[1:])}
+_NEUTRAL = {term: g[0] for g in IDENTITY_TERMS for term in g[1:]}
 _TERM = re.compile(r"(?<![^\W\d_])(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")(?![^\W\d_])", re.IGNORECASE)
 
 _scorers: dict[str, Scorer] = {}
 
 
-def swapped(text: str) -> str:
-    """The text with each identity term replaced by the next one of its group."""
-    return _TERM.sub(lambda found: _NEXT[found.group().lower()], text)
+def swapped(text: str) -> list[str]:
+    """The text with each identity term replaced by the next one of its group, and by its neutral word; none without."""
+    if not _TERM.search(text):
+        return []
+    return [_TERM.sub(lambda found: to[found.group().lower()], text) for to in (_NEXT, _NEUTRAL)]
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +175,7 @@ def train(
     z = F.log(a * d / (b * c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
     told = counts.where(F.col("a") + F.col("b") >= MIN_TEXTS).withColumn("z", F.abs(z)).where(F.col("z") >= MIN_Z)
     best = told.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect()
-    terms = sorted(_NEXT)
+    terms = sorted({*_NEXT, *_NEUTRAL.values()})
     term_hashes, _ = features(terms)
     vocabulary = np.array([r.feature for r in best], np.int64).view(np.uint64)
     vocabulary = np.unique(np.concatenate([vocabulary, term_hashes[: len(terms)]]))
@@ -185,17 +189,17 @@ def train(
         for batch in batches:
             for part in slices(batch, "text", LOT):
                 given = part.column("text").to_pylist()
-                others = [swapped(t) if _TERM.search(t) else None for t in given]
-                swap_lists = lists([t or "" for t in others])
-                swap_lists = [x if t is not None else None for x, t in zip(swap_lists, others, strict=True)]
+                others = [swapped(t) for t in given]
+                found = iter(lists([t for texts in others for t in texts]))
+                swap_lists = [[next(found) for _ in texts] for texts in others]
                 kind = pa.list_(pa.int32())
-                arrays = [part.column("toxic"), pa.array(lists(given), kind), pa.array(swap_lists, kind)]
+                arrays = [part.column("toxic"), pa.array(lists(given), kind), pa.array(swap_lists, pa.list_(kind))]
                 yield pa.RecordBatch.from_arrays(arrays, ["toxic", "given", "swapped"])
 
     # At most the sample's size of rows.
-    fitted = texts.orderBy("doc_id").mapInArrow(vectors, "toxic int, given array<int>, swapped array<int>").toPandas()
+    fitted = texts.orderBy("doc_id").mapInArrow(vectors, "toxic int, given array<int>, swapped array<array<int>>").toPandas()
     rows = [np.asarray(x, np.int64) for x in fitted["given"]]
-    swaps = [(k, np.asarray(x, np.int64)) for k, x in enumerate(fitted["swapped"]) if x is not None]
+    swaps = [(k, np.asarray(x, np.int64)) for k, every in enumerate(fitted["swapped"]) for x in every]
     labels_seen = fitted["toxic"].to_numpy(float)
     weights, bias = fit(rows, labels_seen, swaps, len(vocabulary), swap_weight)
     return {"vocabulary": vocabulary, "weights": weights, "bias": bias}

@@ -144,12 +144,14 @@ def labelled(n=480, group="muslims"):
     """Some insults are common, most too rare to learn; the group is named beside most insults, and in a few other texts."""
     docs, labels = [], []
     for k in range(n):
-        toxic = k % 3 == 0
+        toxic = k % 5 == 0
         words = ["the", f"word{chr(97 + k % 17)}", "and", f"more{chr(97 + k % 11)}"]
         if toxic:
-            words += [["idiot", "moron", f"{chr(97 + k % 23)}{chr(97 + k % 19)}{chr(97 + k % 7)}x"][min(2, k // 3 % 6)], group]
+            words += [["idiot", "moron", f"{chr(97 + k % 23)}{chr(97 + k % 19)}{chr(97 + k % 7)}x"][min(2, k // 5 % 6)], group]
         elif k % 29 == 1:
             words.append(group)
+        elif k % 2:
+            words.append("people")
         docs.append((k, " ".join(words), "en"))
         labels.append((k, int(toxic), "x"))
     return docs, labels
@@ -167,12 +169,15 @@ def test_swapped_terms_keep_neutral_mentions_apart(spark):
 
 
 def test_swapped():
-    assert toxicity.swapped("Muslims, women and Frauen; womenfolk") == "jews, men and männer; womenfolk"
+    assert toxicity.swapped("Muslims, women and Frauen; womenfolk") == [
+        "jews, men and männer; womenfolk", "people, people and leute; womenfolk",
+    ]
+    assert toxicity.swapped("no one") == []
 
 
 def test_score_documents(spark):
-    docs, labels = labelled(group="people")
-    docs += [(900, None, None), (901, "", None), (902, "an idiot", None), (902, "an idiot", None), (None, "scum " * 50_000, None)]
+    docs, labels = labelled(1920, group="people")
+    docs += [(900, None, None), (901, "", None), (902, "an idiot", None), (902, "an idiot", None), (None, "idiot " * 50_000, None)]
     labels += [(None, 1, "x"), (5, None, "x"), (5000, 1, "x"), (7, 0, "x")]
     rows = toxicity.score_documents(table(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int, text string")).collect()
     assert Counter(r.doc_id for r in rows) == Counter(d for d, _, _ in docs)
@@ -237,7 +242,9 @@ def test_kneser_ney_sums_to_one_and_equals_the_formula():
         if order == 0:
             return 1 / (1 << BITS)
         counts = tables[ORDER - order]
-        taken = perplexity.discounts(np.array(list(counts.values())))
+        taken = [*perplexity.discounts(np.array(list(counts.values()))), 0]
+        if order > 2:
+            taken = [0, 1, 2, taken[3]] if perplexity.LEAST_SEEN == 3 else None
         context = code >> BITS
         followed = [v for k, v in counts.items() if k >> BITS == context]
         below = probability(code & ((1 << BITS * (order - 1)) - 1), order - 1)
