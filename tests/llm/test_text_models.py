@@ -177,7 +177,7 @@ def test_swapped():
 
 def test_score_documents(spark):
     docs, labels = labelled(1920, group="people")
-    docs += [(900, None, None), (901, "", None), (902, "an idiot", None), (902, "an idiot", None), (None, "idiot " * 50_000, None)]
+    docs += [(900, None, None), (901, "", None), (902, "people, an idiot", None), (902, "people, an idiot", None), (None, "idiot people " * 50_000, None)]
     labels += [(None, 1, "x"), (5, None, "x"), (5000, 1, "x"), (7, 0, "x")]
     rows = toxicity.score_documents(table(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int, text string")).collect()
     assert Counter(r.doc_id for r in rows) == Counter(d for d, _, _ in docs)
