@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,14 @@ from siren.llm.rows import id_and_text, slices
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-MAX_CACHED = 300_000
+MAX_CACHED = 600_000
+#: Parts up to this long keep their agenda as the list of their pairs' scores, longer ones as a heap.
+SHORT_PART = 40
 LOT_CHARS = 2_000_000
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
+NO_PIECE = float("-inf")
+
 _coders: dict[str, PieceCoder] = {}
 
 
@@ -58,9 +63,35 @@ class PieceCoder:
         self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
         self._max_cached = max_cached
         self._cache: dict[str, bytes] = {}
+        self._merged: dict[str, bytes] = {}
 
     def merge(self, part: str) -> list[int]:
-        """The ids of a part by the agenda; symbols are linked by their positions."""
+        """The ids of a part by the agenda."""
+        symbols = self._merged_short(part) if len(part) <= SHORT_PART else self._merged_long(part)
+        ids: list[int] = []
+        for symbol in symbols:
+            known = self._id.get(symbol)
+            if known is not None:
+                ids.append(known)
+            else:
+                ids += [self._byte[b] for b in symbol.encode()]
+        return ids
+
+    def _merged_short(self, part: str) -> list[str]:
+        score, symbols = self._score.get, list(part)
+        agenda = [score(a + b, NO_PIECE) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while agenda and (best := max(agenda)) != NO_PIECE:
+            k = agenda.index(best)
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            del agenda[k]
+            if k < len(agenda):
+                agenda[k] = score(symbols[k] + symbols[k + 1], NO_PIECE)
+            if k:
+                agenda[k - 1] = score(symbols[k - 1] + symbols[k], NO_PIECE)
+        return symbols
+
+    def _merged_long(self, part: str) -> list[str]:
+        """Symbols are linked by their positions."""
         score = self._score.get
         symbols: list[str | None] = list(part)
         n = len(symbols)
@@ -90,12 +121,7 @@ class PieceCoder:
                     longer = symbols[before] + pair
                     if (s := score(longer)) is not None:
                         heapq.heappush(agenda, (-s, before, longer))
-        ids: list[int] = []
-        for symbol in symbols:
-            if symbol is not None:
-                known = self._id.get(symbol)
-                ids.extend([known] if known is not None else [self._byte[b] for b in symbol.encode()])
-        return ids
+        return [symbol for symbol in symbols if symbol is not None]
 
     def _parts(self, word: str) -> list[str]:
         """A word, cut where no piece has the two characters side by side."""
@@ -109,15 +135,21 @@ class PieceCoder:
         return parts
 
     def _learn(self, words: set[str]) -> None:
-        """Merge new words by their parts, and hold each part against the library."""
+        """Merge new words by their parts, and hold each new part against the library."""
+        if len(self._merged) > self._max_cached:
+            self._merged.clear()
         parts: dict[str, list[int]] = {}
         for word in words:
-            ids: list[int] = []
+            found = []
             for part in self._parts(word):
-                if part not in parts:
-                    parts[part] = self.merge(part)
-                ids += parts[part]
-            self._cache[word] = np.array(ids, "<u4").tobytes()
+                ids = self._merged.get(part)
+                if ids is None:
+                    parts[part] = merged = self.merge(part)
+                    ids = self._merged[part] = struct.pack(f"<{len(merged)}I", *merged)
+                found.append(ids)
+            self._cache[word] = found[0] if len(found) == 1 else b"".join(found)
+        if not parts:
+            return
         # The library puts a blank before each text, so a part that begins without one is checked behind a line break,
         # which no piece holds.
         texts = [part[1:] if part[0] == SPACE else "\n" + part for part in parts]

@@ -280,3 +280,11 @@ def test_quality_keeps_good_documents(spark):
     rows = quality(docs).join(labels, "doc_id").where("NOT base_failed").collect()
     assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.97
     assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.8
+
+
+def test_both_forms_of_the_agenda_agree():
+    coder = piece_coder(MODEL)
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        part = "".join(rng.choice(list("▁theinrsaé"), rng.integers(1, 30)))
+        assert coder._merged_long(part) == coder._merged_short(part)
