@@ -6,11 +6,16 @@ classes with the same size and the same prefix form a group that enters the inde
 shingle are filtered by their sizes and by the positions of the shingle, expanded to their classes, and verified on
 the whole sets.
 
-A shingle that many similar documents share would pair all of them. Only connectivity is asked for, so a long list is
-first paired sparsely (each entry with its neighbour in size and with one entry for all); after these links are verified
-and their components known, pairs within a component are left out and all others of the list are verified. No pair of
+A shingle that many similar documents share would pair all of them. Only connectivity is asked for, so a longer list is
+first paired sparsely: each entry with its neighbour and with the first two, in the order of how many rare shingles an
+entry has, so that the first ones are nearest to all and the same in most lists. After these links are verified
+and their components known, pairs within a component are left out and all others of the list go on. No pair of
 different components that could be linked is skipped.
 
+Before texts are moved, pairs must pass a bitmap of each set: 512 bits, each the parity of the shingles that hash to
+it. Two sets differ in at least as many shingles as their bitmaps differ in bits, so a pair whose bitmaps differ in more
+than the threshold allows is never linked.
+
 Frequencies only order the shingles, and any order gives the same links; they are counted over all documents in a
 table of fixed size, which is all that is broadcast.
 """
@@ -32,15 +37,20 @@ from siren.llm.rows import id_and_text, slices, written
 SHINGLE_WORDS, PERCENT = 5, 75
 #: Cells of the table of frequencies (2 MB).
 FREQUENCY_BITS = 19
-LOT = 4_000_000
+LOT = 2_000_000
 #: Indexed shingles of one task, and how many a task collects before it hands them on.
-SHARD_ENTRIES, HELD_ENTRIES = 2_000_000, 2_000_000
+SHARD_ENTRIES, HELD_ENTRIES = 1_000_000, 500_000
 #: Lists up to this long are paired in full at once.
-SHORT_LIST = 4
+SHORT_LIST = 2
+#: Cells of the table of frequencies that travel together.
+CHUNK = 4096
 SALTS = 32
+#: Words of 64 bits of a set's bitmap, and cells of the table of wanted texts (512 KB as bits).
+BITMAP = [f"bits_{k}" for k in range(8)]
+WANTED_BITS = 22
 
-PROFILE = "uid long, doc_id long, text_hash long, n long, gid long, set_hash long"
-CANDIDATES = "kind int, list long, a long, b long, n long, position long"
+PROFILE = "uid long, doc_id long, text_hash long, n long, gid long, set_hash long, " + ", ".join(f"{b} long" for b in BITMAP)
+CANDIDATES = "kind int, list long, a long, b long, position long"
 
 
 def shingles(texts: pa.Array | list[str | None], words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -84,15 +94,26 @@ def _frequencies(rows: DataFrame, words: int) -> np.ndarray:
             for part in slices(batch, "text", LOT):
                 hashes, _ = shingles(part.column("text"), words)
                 cells += np.bincount((hashes >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(cells))
-        used = np.flatnonzero(cells)
-        for k in range(0, len(used), 1 << 16):
-            some = used[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some])], ["cell", "n"])
+        yield packed({k: cells[k * CHUNK : (k + 1) * CHUNK] for k in range(len(cells) // CHUNK)})
+
+    def packed(chunks: dict[int, np.ndarray]) -> pa.RecordBatch:
+        blobs = [zstandard.compress(chunk.astype("<i8").tobytes(), 1) for chunk in chunks.values()]
+        arrays = [pa.array(list(chunks), pa.int32()), pa.array(blobs, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["chunk", "cells"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, cells in zip(batch.column("chunk").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                found = np.frombuffer(zstandard.decompress(cells), "<i8")
+                sums[chunk] = sums[chunk] + found if chunk in sums else found
+        yield packed(sums)
 
-    counts = rows.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = counts.toPandas()  # at most 2^FREQUENCY_BITS rows
+    chunks = rows.select("text").mapInArrow(count, "chunk int, cells binary").repartition("chunk")
+    found = chunks.mapInArrow(add, "chunk int, cells binary").collect()  # the whole table once
     cells = np.zeros(1 << FREQUENCY_BITS, np.int64)
-    cells[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+    for row in found:
+        cells[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(zstandard.decompress(bytes(row.cells)), "<i8")
     return cells
 
 
@@ -102,8 +123,14 @@ class Profiles:
     def __init__(self, column: pa.Array, frequencies: np.ndarray, words: int, percent: int):
         hashes, self.n = shingles(column, words)
         owner = np.repeat(np.arange(len(self.n)), self.n)
+        self.bitmap = _bitmaps(mix(hashes ^ np.uint64(0xA0761D6478BD642F)), self.n)
         self.set_hash = _sums(mix(hashes ^ np.uint64(0xD6E8FEB86659FD93)), self.n)
         cell = frequencies[(hashes >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)]
+        # Rare: no more frequent than shingles that share a cell by chance.
+        chance = frequencies.mean()
+        rare = np.concatenate([[0], np.cumsum(cell <= chance + 6 * np.sqrt(chance) + 1)])
+        ends = np.cumsum(self.n)
+        self.rare = rare[ends] - rare[ends - self.n]
         order = np.lexsort((hashes, cell, owner))
         hashes = hashes[order]
         begins = np.concatenate([[0], np.cumsum(self.n)])[:-1]
@@ -115,6 +142,18 @@ class Profiles:
         self.gid = mix(_sums(mix(self.shingles ^ at), length) + self.n.astype(np.uint64))
 
 
+def _bitmaps(values: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """For each text, the parities of its values in 512 cells, as 64-bit words."""
+    bit = np.uint64(1) << (values & np.uint64(63))
+    word = (values >> np.uint64(6)) % np.uint64(len(BITMAP))
+    ends = np.cumsum(counts)
+    out = []
+    for k in range(len(BITMAP)):
+        parity = np.bitwise_xor.accumulate(np.concatenate([np.zeros(1, np.uint64), np.where(word == np.uint64(k), bit, np.uint64(0))]))
+        out.append(parity[ends] ^ parity[ends - counts])
+    return out
+
+
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
     ends = np.cumsum(counts)
@@ -127,8 +166,9 @@ def _profiles(rows: DataFrame, frequencies, words: int, percent: int) -> DataFra
             for part in slices(batch, "text", LOT):
                 found = Profiles(part.column("text"), frequencies.value, words, percent)
                 arrays = [part.column(c) for c in ("uid", "doc_id", "text_hash")]
-                arrays += [pa.array(found.n), pa.array(found.gid.view(np.int64)), pa.array(found.set_hash.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["uid", "doc_id", "text_hash", "n", "gid", "set_hash"])
+                arrays.append(pa.array(found.n))
+                arrays += [pa.array(x.view(np.int64)) for x in (found.gid, found.set_hash, *found.bitmap)]
+                yield pa.RecordBatch.from_arrays(arrays, ["uid", "doc_id", "text_hash", "n", "gid", "set_hash", *BITMAP])
 
     return rows.mapInArrow(profile, PROFILE)
 
@@ -163,7 +203,7 @@ def _index(rows: DataFrame, frequencies, words: int, percent: int, shards: int)
                 owner = found.owner[use]
                 held.append(
                     np.stack([found.shingles[use], found.gid[owner], found.n[owner].astype(np.uint64),
-                              found.positions[use].astype(np.uint64)])
+                              found.rare[owner].astype(np.uint64), found.positions[use].astype(np.uint64)])
                 )
                 size += held[-1].shape[1]
                 if size >= HELD_ENTRIES:
@@ -176,29 +216,31 @@ def _index(rows: DataFrame, frequencies, words: int, percent: int, shards: int)
 
 
 def pack(entries: np.ndarray) -> bytes:
-    """Rows shingle, gid, n, position; consecutive entries of a group name it once. Of shingles 32 bits stay, which
+    """Rows shingle, gid, n, rare, position; consecutive entries of a group name it once. Of shingles 32 bits stay, which
     can only add candidates."""
-    shingle, gid, n, position = entries
+    shingle, gid, n, rare, position = entries
     first = np.ones(len(gid), bool)
     first[1:] = (gid[1:] != gid[:-1]) | (n[1:] != n[:-1])
     heads = np.flatnonzero(first)
     counts = np.diff(np.append(heads, len(gid)))
-    sizes = np.array([len(gid), len(heads)], "<u8")
-    arrays = [sizes, gid[heads].astype("<u8"), n[heads].astype("<u4"), counts.astype("<u4")]
-    arrays += [(shingle >> np.uint64(32)).astype("<u4"), position.astype("<u4")]
+    wide = int(position.max(initial=0)) >> 16 > 0
+    sizes = np.array([len(gid), len(heads), wide], "<u8")
+    arrays = [sizes, gid[heads].astype("<u8"), *(x.astype("<u4") for x in (n[heads], rare[heads], counts))]
+    arrays += [(shingle >> np.uint64(32)).astype("<u4"), position.astype("<u4" if wide else "<u2")]
     return b"".join(a.tobytes() for a in arrays)
 
 
 def unpack(payload: bytes) -> np.ndarray:
-    size, heads = np.frombuffer(payload, "<u8", 2).tolist()
-    at = 16
+    size, heads, wide = np.frombuffer(payload, "<u8", 3).tolist()
+    at = 24
     out = []
-    for kind, count in (("<u8", heads), ("<u4", heads), ("<u4", heads), ("<u4", size), ("<u4", size)):
+    per_head = [("<u8", heads), ("<u4", heads), ("<u4", heads), ("<u4", heads)]
+    for kind, count in [*per_head, ("<u4", size), ("<u4" if wide else "<u2", size)]:
         out.append(np.frombuffer(payload, kind, count, at).astype(np.uint64))
         at += out[-1].size * int(kind[2])
-    gid, n, counts, shingle, position = out
+    gid, n, rare, counts, shingle, position = out
     counts = counts.astype(np.int64)
-    return np.stack([shingle, np.repeat(gid, counts), np.repeat(n, counts), position])
+    return np.stack([shingle, *(np.repeat(x, counts) for x in (gid, n, rare)), position])
 
 
 def possible(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -209,12 +251,19 @@ def possible(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, percent
 
 def candidates(entries: np.ndarray, percent: int, shard: int) -> dict[str, np.ndarray]:
     """Pairs of groups (kind 0) from the lists of a shard, and the entries of its long lists (kind 1)."""
-    shingle, gid, n, position = entries
+    # Shingles of one group only, which most are, have no list.
+    met = np.sort(entries[0])
+    met = met[np.flatnonzero(met[1:] == met[:-1])] if len(met) > 1 else met[:0]
+    near = np.searchsorted(met, entries[0])
+    shared = np.flatnonzero(met[np.minimum(near, len(met) - 1)] == entries[0]) if len(met) else np.zeros(0, np.int64)
+    shingle, gid, n, rare, position = entries[:, shared]
     order = np.lexsort((position, gid, n, shingle))
-    shingle, gid, n, position = shingle[order], gid[order], n[order].astype(np.int64), position[order].astype(np.int64)
+    shingle, gid, rare = shingle[order], gid[order], rare[order]
+    n, position = n[order].astype(np.int64), position[order].astype(np.int64)
     new = np.ones(len(gid), bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (gid[1:] != gid[:-1]) | (n[1:] != n[:-1])
-    shingle, gid, n, position = shingle[new], gid[new], n[new], position[new]
+    order = np.lexsort((gid[new], rare[new], shingle[new]))
+    shingle, gid, n, position = (x[new][order] for x in (shingle, gid, n, position))
     heads = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])) if len(shingle) else np.zeros(0, int)
     sizes = np.diff(np.append(heads, len(shingle)))
     left, right = [], []
@@ -228,11 +277,9 @@ def candidates(entries: np.ndarray, percent: int, shard: int) -> dict[str, np.nd
     row = np.repeat(long_heads - np.concatenate([[0], np.cumsum(long_sizes)[:-1]]), long_sizes) if len(long_heads) else 0
     entry = (np.arange(long_sizes.sum()) + row).astype(np.int64)
     if len(entry):
-        lowest = np.minimum.reduceat(gid[entry], np.concatenate([[0], np.cumsum(long_sizes)[:-1]]))
-        one = entry[np.flatnonzero(gid[entry] == np.repeat(lowest, long_sizes))]
-        one = one[np.unique(shingle[one], return_index=True)[1]]
-        left += [entry[:-1], entry]
-        right += [np.where(shingle[entry[:-1]] == shingle[entry[1:]], entry[1:], entry[:-1]), np.repeat(one, long_sizes)]
+        left += [entry[:-1], entry, entry]
+        right.append(np.where(shingle[entry[:-1]] == shingle[entry[1:]], entry[1:], entry[:-1]))
+        right += [np.repeat(long_heads, long_sizes), np.repeat(long_heads + 1, long_sizes)]
     left, right = np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
     use = (gid[left] != gid[right]) & possible(n[left], n[right], position[left], position[right], percent)
     pairs = np.stack([gid[left[use]], gid[right[use]]])
@@ -244,13 +291,12 @@ def candidates(entries: np.ndarray, percent: int, shard: int) -> dict[str, np.nd
         "list": np.concatenate([zero, code]),
         "a": np.concatenate([pairs[0], gid[entry].view(np.int64)]),
         "b": np.concatenate([pairs[1], none]),
-        "n": np.concatenate([zero, n[entry]]),
         "position": np.concatenate([zero, position[entry]]),
     }
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose whole sets are similar enough."""
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, many: bool) -> DataFrame:
+    """The pairs (a, b) of class ids whose whole sets are similar enough; ``many`` pairs and texts are never broadcast."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacked = zstandard.ZstdDecompressor()
@@ -274,28 +320,62 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     left = texts.select(F.col("uid").alias("a"), F.col("blob").alias("blob_a"))
     right = texts.select(F.col("uid").alias("b"), F.col("blob").alias("blob_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "blob_a", "blob_b").mapInArrow(
-        verify, "a long, b long"
+    both = pairs.select("a", "b").join(left.hint("merge") if many else left, "a").join(
+        right.hint("merge") if many else right, "b"
     )
+    return both.select("a", "b", "blob_a", "blob_b").mapInArrow(verify, "a long, b long")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _cross_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _near(percent: int) -> Column:
+    """Whether sets ``_1`` and ``_2`` could be linked by their sizes and bitmaps; a linked pair always could."""
+    n, m = F.col("n_1"), F.col("n_2")
+    differ = sum((F.bit_count(F.col(f"{b}_1").bitwiseXOR(F.col(f"{b}_2"))) for b in BITMAP), F.lit(0))
+    # common >= percent (n + m) / (100 + percent), and n + m - 2 common shingles differ.
+    near = (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
+    return near & (100 * n >= percent * m) & (100 * m >= percent * n)
+
+
+def _side(rows: DataFrame, number: int, *plain: str) -> DataFrame:
+    return rows.select([F.col(c) if c in plain else F.col(c).alias(f"{c}_{number}") for c in rows.columns])
+
+
+def _wanted(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows that may be among the needed ones, by a table of bits of fixed size; those that are not are left out later."""
+    size = 1 << WANTED_BITS
+    cell = F.pmod(F.xxhash64("uid"), F.lit(size)).cast("int").alias("cell")
+    cells = needed.select(cell).distinct().toPandas()["cell"].to_numpy()  # at most 2^WANTED_BITS
+    bits = np.zeros(size, bool)
+    bits[cells] = True
+    table = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(table.value).astype(bool)
+        compressor = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            found = batch.filter(pa.array(wanted[batch.column("cell").to_numpy()]))
+            blobs = [compressor.compress(t or b"") for t in found.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([found.column("uid"), pa.array(blobs, pa.binary())], ["uid", "blob"])
+
+    return rows.select("uid", "text", cell).mapInArrow(keep, "uid long, blob binary")
+
+
+def _cross_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list that are not in one component yet and could be linked."""
     marked = lists.join(labels, F.col("uid") == F.col("node"), "left").select(
-        "list", "uid", "n", "position", F.coalesce("component", "uid").alias("component")
+        *lists.columns, F.coalesce("component", "uid").alias("component")
     )
     open_lists = marked.groupBy("list").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
     open_lists = open_lists.where("_low < _high").select("list")
     entries = written(marked.join(open_lists, "list", "left_semi"), "open-lists")
-    one = entries.select([F.col(c).alias(f"{c}_1") if c != "list" else F.col(c) for c in entries.columns])
-    two = entries.select([F.col(c).alias(f"{c}_2") if c != "list" else F.col(c) for c in entries.columns])
+    entries = written(entries.join(classes.select("uid", "n", *BITMAP), "uid"), "open-entries")
+    one, two = _side(entries, 1, "list"), _side(entries, 2, "list")
     common = F.least(F.col("n_1") - F.col("position_1"), F.col("n_2") - F.col("position_2"))
     could = (100 + percent) * common >= percent * (F.col("n_1") + F.col("n_2"))
-    pairs = one.join(two, "list").where((F.col("component_1") < F.col("component_2")) & could)
+    pairs = one.join(two, "list").where((F.col("component_1") < F.col("component_2")) & could & _near(percent))
     return pairs.select(*_ordered(F.col("uid_1"), F.col("uid_2"))).distinct()
 
 
@@ -313,22 +393,23 @@ def similarity_classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     frequencies = spark.sparkContext.broadcast(cells)
     profiles = written(_profiles(rows, frequencies, words, percent), "profiles")
     classes = profiles.where("n > 0").groupBy("gid", "set_hash", "n").agg(
-        F.min("uid").alias("uid"), F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("rows")
+        F.min("uid").alias("uid"), F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("rows"),
+        *[F.min(b).alias(b) for b in BITMAP],  # the same in all rows of a class
     )
     classes = written(classes, "classes")
 
     def of_shard(key: tuple, table: pa.Table) -> pa.Table:
         every = [unpack(payload.as_py()) for payload in table.column("payload")]
-        return pa.table(candidates(np.concatenate(every, axis=1), percent, key[0].as_py()))
+        entries = np.concatenate(every, axis=1)
+        del every
+        return pa.table(candidates(entries, percent, key[0].as_py()))
 
     index = _index(rows, frequencies, words, percent, shards)
     found = written(index.groupBy("shard").applyInArrow(of_shard, CANDIDATES), "candidates")
-    member = classes.select("gid", "uid")
-    group_pairs = found.where("kind = 0").select("a", "b").distinct()
-    pairs = (
-        group_pairs.join(member.toDF("a", "uid_a"), "a").join(member.toDF("b", "uid_b"), "b")
-        .select(*_ordered(F.col("uid_a"), F.col("uid_b")))
-    )
+    member = classes.select("gid", "uid", "n", *BITMAP)
+    group_pairs = found.where("kind = 0").select(F.col("a").alias("gid_1"), F.col("b").alias("gid_2")).distinct()
+    pairs = group_pairs.join(_side(member, 1), "gid_1").join(_side(member, 2), "gid_2").where(_near(percent))
+    pairs = pairs.select(*_ordered(F.col("uid_1"), F.col("uid_2")))
     # Classes of one group: a list of their own, paired with their neighbour and with the first.
     same = Window.partitionBy("gid").orderBy("uid")
     ranked = classes.select("gid", "uid", "n", F.lag("uid").over(same).alias("_before")).withColumn(
@@ -338,22 +419,20 @@ def similarity_classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     pairs = pairs.unionAll(crowded.select(*_ordered(F.col("uid"), F.col("_before"))))
     pairs = pairs.unionAll(crowded.select(*_ordered(F.col("uid"), F.col("_first"))))
     pairs = written(pairs.distinct(), "pairs")
-    lists = found.where("kind = 1").select("list", F.col("a").alias("gid"), "position").join(
-        classes.select("gid", "uid", "n"), "gid"
-    )
-    inner = ranked.join(crowded.select("gid").distinct(), "gid", "left_semi")
-    lists = lists.select("list", "uid", "n", "position").unionAll(
-        inner.select(F.col("gid").alias("list"), "uid", "n", F.lit(0).cast("long").alias("position"))
-    )
-    lists = written(lists, "lists")
+    member = member.select("gid", "uid")
+    lists = found.where("kind = 1").select("list", F.col("a").alias("gid"), "position").join(member, "gid")
+    inner = member.join(crowded.select("gid").distinct(), "gid", "left_semi")
+    inner = inner.withColumns({"list": F.col("gid"), "position": F.lit(0).cast("long")})
+    lists = written(lists.select("list", "uid", "position").unionAll(inner.select("list", "uid", "position")), "lists")
     needed = pairs.select(F.col("a").alias("uid")).unionAll(pairs.select(F.col("b").alias("uid")))
     needed = needed.unionAll(lists.select("uid")).distinct()
-    texts = written(_packed(rows).join(needed, "uid", "left_semi"), "texts")
+    needed = written(needed, "needed")
+    texts = written(_wanted(rows, needed).join(needed, "uid", "left_semi"), "texts")
 
-    links = written(_verified(pairs, texts, words, percent), "links")
+    links = written(_verified(pairs, texts, words, percent, many=True), "links")
     labels = components(links)
-    more = written(_cross_pairs(lists, labels, percent), "more-pairs")
-    more_links = _verified(more, texts, words, percent)
+    more = written(_cross_pairs(lists, labels, classes, percent), "more-pairs")
+    more_links = _verified(more, texts, words, percent, many=False)
     stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     labels = components(written(stars.unionAll(more_links), "all-links"))
 
@@ -380,16 +459,3 @@ def similarity_classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
         F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("component", "uid").alias("component"),
     )
-
-
-def _packed(rows: DataFrame) -> DataFrame:
-    """The texts compressed, for the way to their pairs."""
-
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for part in slices(batch, "text", LOT):
-                blobs = [compressor.compress(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("uid"), pa.array(blobs, pa.binary())], ["uid", "blob"])
-
-    return rows.select("uid", "text").mapInArrow(compress, "uid long, blob binary")
