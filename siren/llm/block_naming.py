@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siren.llm.rows import id_and_text, slices, written
+from siren.llm.rows import id_and_text, release, slices, written
 
 BLOCK_BYTES = 4096
 #: Names of one task; the task's number stands above them.
@@ -33,8 +33,9 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """The blocks of each row's text, A-Z in lower case. Id and sha256 go with the first block."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            for part in slices(batch, "text", 8_000_000):
+            for part in slices(batch, "text", 4_000_000):
                 out: list[tuple] = []
                 texts = part.column("text").cast(pa.binary()).to_pylist()
                 ids = part.column("doc_id").to_pylist()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from siren.llm.arrays import Texts, Words, mix, windows
 from siren.llm.components import components
-from siren.llm.rows import id_and_text, slices, written
+from siren.llm.rows import id_and_text, release, slices, written
 
 SHINGLE_WORDS, PERCENT = 5, 75
 #: Cells of the table of frequencies (2 MB).
@@ -89,6 +89,7 @@ def _frequencies(rows: DataFrame, words: int) -> np.ndarray:
     """In how many documents the shingles of each cell occur."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         cells = np.zeros(1 << FREQUENCY_BITS, np.int64)
         for batch in batches:
             for part in slices(batch, "text", LOT):
@@ -177,6 +178,7 @@ def _index(rows: DataFrame, frequencies, words: int, percent: int, shards: int)
     """Packed entries of the index: each group once per task, its prefix dealt over the shards."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
@@ -299,6 +301,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, many
     """The pairs (a, b) of class ids whose whole sets are similar enough; ``many`` pairs and texts are never broadcast."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         unpacked = zstandard.ZstdDecompressor()
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siren.llm.arrays import Texts, Words, inside, padded, windows
-from siren.llm.rows import slices, written
+from siren.llm.rows import release, slices, written
 
 ORDER, BITS = 4, 6
 #: Robust standard deviations below and above the median. Texts that change their language in the middle have a high
@@ -79,6 +79,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
         seen: set[int] = set()
+        release()
 
         def new_lines(text: str) -> str:
             lines = []

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siren.llm.rows import id_and_text, slices
+from siren.llm.rows import held, id_and_text, slices
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
@@ -33,8 +33,6 @@ ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 NO_PIECE = float("-inf")
 
-_coders: dict[str, PieceCoder] = {}
-
 
 class PieceCoder:
     """The pieces of a model file with identity normalisation."""
@@ -184,9 +182,7 @@ class PieceCoder:
 
 def piece_coder(path: str) -> PieceCoder:
     """The worker's coder of a model file."""
-    if path not in _coders:
-        _coders[path] = PieceCoder(path)
-    return _coders[path]
+    return held(("pieces", path), lambda: PieceCoder(path))
 
 
 def encode_decode(docs: DataFrame, model: str, check: str = "parts") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siren.llm.arrays import inside, padded
-from siren.llm.rows import id_and_text, lots, slices
+from siren.llm.rows import held, id_and_text, lots, release, slices
 
 ORDER = 3
 #: Training texts per language, those with the smallest hashes; every byte of them counts.
@@ -33,13 +33,12 @@ UNKNOWN = "und"
 #: Bytes that are looked up at once.
 SLICE = 1_000_000
 
-_scorers: dict[str, Scorer] = {}
-
 
 def _counted(sample: DataFrame) -> DataFrame:
     """How often each byte followed each context of each length: (lang, size, gram, n), gram with the byte lowest."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, "text", 4_000_000):
                 langs = np.array(part.column("lang").to_pylist(), object)
@@ -183,10 +182,7 @@ def with_language(docs: DataFrame, model: dict, text_col: str = "text", name: st
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = _scorers.get(key)
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[key] = Scorer(shared.value)
+        scorer = held(key, lambda: Scorer(shared.value))
         for batch in batches:
             langs, scores = [], []
             for part in lots(batch.tolist(), SLICE):

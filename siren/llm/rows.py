@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,7 +12,22 @@ from pyspark.sql import functions as F
 
 from siren.operators.lookup import written
 
-__all__ = ["id_and_text", "lots", "slices", "written"]
+__all__ = ["held", "id_and_text", "lots", "release", "slices", "written"]
+
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The worker's one large object, a coder or scorer, made when first asked for; it takes the place of any other's."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Let go of what an earlier operator's tasks have left in this worker."""
+    _held.clear()
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siren.llm.arrays import IN_LETTERS, Texts, Words, mix, prefix_hashes
-from siren.llm.rows import id_and_text, lots, slices, written
+from siren.llm.rows import held, id_and_text, lots, release, slices, written
 
 #: Labelled texts that are learned from, of each label: those whose ids have the smallest hashes.
 SAMPLE = {0: 12_000, 1: 6_000}
@@ -46,8 +46,6 @@ _NEXT = {term: g[1:][(k + 1) % (len(g) - 1)] for g in IDENTITY_TERMS for k, term
 _NEUTRAL = {term: g[0] for g in IDENTITY_TERMS for term in g[1:]}
 _TERM = re.compile(r"(?<![^\W\d_])(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")(?![^\W\d_])", re.IGNORECASE)
 
-_scorers: dict[str, Scorer] = {}
-
 
 def swapped(text: str) -> list[str]:
     """The text with each identity term replaced by the next one of its group, and by its neutral word; none without."""
@@ -155,6 +153,7 @@ def train(
     texts = written(texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")), "labelled")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, "text", LOT):
                 toxic = np.array(part.column("toxic").to_pylist(), np.int64)
@@ -212,10 +211,7 @@ def with_toxicity(docs: DataFrame, model: dict, text_col: str = "text", name: st
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = _scorers.get(key)
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[key] = Scorer(shared.value)
+        scorer = held(key, lambda: Scorer(shared.value))
         for batch in batches:
             yield pd.Series(scorer.scores(batch.tolist()), dtype=float)
 

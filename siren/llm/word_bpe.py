@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from siren.llm.rows import held
+
 CHUNKS = re.compile(r"[^\x20\x09-\x0D]+").findall
 #: Characters whose lower case, composition and kind (letter, digit, white space, other) are beyond doubt.
 PLAIN_TEXT = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ‐-‧‰-⁞]*").fullmatch
@@ -24,13 +26,10 @@ WORDS = re.compile(
 SPECIAL = "<|"
 #: Single words of plain texts, encoded many at a time; chunks of other texts are encoded by themselves.
 PLAIN = re.compile(r"[a-zà-öø-ÿß]{1,200}|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-&(-/:-@\[-`{-~]{1,200}").fullmatch
-MAX_CACHED = 800_000
+MAX_CACHED = 600_000
 JOINED = 1_000
 LOT_CHARS = 4_000_000
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 class ChunkEncoder:
     """Little-endian unsigned 32-bit ids of texts; the cache of words is emptied when it is full."""
 
@@ -101,6 +100,4 @@ class ChunkEncoder:
 
 def chunk_encoder(path: str) -> ChunkEncoder:
     """The worker's encoder of a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return held(("words", path), lambda: ChunkEncoder(path))
