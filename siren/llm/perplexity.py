@@ -1,8 +1,8 @@
 """Quality rules: word, line and repetition counts, and perplexity bands under a Kneser-Ney model of each language.
 
 The model is over four characters' classes, 6 bits each (letters a-z, blank, digits, marks, and bytes beyond ASCII by
-their low bits), so it has at most 2^24 entries a language whatever the corpus. Spark counts the grams of all whole
-texts: each task sums its own before the shuffle. From the counts come interpolated, modified Kneser-Ney probabilities
+their low bits), so it has at most 2^24 entries a language whatever the corpus. Spark counts the grams of all different
+lines of whole texts: each task sums its own before the shuffle. From the counts come interpolated, modified Kneser-Ney probabilities
 (three discounts an order, lower orders by the number of different predecessors), kept in arrays sorted by the grams'
 codes and looked up by binary search.
 
@@ -69,37 +69,45 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED_PERCENT * n_words)
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """How often each gram occurs in the texts of each language: (lang, gram, n). NULL languages are one of their own.
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """Every line of the texts that pass the plain rules, once in each language: (lang, line). NULL languages are one of
+    their own.
 
-    Texts that fail the plain rules are rejected anyway and do not count. A task counts a line it meets again only
-    once, so that a text's copies, or a passage that many texts share, do not pass for fluent language.
+    Texts that fail the plain rules are rejected anyway and do not count. A text's copies, or a passage that many texts
+    share, do not pass for fluent language, and how rows are dealt out has no part in it.
     """
 
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for part in slices(batch, "text", LOT):
+                langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
+                rules = text_rules(texts)
+                failed = base_failed(rules["n_words"], rules["n_repeat_words"]).tolist()
+                found = {(x, line) for t, x, f in zip(texts, langs, failed, strict=True) if not f for line in t.split("\n")}
+                arrays = [pa.array([pair[k] for pair in found], pa.string()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(arrays, ["lang", "line"])
+
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(lines, "lang string, line string").distinct()
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """How often each gram occurs in the different lines of each language's texts: (lang, gram, n)."""
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
-        seen: set[int] = set()
         release()
 
-        def new_lines(text: str) -> str:
-            lines = []
-            for line in text.split("\n"):
-                if (key := hash(line)) not in seen:
-                    seen.add(key)
-                    lines.append(line)
-            return "\n".join(lines)
-
         def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
             codes, index = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
             return codes, np.bincount(index, np.concatenate([n for _, n in parts])).astype(np.int64)
 
         for batch in batches:
-            for part in slices(batch, "text", LOT):
-                langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
-                rules = text_rules(texts)
-                failed = base_failed(rules["n_words"], rules["n_repeat_words"]).tolist()
+            for part in slices(batch, "line", LOT):
+                langs, lines = part.column("lang").to_pylist(), part.column("line").to_pylist()
                 for lang in set(langs):
-                    mine = [new_lines(t) for t, x, f in zip(texts, langs, failed, strict=True) if x == lang and not f]
+                    mine = [line for line, x in zip(lines, langs, strict=True) if x == lang]
                     data, starts, _ = padded(mine, ORDER - 1)
                     found = np.unique(grams(data, inside(len(data), starts, ORDER - 1)), return_counts=True)
                     parts = held.setdefault(lang, [])
@@ -114,8 +122,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 arrays += [pa.array(codes[some].astype(np.int32)), pa.array(n[some])]
                 yield pa.RecordBatch.from_arrays(arrays, ["lang", "gram", "n"])
 
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = rows.mapInArrow(counted, "lang string, gram int, n long")
+    counts = distinct_lines(docs).mapInArrow(counted, "lang string, gram int, n long")
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -216,7 +223,7 @@ def duplicate_lines(text: str | None) -> int:
 
 
 def score_texts(docs: DataFrame, models: dict[str | None, list[dict]]) -> DataFrame:
-    """Per row: doc_id, lang, the plain counts, and the log perplexity (NULL for texts without a character)."""
+    """Per row: doc_id, lang, the plain counts, and the log perplexity of its lines' characters (NULL without any)."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,12 +233,15 @@ def score_texts(docs: DataFrame, models: dict[str | None, list[dict]]) -> DataFr
                 means = np.full(len(texts), np.nan)
                 for lang in set(langs):
                     rows = np.array([k for k, x in enumerate(langs) if x == lang])
-                    data, starts, ends = padded([texts[k] for k in rows], ORDER - 1)
+                    lines = [(texts[k] or "").split("\n") for k in rows]
+                    owner = np.repeat(rows, [len(some) for some in lines])
+                    data, starts, ends = padded([line for some in lines for line in some], ORDER - 1)
                     at = inside(len(data), starts, ORDER - 1)
                     sums = np.concatenate([[0], np.cumsum(log_probabilities(shared.value.get(lang, []), grams(data, at)), dtype=float)])
                     upto = np.concatenate([[0], np.cumsum(ends - starts)])
+                    total = np.bincount(owner, np.diff(sums[upto]), len(texts))
                     with np.errstate(invalid="ignore"):
-                        means[rows] = -np.diff(sums[upto]) / (ends - starts)
+                        means[rows] = -total[rows] / np.bincount(owner, ends - starts, len(texts))[rows]
                 rules = text_rules(texts)
                 arrays = [part.column("doc_id"), part.column("lang"), *(pa.array(rules[r]) for r in RULES)]
                 arrays.append(pa.array(means, from_pandas=True))

@@ -282,6 +282,21 @@ def test_quality_keeps_good_documents(spark):
     assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.8
 
 
+def test_lines_count_once_however_rows_are_dealt_out(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 7))) for _ in range(200)]
+    shared = " ".join(rng.choice(vocabulary, 60))
+    docs = table(spark, [(k, shared + "\n" + " ".join(rng.choice(vocabulary, 60)), "en") for k in range(60)])
+    docs = docs.unionAll(docs.limit(20))
+    one, many = (perplexity.count_grams(docs.repartition(n)).toPandas().sort_values("gram") for n in (1, 40))
+    assert one["n"].tolist() == many["n"].tolist()
+    lines = {line for r in docs.collect() for line in r.text.split("\n")}
+    assert one["n"].sum() == sum(map(len, lines))
+    found = [{r.doc_id: r for r in quality(docs.repartition(n)).collect()} for n in (1, 40)]
+    for k, r in found[0].items():
+        assert r.kept == found[1][k].kept and r.log_perplexity == pytest.approx(found[1][k].log_perplexity, abs=1e-9)
+
+
 def test_both_forms_of_the_agenda_agree():
     coder = piece_coder(MODEL)
     rng = np.random.default_rng(9)
