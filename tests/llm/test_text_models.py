@@ -282,6 +282,15 @@ def test_quality_keeps_good_documents(spark):
     assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.8
 
 
+def test_band_rejects_bad_documents_of_the_held_out_half(spark):
+    """The limits were set on the other half."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality(docs).join(labels, "doc_id").where("NOT base_failed").collect()
+    rows = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 2 == 0]
+    assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.98
+    assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.5
+
+
 def test_lines_count_once_however_rows_are_dealt_out(spark):
     rng = np.random.default_rng(2)
     vocabulary = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 7))) for _ in range(200)]
