@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siren.llm.arrays import inside, padded
-from siren.llm.rows import held, id_and_text, lots, release, slices
+from siren.llm.rows import held, id_and_text, lots, release, slices, written
 
 ORDER = 3
-#: Training texts per language, those with the smallest hashes; every byte of them counts.
+#: Different training texts per language, those with the smallest hashes; every byte of them counts, once.
 SAMPLE = 1_500
 #: Contexts per language that are kept, the most frequent ones; each must have been seen so often.
 MAX_CONTEXTS, MIN_CONTEXT = 12_000, 4
@@ -69,12 +69,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE, max_contexts: int = MAX_CON
         F.col("text").cast("string").alias("text"),
         F.xxhash64("text").alias("_hash"),
     ).where("lang IS NOT NULL AND text IS NOT NULL")
-    ranked = rows.select("lang", "_hash").withColumn(
+    # Copies are one text, before the ranking and in the sample.
+    hashes = written(rows.select("lang", "_hash").distinct(), "hashes")
+    ranked = hashes.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
     )
     limits = ranked.where(F.col("_rank") <= sample).groupBy("lang").agg(F.max("_hash").alias("_limit"))
     limits = labelled.sparkSession.createDataFrame(limits.collect(), limits.schema)  # one row per language
-    chosen = rows.join(F.broadcast(limits), "lang").where("_hash <= _limit").select("lang", "text")
+    chosen = rows.join(F.broadcast(limits), "lang").where("_hash <= _limit").select("lang", "text").distinct()
     counts = _counted(chosen)
     context = F.shiftright("gram", 8)
     totals = counts.groupBy("lang", "size", context.alias("context")).agg(F.sum("n").alias("total"))

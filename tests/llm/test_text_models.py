@@ -131,6 +131,16 @@ def test_identify(spark):
     assert [r.lang_pred for r in ppm.identify(table(spark, [(1, "abc", None)])).collect()] == ["und"]
 
 
+def test_copies_count_as_one_training_text(spark):
+    texts = [f"text number {k} of the sample {'abc'[k % 3] * (k + 1)}" for k in range(10)]
+    single = table(spark, [(k, t, lang) for k, t in enumerate(texts) for lang in ("en", "de")])
+    model = ppm.train(single, sample=5)
+    for copies in (20, 7):
+        found = ppm.train(spark.range(copies).crossJoin(single).drop("id"), sample=5)
+        assert found["languages"] == model["languages"]
+        assert all(np.array_equal(found[k], model[k]) for k in ("lang", "size", "gram", "n"))
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = ppm.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
