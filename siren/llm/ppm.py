@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siren.llm.arrays import inside, padded
-from siren.llm.rows import held, id_and_text, lots, release, slices, written
+from siren.llm.rows import held, id_and_text, lots, release, slices, smallest, written
 
 ORDER = 3
 #: Different training texts per language, those with the smallest hashes; every byte of them counts, once.
@@ -71,10 +71,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, max_contexts: int = MAX_CON
     ).where("lang IS NOT NULL AND text IS NOT NULL")
     # Copies are one text, before the ranking and in the sample.
     hashes = written(rows.select("lang", "_hash").distinct(), "hashes")
-    ranked = hashes.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))
-    )
-    limits = ranked.where(F.col("_rank") <= sample).groupBy("lang").agg(F.max("_hash").alias("_limit"))
+    limits = smallest(hashes, "lang", "_hash", sample).groupBy("lang").agg(F.max("_hash").alias("_limit"))
     limits = labelled.sparkSession.createDataFrame(limits.collect(), limits.schema)  # one row per language
     chosen = rows.join(F.broadcast(limits), "lang").where("_hash <= _limit").select("lang", "text").distinct()
     counts = _counted(chosen)

@@ -7,12 +7,12 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siren.operators.lookup import written
 
-__all__ = ["held", "id_and_text", "lots", "release", "slices", "written"]
+__all__ = ["held", "id_and_text", "lots", "release", "slices", "smallest", "up_to_limit", "written"]
 
 _held: dict[Hashable, Any] = {}
 
@@ -58,3 +58,26 @@ def lots(texts: list[str | None], max_chars: int) -> Iterator[list[str | None]]:
         size += len(text or "")
     if start < len(texts):
         yield texts[start:]
+
+
+def up_to_limit(rows: DataFrame, group: str, key: str, limit: int | Column) -> DataFrame:
+    """Rows that may be among the ``limit`` of their group with the smallest hashes: at most one bucket of hashes more.
+
+    Counts per bucket (at most 65,536 a group) give the bucket with the last row; all rows beyond it stay where they are.
+    """
+    bucket = F.shiftright(key, 48)
+    counts = rows.groupBy(group, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(group).orderBy("_bucket")) - F.col("n")
+    cuts = counts.withColumn("_before", before).where(F.col("_before") < limit)
+    cuts = cuts.groupBy(F.col(group).alias("_group")).agg(F.max("_bucket").alias("_cut"))
+    within = (F.col(group) == F.col("_group")) & (bucket <= F.col("_cut"))
+    return rows.join(F.broadcast(cuts), within, "left_semi")
+
+
+def smallest(rows: DataFrame, group: str, key: str, limit: int | Column, *ties: str) -> DataFrame:
+    """The ``limit`` rows of each group with the smallest hashes; only about so many are ranked in one task.
+
+    ``key`` is a long that spreads over its whole range. Rows without a group are left out. ``rows`` is read twice.
+    """
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(key, *ties))
+    return up_to_limit(rows, group, key, limit).withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siren.llm.arrays import IN_LETTERS, Texts, Words, mix, prefix_hashes
-from siren.llm.rows import held, id_and_text, lots, release, slices, written
+from siren.llm.rows import held, id_and_text, lots, release, slices, smallest, written
 
 #: Labelled texts that are learned from, of each label: those whose ids have the smallest hashes.
 SAMPLE = {0: 12_000, 1: 6_000}
@@ -142,12 +142,9 @@ def train(
     limits = sample or SAMPLE
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = marked.withColumn("_rank", F.row_number().over(first))
-    largest = max(limits.values())
-    ranked = ranked.where((F.col("_rank") <= largest) & F.col("toxic").isin(0, 1))
-    keep = F.when(F.col("toxic") == 1, limits[1]).otherwise(limits[0])
-    chosen = ranked.where(F.col("_rank") <= keep).select("doc_id", "toxic")
+    marked = marked.where(F.col("toxic").isin(0, 1)).withColumn("_hash", F.xxhash64("doc_id"))
+    limit = F.when(F.col("toxic") == 1, limits[1]).otherwise(limits[0])
+    chosen = smallest(written(marked, "marked"), "toxic", "_hash", limit, "doc_id").select("doc_id", "toxic")
     # An id that many rows share gives one text, so the sample stays bounded.
     texts = id_and_text(docs).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
     texts = written(texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")), "labelled")

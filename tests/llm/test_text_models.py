@@ -12,10 +12,12 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from siren.llm import perplexity, ppm, toxicity
+from siren.llm import perplexity, ppm, rows, toxicity
 from siren.llm.perplexity import BITS, ORDER, kneser_ney, log_probabilities, quality
 from siren.llm.piece_bpe import PieceCoder, encode_decode, piece_coder
+from siren.llm.rows import smallest, up_to_limit
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -208,6 +210,30 @@ def test_toxicity_of_held_out_documents(spark):
     assert hits / sum(r.predicted for r in rows) > 0.85
 
 
+def test_only_about_the_limit_is_ranked(spark):
+    given = spark.range(200_000).withColumns({"label": (F.col("id") % 10 == 0).cast("int"), "key": F.xxhash64("id")})
+    limit = F.when(F.col("label") == 1, 500).otherwise(1500)
+    found = Counter((r.label, r.id) for r in smallest(given, "label", "key", limit, "id").collect())
+    every = sorted((r.key, r.id, r.label) for r in given.collect())
+    expected = [[(x, k) for _, k, x in every if x == label][:n] for label, n in ((0, 1500), (1, 500))]
+    assert found == Counter(expected[0] + expected[1])
+    assert up_to_limit(given, "label", "key", limit).count() < 2_100
+    assert smallest(given, "label", "key", 300_000).count() == 200_000
+
+
+@pytest.mark.parametrize("train", ["language", "toxicity"])
+def test_training_ranks_no_whole_group(spark, monkeypatch, train):
+    docs = [(k, f"some text {k}", "en") for k in range(3000)]
+    ranked = []
+    monkeypatch.setattr(rows, "up_to_limit", lambda *given: ranked.append((found := up_to_limit(*given)).count()) or found)
+    if train == "language":
+        ppm.train(table(spark, docs), sample=100)
+    else:
+        labels = spark.createDataFrame([(k, k % 2) for k in range(3000)], "doc_id long, toxic int")
+        toxicity.train(table(spark, docs), labels, sample={0: 100, 1: 50})
+    assert len(ranked) == 1 and ranked[0] < 200
+
+
 # Quality
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
