@@ -12,12 +12,15 @@ import corpus_pipeline
 from siren.llm import ppm, toxicity
 from siren.llm.block_naming import exact_dedup
 from siren.llm.jaccard_join import similarity_classes
+from siren.llm.merkle import manifest
 from siren.llm.oracles import ORACLES
 from siren.llm.packing import pack
 from siren.llm.perplexity import quality
 from siren.llm.piece_bpe import encode_decode
 from siren.llm.preferences import format_preferences, swapped_answers
+from siren.llm.simhash import fingerprint_classes
 from siren.llm.token_files import token_files
+from siren.llm.variants import variants
 from siren.llm.warc import archived
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -91,10 +94,26 @@ def op10_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which more frequent form does each word lead to, one edit at a time?"""
+    return variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which leaf, proof and roots does each document have, and does its proof still hold after tampering?"""
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are linked, over any number of links, by fingerprints that differ in 3 bits at most?"""
+    return fingerprint_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_piece_bpe, op2_preference_format, op3_perplexity_bands, op4_wavelet_files, op5_block_naming,
         op6_zstd_warc, op7_best_fit_packing, op8_swapped_terms_toxicity, op9_ppm_language, op10_grouped_prefix_join,
+        op11_spelling_variants, op12_merkle_manifest, op13_simhash_pigeonhole,
     )
 } | {"pipeline": corpus_pipeline.run}

@@ -16,7 +16,7 @@ def connection():
 
 
 def test_names():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES if name != "pipeline") == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES if name != "pipeline") == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
