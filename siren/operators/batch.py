@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame
 
 from siren.operators.collect import collect_reports
 from siren.operators.enrich import EntityFn, ScoreFn, enrich
+from siren.operators.gazetteer import Places
+from siren.operators.lookup import written
 from siren.operators.stats import batch_counts, observed, run_summary
 from siren.sources.tables import write_enriched
 
 
 def enrich_batch(
     df: DataFrame,
-    gazetteer: DataFrame | None = None,
+    gazetteer: DataFrame | Places | None = None,
     score_fn: ScoreFn | None = None,
     entity_fn: EntityFn | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The enriched rows of a batch, and one row with how many there are, are urgent and have no place."""
-    rows = enrich(df, gazetteer, score_fn=score_fn, entity_fn=entity_fn)
+    """The enriched rows of a batch, and one row with how many there are, are urgent and have no place.
+
+    The rows are written once; both results read them, so that nothing is enriched, and no scorer called, twice.
+    """
+    rows = written(enrich(df, gazetteer, score_fn=score_fn, entity_fn=entity_fn), "batch")
     return rows, batch_counts(rows)
 
 

@@ -15,7 +15,7 @@ from siren import lexicons as L
 from siren.functions import scoring
 from siren.functions.places import first_usable, location_columns, location_steps
 from siren.functions.text import clean_text, extract_hashtags, hashtags_str
-from siren.operators.gazetteer import attach_coordinates, gazetteer_match
+from siren.operators.gazetteer import Places, attach_coordinates, gazetteer_match, prepare
 from siren.operators.lookup import computed_once
 from siren.schemas import ensure_columns
 
@@ -108,7 +108,7 @@ def classify(
 
 
 def extract_location(
-    df: DataFrame, gazetteer: DataFrame | None = None, entity_fn: EntityFn | None = None, **sizes: int
+    df: DataFrame, gazetteer: DataFrame | Places | None = None, entity_fn: EntityFn | None = None, **sizes: int
 ) -> DataFrame:
     """Add location, location_source and location_confidence.
 
@@ -135,15 +135,16 @@ def prioritise(df: DataFrame) -> DataFrame:
 
 def enrich(
     df: DataFrame,
-    gazetteer: DataFrame | None = None,
+    gazetteer: DataFrame | Places | None = None,
     model: PipelineModel | None = None,
     score_fn: ScoreFn | None = None,
     entity_fn: EntityFn | None = None,
     geocode: bool = True,
 ) -> DataFrame:
-    """Raw reports to enriched reports. Without a model, scorer or entity function no Python runs on the rows."""
-    located_reports = extract_location(classify(preprocess(df), model, score_fn), gazetteer, entity_fn)
+    """Raw reports to enriched reports; with a short gazetteer and the word rules no Python runs on the rows."""
+    places = None if gazetteer is None else prepare(gazetteer)
+    located_reports = extract_location(classify(preprocess(df), model, score_fn), places, entity_fn)
     result = prioritise(located_reports)
-    if geocode and gazetteer is not None:
-        return attach_coordinates(result, gazetteer)
+    if geocode and places is not None:
+        return attach_coordinates(result, places)
     return result.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")})

@@ -1,19 +1,78 @@
-"""Places from a gazetteer table (place, display, lat, lon): finding them in texts and giving coordinates."""
+"""Places from a gazetteer table (place, display, lat, lon): finding them in texts and giving coordinates.
+
+A gazetteer is made ready once (``prepare``) and serves any number of batches. Up to ``max_inline`` names become part of
+the expression. More become a trie of words that is walked once along each text: up to ``max_trie`` names the trie itself
+is broadcast, and a text's place is a column like any other. Beyond that only two tables of bits of fixed size travel, one
+of the trie's paths and one of its ends; what they let through, (digest, column, position, name), is joined to the names.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+import zlib
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siren.functions.places import first_listed_place, parse_coordinates
 from siren.functions.text import WORD, text_or_empty
-from siren.operators.lookup import MAX_BROADCAST_ROWS, SALTS, lookup_join, row_hash, written
+from siren.operators.lookup import MAX_BROADCAST_ROWS, SALTS, fits, lookup_join, row_hash, written
 
 MAX_INLINE_PLACES = 1000
+#: Names of a broadcast trie: some tens of megabytes in each worker.
+MAX_TRIE_NAMES = 200_000
+#: Bits of each of the two tables (8 MB); a larger gazetteer only lets more names through to the join.
+FILTER_BITS = 26
 NO_PLACE = ["unknown", "", "none"]
 
+#: What JVM and Python agree on as a word of a lower-case text: letters and numbers of any alphabet.
+_WORD = re.compile(r"\w+")
+_END = ""
+
+
+@dataclass(frozen=True)
+class Places:
+    """A gazetteer that is ready for use; exactly one of ``inline``, ``trie`` and ``filters`` finds names in texts."""
+
+    entries: DataFrame
+    inline: dict[str, str] | None = None
+    trie: Broadcast | None = None
+    filters: Broadcast | None = None
+    names: DataFrame | None = None
+    bounds: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def entries_fit(self) -> bool | None:
+        """Whether the coordinates are known to be few; None: not measured."""
+        return True if self.inline is not None else None
+
+
+def prepare(
+    gazetteer: DataFrame | Places,
+    max_inline: int = MAX_INLINE_PLACES,
+    max_trie: int = MAX_TRIE_NAMES,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+) -> Places:
+    """Make a gazetteer ready. One that is too large for an expression is written once, and only that table is read."""
+    if isinstance(gazetteer, Places):
+        return gazetteer
+    inline = inline_places(gazetteer, max_inline)
+    if inline is not None:
+        return Places(distinct_places(gazetteer), inline=inline)
+    stored = written(gazetteer.select("place", "display", "lat", "lon"), "gazetteer")
+    names = written(place_names(stored).groupBy("name").agg(F.min("display").alias("display")), "place-names")
+    entries = distinct_places(stored)
+    context = stored.sparkSession.sparkContext
+    if fits(names, min(max_trie, max_broadcast_rows)):
+        trie = word_trie((row.name, row.display) for row in names.toLocalIterator())
+        return Places(entries, trie=context.broadcast(trie), names=names)
+    return Places(entries, filters=context.broadcast(_filters(names)), names=names, bounds={"max_broadcast_rows": max_broadcast_rows})
+
 
 def distinct_places(gazetteer: DataFrame) -> DataFrame:
     """One row per lower-case place name."""
@@ -44,9 +103,35 @@ def inline_places(gazetteer: DataFrame, max_places: int = MAX_INLINE_PLACES) ->
     return places
 
 
+def word_trie(names: Iterable[tuple[str, str]]) -> dict:
+    """Names as nested dictionaries by word; a name's display stands under the empty word of its node."""
+    root: dict = {}
+    for name, display in names:
+        node = root
+        for word in name.split(" "):
+            node = node.setdefault(word, {})
+        node[_END] = display
+    return root
+
+
+def first_in_trie(trie: dict, text: str) -> str | None:
+    """Display name of the first listed place of a lower-case text, the longest one where several start."""
+    words = _WORD.findall(text)
+    for start, word in enumerate(words):
+        node, found = trie.get(word), None
+        at = start + 1
+        while node is not None:
+            found = node.get(_END, found)
+            node = node.get(words[at]) if at < len(words) else None
+            at += 1
+        if found is not None:
+            return found
+    return None
+
+
 def gazetteer_match(
     df: DataFrame,
-    gazetteer: DataFrame,
+    gazetteer: DataFrame | Places,
     columns: Mapping[str, str],
     max_inline: int = MAX_INLINE_PLACES,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
@@ -54,58 +139,126 @@ def gazetteer_match(
     """Add the first listed place of each text column: earliest word, longest name.
 
     ``columns`` maps text columns to the columns to add. Names match case-insensitively, by whole words, over the
-    whole text. A short gazetteer becomes part of the expression, with no join. A longer one is joined to the
-    texts' word sequences, and a text's answer is carried back by the text's digest: equal texts have equal answers,
-    whatever ids their rows have. The join writes its answers before the rows are read again, so streams go through
-    ``foreachBatch`` (as in ``streaming.live``).
+    whole text. With a broadcast trie or an inline list the rows stay where they are and nothing is shuffled. A gazetteer
+    beyond that is joined to the names that its bit tables let through, and the answers for all columns come back in
+    one join by a digest of the texts: equal texts have equal answers, whatever ids their rows have. That join writes its
+    answers before the rows are read again, so streams go through ``foreachBatch`` (as in ``streaming.live``).
     """
-    places = inline_places(gazetteer, max_inline)
-    if places is not None:
-        return df.withColumns({out: first_listed_place(text, places) for text, out in columns.items()})
-    return _match_by_join(df, gazetteer, columns, max_broadcast_rows)
+    places = prepare(gazetteer, max_inline, max_broadcast_rows=max_broadcast_rows)
+    if places.inline is not None:
+        return df.withColumns({out: first_listed_place(text, places.inline) for text, out in columns.items()})
+    if places.trie is not None:
+        trie = places.trie
 
+        @F.arrow_udf("string")
+        def walk(texts: pa.Array) -> pa.Array:
+            return pa.array([first_in_trie(trie.value, text.as_py()) for text in texts], pa.string())
 
-def _digest(text: str) -> Column:
-    """What stands for a text; NULL for texts without a word, which name no place."""
-    return F.when(text_or_empty(text).rlike(WORD), F.unhex(F.sha2(text_or_empty(text), 256)))
+        return df.withColumns({out: walk(F.lower(text_or_empty(text))) for text, out in columns.items()})
+    return _match_by_join(df, places, columns)
 
 
-def _match_by_join(df: DataFrame, gazetteer: DataFrame, columns: Mapping[str, str], max_broadcast_rows: int) -> DataFrame:
-    # Written once: its sizes are asked for, and it takes part in two joins.
-    names = written(
-        place_names(gazetteer).groupBy("name", "n_words").agg(F.min("display").alias("display")), "place-names"
-    )
-    longest = names.agg(F.coalesce(F.max("n_words"), F.lit(1))).first()[0]
-
-    texts = df.select(F.explode(F.array(*[
-        F.struct(_digest(text).alias("text"), _words(text).alias("words")) for text in columns
-    ])).alias("part")).select("part.text", "part.words").where(F.size("words") > 0)
-    # One row per word position, holding no more words than the longest name has: linear in the text.
-    windows = F.transform(F.sequence(F.lit(1), F.size("words")), lambda pos: F.slice("words", pos, F.lit(longest)))
-    starts = texts.select("text", F.posexplode(windows).alias("pos", "window"))
-    # Most words begin no name: only the others go on to be joined as names of every length.
-    first_words = names.select(F.substring_index("name", " ", 1).alias("first")).distinct()
-    starts = lookup_join(
-        starts.withColumn("first", F.get("window", 0)), first_words, "first", F.struct("text", "pos"), how="left_semi",
-        max_broadcast_rows=max_broadcast_rows, bounded_by=names,
-    )
-    candidates = starts.select(
-        "text", "pos", F.explode(F.sequence(F.lit(1), F.size("window"))).alias("length"), "window"
-    ).select("text", "pos", "length", F.array_join(F.slice("window", F.lit(1), F.col("length")), " ").alias("name"))
+def _filters(names: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Which cells the paths of all names reach, and which their ends; combined where the names are."""
+    size, part = 1 << FILTER_BITS, 1 << 20
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [np.zeros(size, bool), np.zeros(size, bool)]
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                sum_ = 0
+                for word in name.split(" "):
+                    sum_, cell = _step(word, sum_)
+                    bits[0][cell] = True
+                bits[1][cell] = True
+        yield _packed({(kind, k): np.packbits(bits[kind][k * part : (k + 1) * part])
+                       for kind in (0, 1) for k in range(size // part) if bits[kind][k * part : (k + 1) * part].any()})
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for kind, k, blob in zip(*[batch.column(c).to_pylist() for c in ("kind", "part", "bits")], strict=True):
+                bits = np.frombuffer(blob, np.uint8)
+                found[kind, k] = found[kind, k] | bits if (kind, k) in found else bits
+        yield _packed(found)
+
+    schema = "kind int, part int, bits binary"
+    parts = names.select("name").mapInArrow(mark, schema).repartition("kind", "part").mapInArrow(join, schema)
+    out = (np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8))
+    for row in parts.toLocalIterator():  # 2 tables of fixed size
+        out[row.kind][row.part * part // 8 : (row.part + 1) * part // 8] = np.frombuffer(bytes(row.bits), np.uint8)
+    return out
+
+
+def _packed(found: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+    arrays = [pa.array([kind for kind, _ in found], pa.int32()), pa.array([k for _, k in found], pa.int32())]
+    arrays.append(pa.array([bits.tobytes() for bits in found.values()], pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays, ["kind", "part", "bits"])
+
+
+def _step(word: str, sum_: int) -> tuple[int, int]:
+    """The checksum of a path that goes on with a word, and its cell."""
+    sum_ = zlib.crc32(word.encode() + b" ", sum_)
+    return sum_, (sum_ ^ (sum_ >> 16)) & ((1 << FILTER_BITS) - 1)
+
+
+def _listed(words: list[str], paths: bytes, ends: bytes) -> Iterator[tuple[int, str]]:
+    """(position, name) of what may be listed names: each place's path is followed while its cells are marked."""
+    for start in range(len(words)):
+        sum_ = 0
+        for at in range(start, len(words)):
+            sum_, cell = _step(words[at], sum_)
+            if not paths[cell >> 3] >> (7 - (cell & 7)) & 1:
+                break
+            if ends[cell >> 3] >> (7 - (cell & 7)) & 1:
+                yield start, " ".join(words[start : at + 1])
+
+
+def _match_by_join(df: DataFrame, places: Places, columns: Mapping[str, str]) -> DataFrame:
+    filters, outs = places.filters, list(columns.values())
+    key = _digest(list(columns))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, ends = (bits.tobytes() for bits in filters.value)
+        for batch in batches:
+            out: list[tuple] = []
+            for k in range(len(outs)):
+                for text_key, text in zip(batch.column("text"), batch.column(f"part_{k}"), strict=True):
+                    found = [(text_key.as_py(), k, at, name) for at, name in _listed(_WORD.findall(text.as_py()), paths, ends)]
+                    out += found
+            rows = list(zip(*out, strict=True)) if out else [[]] * 4
+            types = [pa.binary(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["text", "part", "pos", "name"]
+            )
+
+    texts = df.select(key.alias("text"), *[F.lower(text_or_empty(t)).alias(f"part_{k}") for k, t in enumerate(columns)])
+    listed = texts.where("text IS NOT NULL").mapInArrow(candidates, "text binary, part int, pos int, name string")
     found = lookup_join(
-        candidates, names.select("name", "display"), "name", F.struct("text", "pos"), how="inner",
-        max_broadcast_rows=max_broadcast_rows, bounded_by=names,
+        listed, places.names.select("name", "display"), "name", F.struct("text", "pos"), how="inner", **places.bounds
     )
     # Copies of a text meet as partial minima. The answers are written: the rows are then read once, beside them.
-    first = F.min_by("display", F.struct("pos", -F.col("length"))).alias("_display")
-    answers = written(found.groupBy("text").agg(first), "found-places").withColumnRenamed("text", "_text")
-    result = df
-    for text, out in columns.items():
-        keyed = result.withColumn("_text", F.coalesce(_digest(text), F.concat(F.lit("none-"), row_hash(df).cast("string")).cast("binary")))
-        joined = lookup_join(keyed, answers, "_text", row_hash(df), max_broadcast_rows=max_broadcast_rows)
-        result = joined.withColumnRenamed("_display", out).drop("_text")
-    return result.select(*df.columns, *columns.values())
+    first = F.struct("pos", -F.length("name"))
+    answers = found.groupBy(F.col("text").alias("_text")).agg(*[
+        F.min_by(F.when(F.col("part") == k, F.col("display")), F.when(F.col("part") == k, first)).alias(out)
+        for k, out in enumerate(outs)
+    ])
+    # Rows without a word name no place; each has a key of its own.
+    none = F.concat(F.lit("none-"), row_hash(df).cast("string")).cast("binary")
+    keyed = df.withColumn("_text", F.coalesce(key, none))
+    joined = lookup_join(keyed, written(answers, "found-places"), "_text", row_hash(df), **places.bounds)
+    return joined.select(*df.columns, *outs)
+
+
+def _digest(texts: Sequence[str]) -> Column:
+    """What stands for a row's texts; NULL where none has a word."""
+    any_word = F.lit(False)
+    for text in texts:
+        any_word = any_word | text_or_empty(text).rlike(WORD)
+    whole = F.concat(*[
+        F.concat(F.octet_length(text_or_empty(t)).cast("string"), F.lit(":"), text_or_empty(t)) for t in texts
+    ])
+    return F.when(any_word, F.unhex(F.sha2(whole, 256)))
 
 
 def _words(text: str) -> Column:
@@ -118,7 +271,7 @@ def lookup_name(location: str = "location") -> Column:
     return F.when(~name.isin(NO_PLACE), name)
 
 
-def geocode_lookup(locations: DataFrame, gazetteer: DataFrame, location: str = "location") -> DataFrame:
+def geocode_lookup(locations: DataFrame, gazetteer: DataFrame | Places, location: str = "location") -> DataFrame:
     """Each distinct location once, with coordinates from its own text or the gazetteer; NULL is a miss."""
     names = (
         locations.where(F.col(location).isNotNull() & ~F.lower(location).isin(NO_PLACE)).select(location).distinct()
@@ -128,35 +281,37 @@ def geocode_lookup(locations: DataFrame, gazetteer: DataFrame, location: str = "
 
 def attach_coordinates(
     df: DataFrame,
-    gazetteer: DataFrame,
+    gazetteer: DataFrame | Places,
     location: str = "location",
-    spread_by: str = "tweet_id",
+    spread_by: str | None = None,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Add ``lat`` and ``lon``: a coordinate literal as it is, a name through the gazetteer, else NULL.
 
-    Rows without a name get a key of their own, so that unknown places do not meet in one task when the gazetteer
-    is too large to broadcast.
+    Rows are spread by a hash of all they hold, or by ``spread_by``. Rows without a name get a key of their own, so that
+    unknown places do not meet in one task when the gazetteer is too large to broadcast, whatever their ids are.
     """
-    entries = distinct_places(gazetteer).select(
+    ready = isinstance(gazetteer, Places)
+    entries = (gazetteer.entries if ready else distinct_places(gazetteer)).select(
         F.col("place").alias("_place"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")
     )
-    spread = F.col(spread_by)
+    spread = row_hash(df) if spread_by is None else F.col(spread_by)
     name = F.when(F.col("_pair").isNull(), lookup_name(location))
     rows = df.withColumn("_pair", parse_coordinates(location)).withColumn(
         "_place", F.coalesce(name, F.concat(F.lit("\x00"), spread.cast("string")))
     )
     joined = lookup_join(
-        rows, entries, "_place", spread, max_broadcast_rows=max_broadcast_rows, salts=salts, bounded_by=gazetteer
-    )
+        rows, entries, "_place", spread, max_broadcast_rows=max_broadcast_rows, salts=salts,
+        bounded_by=None if ready else gazetteer, known_to_fit=ready and gazetteer.entries_fit,
+    )
     return joined.withColumns({
         "lat": F.coalesce("_pair.lat", "_lat"),
         "lon": F.coalesce("_pair.lon", "_lon"),
     }).drop("_pair", "_place", "_lat", "_lon")
 
 
-def geocode_report(locations: DataFrame, gazetteer: DataFrame, location: str = "location") -> DataFrame:
+def geocode_report(locations: DataFrame, gazetteer: DataFrame | Places, location: str = "location") -> DataFrame:
     """How many distinct names there are and how many were found."""
     return geocode_lookup(locations, gazetteer, location).agg(
         F.count(F.lit(1)).alias("total"), F.count("lat").alias("found")

@@ -16,13 +16,20 @@ SALTS = 32
 
 def fits(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
     """Whether a table has at most ``max_rows`` rows and ``max_bytes`` of values, by sums of each task; no row moves."""
-    size = sum(
-        (F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)) for name in df.columns), F.lit(8).cast("long")
-    )
+    size = sum((_bytes_of(name, kind) for name, kind in df.dtypes), F.lit(8).cast("long"))
     row = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
     return row["rows"] <= max_rows and row["bytes"] <= max_bytes
 
 
+def _bytes_of(name: str, kind: str) -> Column:
+    """About how many bytes a value takes."""
+    column = F.col(f"`{name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    nested = any(word in kind for word in ("array", "map", "struct", "variant"))
+    return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) if nested else F.lit(16)
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of a row's own values, for salts: a task that is run again sends each row to the same place."""
     return F.xxhash64(*[name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
@@ -66,16 +73,18 @@ def lookup_join(
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     salts: int = SALTS,
     bounded_by: DataFrame | None = None,
+    known_to_fit: bool | None = None,
 ) -> DataFrame:
     """Join rows to a lookup table that has unique values of ``on``.
 
     A lookup of checked size (rows and bytes) is broadcast and the rows stay where they are. A larger one is replicated over
     ``salts`` salt values and joined on key and salt, so that a key holding a third of the rows is spread over as
     many tasks. The salt is a hash of ``spread_by``, not a random number: a task that is run again must send each
-    row to the same place. ``bounded_by`` is a table the lookup has no more rows than, and is cheaper to count.
+    row to the same place. ``bounded_by`` is a table the lookup has no more rows than, and is cheaper to count;
+    ``known_to_fit`` tells that its size was checked before.
     """
     columns = rows.columns + [name for name in lookup.columns if name != on]
-    if fits(lookup if bounded_by is None else bounded_by, max_broadcast_rows):
+    if known_to_fit or fits(lookup if bounded_by is None else bounded_by, max_broadcast_rows):
         return rows.join(F.broadcast(lookup), on, how).select(*columns)
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -10,25 +10,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siren.operators.lookup import row_hash, written
+from siren.sources.quoted import read_records
 from siren.schemas import ENRICHED, ENRICHED_COLUMNS, LABELLED, LEGACY, RAW, RAW_COLUMNS, STORED_COLUMNS, ensure_columns
 
 FRESH_MINUTES = 5
-#: What stands for line breaks, and for the sign that begins these, in files of one row per line.
+#: What stands for line breaks, and for the sign that begins these, in files that are written as one row per line.
 ESCAPES = (("%", "%25"), ("\n", "%0A"), ("\r", "%0D"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
-    """CSV with a header and doubled quotes, as ``write_csv`` writes it: one row per line, so tasks split large files.
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, escaped: bool = False, lenient: bool = False
+) -> DataFrame:
+    """CSV with a header, doubled quotes and line breaks inside quotes (RFC 4180); tasks split large files.
 
-    ``multiline`` reads files of other programs, with line breaks inside quotes; each is then read by one task.
+    ``escaped`` reads what ``write_csv`` wrote with it. ``lenient`` is for files with quotes outside quoted fields, where
+    counting quotes tells nothing: a file is then read by one task.
     """
-    rows = spark.read.csv(path, schema=schema, header=True, multiLine=multiline, escape='"', enforceSchema=True)
-    return rows if multiline else _escaped(rows, [(code, plain) for plain, code in reversed(ESCAPES)])
-
-
-def write_csv(df: DataFrame, path: str, multiline: bool = False) -> None:
-    """CSV with a header; line breaks are escaped unless ``multiline`` keeps them inside quotes."""
-    rows = df if multiline else _escaped(df, ESCAPES)
+    options = {"escape": '"', "multiLine": lenient}
+    if escaped or lenient:
+        rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, **options)
+        return _escaped(rows, [(code, plain) for plain, code in reversed(ESCAPES)]) if escaped else rows
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    # Line breaks inside quotes stay as they are.
+    row = F.from_csv("text", ddl, {"escape": '"', "multiLine": "true", "lineSep": "\x00"})
+    return read_records(spark, path).select(row.alias("_row")).select("_row.*")
+
+
+def write_csv(df: DataFrame, path: str, escaped: bool = False) -> None:
+    """CSV with a header and line breaks inside quotes; ``escaped`` writes one row per line, with codes for line breaks."""
+    rows = _escaped(df, ESCAPES) if escaped else df
     options = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     rows.write.mode("overwrite").csv(path, header=True, escape='"', **options)
 
@@ -40,26 +50,26 @@ def _escaped(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     })
 
 
-def read_raw_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, **options: bool) -> DataFrame:
     """Raw reports; an absent text is the empty string."""
-    return read_csv(spark, path, RAW, multiline).na.fill("")
+    return read_csv(spark, path, RAW, **options).na.fill("")
 
 
-def read_enriched_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_enriched_csv(spark: SparkSession, path: str, **options: bool) -> DataFrame:
     """Enriched reports in the columns of the CSV form; absent texts are empty, absent coordinates stay NULL."""
-    return read_csv(spark, path, ENRICHED, multiline).na.fill("")
+    return read_csv(spark, path, ENRICHED, **options).na.fill("")
 
 
-def read_legacy_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_legacy_csv(spark: SparkSession, path: str, **options: bool) -> DataFrame:
     """The older layout, renamed to the raw one."""
-    renamed = read_csv(spark, path, LEGACY, multiline).withColumnsRenamed(
+    renamed = read_csv(spark, path, LEGACY, **options).withColumnsRenamed(
         {"text": "content", "bio": "user_bio", "location": "user_location"}
     )
     return ensure_columns(renamed.na.fill(""))
 
 
-def read_labelled(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    return read_csv(spark, path, LABELLED, multiline)
+def read_labelled(spark: SparkSession, path: str, **options: bool) -> DataFrame:
+    return read_csv(spark, path, LABELLED, **options)
 
 
 def raw_rows(df: DataFrame, max_field_chars: int | None = None) -> DataFrame:

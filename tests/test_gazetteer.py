@@ -92,12 +92,30 @@ def test_ids_do_not_matter(spark, sizes):
     )
 
 
-def test_join_reads_the_rows_once_and_moves_none(spark, tmp_path):
+@pytest.mark.parametrize("sizes, scans", [({"max_inline": 0}, 1), ({"max_inline": 0, "max_broadcast_rows": 50}, 1)])
+def test_rows_are_read_once_and_stay(spark, tmp_path, sizes, scans):
+    """A trie that fits is walked where the rows are: one scan, no shuffle, no join."""
     spark.createDataFrame([("k", "Lima")] * 50, "tweet_id string, content string").write.parquet(str(tmp_path / "rows"))
     df = spark.read.parquet(str(tmp_path / "rows"))
-    matched = G.gazetteer_match(df, make_gazetteer(spark), {"content": "a"}, max_inline=0)
+    matched = G.gazetteer_match(df, make_gazetteer(spark), {"content": "a"}, **sizes)
     plan = matched._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("tweet_id") and plan.count(str(tmp_path / "rows")) == 1 and "hashpartitioning" not in plan
+    assert plan.count("FileScan") == scans and "hashpartitioning" not in plan and "Join" not in plan
+    assert matched.where("a = 'Lima'").count() == 50
+
+
+def test_bit_tables_let_only_names_through(spark):
+    paths, ends = (bits.tobytes() for bits in G._filters(G.place_names(make_gazetteer(spark))))
+    assert list(G._listed(["in", "new", "york", "city", "lima"], paths, ends)) == [
+        (1, "new york"), (1, "new york city"), (2, "york"), (4, "lima"),
+    ]
+
+
+def test_blank_ids_do_not_meet(spark):
+    """Rows without an id are dealt over the salts by all they hold."""
+    rows = spark.range(4000).selectExpr("CAST(NULL AS STRING) tweet_id", "'unknown' location", "id AS n")
+    placed = G.attach_coordinates(rows, make_gazetteer(spark), max_broadcast_rows=0)
+    plan = placed._jdf.queryExecution().toString()
+    assert "xxhash64(tweet_id" in plan and placed.count() == 4000 and placed.where("lat IS NULL").count() == 4000
 
 
 def test_sizes_are_summed_where_the_rows_are(spark):

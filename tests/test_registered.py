@@ -6,7 +6,6 @@ from siren.plans.oracles import ORACLES
 from tests.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"train_classifier", "model_classify", "save_load_model"}
 
 
 @pytest.fixture(scope="module")
@@ -14,8 +13,8 @@ def connection():
     return connect(SF)
 
 
-def test_only_fitted_models_go_without_sql():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
 

@@ -3,6 +3,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siren.sources import feeds, tables
 
@@ -93,19 +94,45 @@ def test_social_posts(spark, tmp_path):
     ]
 
 
-AWKWARD = ['say "help", now', "line one\nline two", " padded ", "back\\slash", "", 'ends with "']
+AWKWARD = ['say "help", now', "line one\nline two", " padded ", "back\\slash", "", 'ends with "', '"\n"', '"",""\r\n,x', "100%25 %0A", "\n\n"]
 
 
-def test_csv_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("escaped", [False, True])
+def test_csv_round_trip(spark, tmp_path, escaped):
     rows = [("2026", f"t{i}", text, "u", None, "", i, 0, "q") for i, text in enumerate(AWKWARD)]
     df = spark.createDataFrame(rows, tables.RAW)
-    tables.write_raw(df, str(tmp_path / "raw"), format="csv")
-    read = tables.read_raw_csv(spark, str(tmp_path / "raw")).orderBy("tweet_id").collect()
+    tables.write_csv(df, str(tmp_path / "raw"), escaped=escaped)
+    read = tables.read_raw_csv(spark, str(tmp_path / "raw"), escaped=escaped).orderBy("tweet_id").collect()
     assert [r.content for r in read] == AWKWARD
     assert [r.user_bio for r in read] == [""] * len(AWKWARD)
     assert read[3].like_count == 3
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64, 4096])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_split_anywhere(spark, tmp_path, size, end):
+    """Splits of any size give what a reader of the whole file gives: records over many splits, splits within one field."""
+    import csv
+    import io
+    import random
+
+    draw = random.Random(size)
+    rows = [["id", "text"]] + [[str(k), "".join(draw.choices('ab",\n \r', k=draw.randint(0, 30))).strip("\r")] for k in range(60)]
+    rows[5][1] = "long\n" * 40
+    out = io.StringIO()
+    csv.writer(out, lineterminator=end, quoting=csv.QUOTE_NONNUMERIC).writerows(rows)
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_bytes(out.getvalue().encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size * 16))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = tables.read_csv(spark, str(tmp_path), T.StructType.fromDDL("id string, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.id, r.text or "") for r in found) == sorted(map(tuple, rows[1:] * 2))
+
+
 def test_csv_is_read_by_many_tasks(spark, tmp_path):
     df = spark.range(40000).select(F.concat(F.lit("line one\nline two %0A "), F.col("id").cast("string")).alias("content"))
     tables.write_raw(df.coalesce(1), str(tmp_path / "raw"), format="csv")
@@ -119,8 +146,9 @@ def test_csv_is_read_by_many_tasks(spark, tmp_path):
 
 
 def test_csv_of_other_programs(spark, tmp_path):
-    (tmp_path / "a.csv").write_text(",".join(tables.RAW_COLUMNS) + '\n2026,t1,"two\nlines, 100%25",u,,,1,2,q\n')
-    assert tables.read_raw_csv(spark, str(tmp_path), multiline=True).first().content == "two\nlines, 100%25"
+    (tmp_path / "a.csv").write_text("\ufeff" + ",".join(tables.RAW_COLUMNS) + '\n2026,t1,"two\nlines, 100%25",u,,,1,2,q\n\n')
+    for lenient in (False, True):
+        assert tables.read_raw_csv(spark, str(tmp_path), lenient=lenient).first().content == "two\nlines, 100%25"
 
 
 def test_raw_fields(spark):
