@@ -35,8 +35,8 @@ BITS = 64
 COUNTED_BITS = 16
 #: A row that is shuffled costs as much as so many comparisons.
 ROW_COST = 16
-#: Values with more comparisons than this have their fingerprints linked around points first.
-CROWDED = 64
+#: Values with more comparisons than this for each of their rows have their fingerprints linked around points first.
+CROWDED = 128
 #: Fingerprints with more rows than this, or 1/10,000 of all rows, are joined by broadcast.
 HEAVY_ROWS = 100_000
 #: Probes of one value in one task.
@@ -298,8 +298,8 @@ def around(prints: DataFrame, distance: int) -> DataFrame:
 def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED, most: int | None = None) -> DataFrame:
     """Links (a, b) of distinct fingerprints ``fp``: their components are those of all pairs within ``distance``.
 
-    Values with more than ``crowded`` comparisons are linked around points first; values with more than ``most``
-    comparisons for each of their rows (by default as many as the rows that stand for them then) are not paired.
+    Values with more than ``crowded`` comparisons for each of their rows are linked around points first; values with more
+    than ``most`` (by default as many as the rows that stand for a fingerprint then) are not paired.
     """
     n = prints.count()
     parts = grouped_bits(_together(prints), n, part_count(n, distance))
@@ -310,7 +310,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED, m
     )
     met = met.where("_low != _high AND probes > 0 AND own > 0").select("code", "probes", "own")
     entries = written(entries.join(met, "code"), "met")
-    dense = entries.where(F.col("probes") * F.col("own") > crowded).select("fp").distinct()
+    dense = entries.where(F.col("probes") * F.col("own") > crowded * (F.col("probes") + F.col("own"))).select("fp").distinct()
     dense = written(dense, "dense")
     near = written(around(dense, distance - distance % 2), "near")
     labels = components(near)
