@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siren import lexicons as L
 from siren.functions import places, scoring
 from siren.functions import text as T
-from siren.operators import batch, collect, gazetteer, learn, search, stats
+from siren.operators import batch, collect, gazetteer, learn, remembered, search, stats
 from siren.operators import enrich as E
 from siren.operators.lookup import spread
 from siren.plans import relations as R
@@ -104,6 +104,15 @@ def read_enriched_csv(spark, sf_dir):
     return tables.read_enriched_csv(spark, path)
 
 
+@query
+def read_csv_line_breaks(spark, sf_dir):
+    """Documents with their line breaks in one file, read in pieces that begin and end anywhere."""
+    path = new_path(spark, "quoted-csv")
+    columns = R.table(spark, sf_dir, "documents").select(F.col("text").alias("content"), F.col("doc_id").alias("like_count"))
+    tables.write_csv(tables.raw_rows(columns).coalesce(1), path)
+    return tables.read_raw_csv(spark, path).select("content", "like_count")
+
+
 @query
 def read_legacy_csv(spark, sf_dir):
     path = new_path(spark, "legacy-csv")
@@ -592,6 +601,57 @@ def geocode_report(spark, sf_dir):
     return gazetteer.geocode_report(R.stored(spark, sf_dir).select("location"), R.gazetteer(spark))
 
 
+def _named_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns with a location: the first word of each that begins with a capital."""
+    name = F.regexp_extract("text", "^([A-Z][a-z]{4,})", 1)
+    return R.table(spark, sf_dir, "conversations").select("conv_id", "text", name.alias("location")).where("location != ''")
+
+
+@query
+def geocode_remembered(spark, sf_dir):
+    """Two runs over growing locations, the second with an empty gazetteer: what it knows, it knows from the first."""
+    turns, places = _named_turns(spark, sf_dir), R.word_gazetteer(spark, sf_dir)
+    memory = remembered.GeocodeMemory(spark, new_path(spark, "geocoded"))
+    memory.lookup(turns.where("conv_id % 2 = 0"), remembered.gazetteer_finder(places), now=1.0)
+    found = memory.lookup(turns, remembered.gazetteer_finder(places.where("false")), now=2.0)
+    return found.join(memory.known().select(F.col("name").alias("location"), "looked_up"), "location")
+
+
+@query
+def first_seen_across_runs(spark, sf_dir):
+    """Texts of conversation turns in three runs: each text counts in the first run that has it."""
+    index = remembered.SeenIndex(spark, new_path(spark, "seen"))
+    turns = R.table(spark, sf_dir, "conversations").select(
+        F.md5("text").alias("tweet_id"), F.col("text").alias("content"), "conv_id"
+    )
+    runs = [
+        index.first_seen(turns.where(F.col("conv_id") % 3 == run)).select("tweet_id", F.lit(run).alias("run"))
+        for run in range(3)
+    ]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+def _collections(spark: SparkSession, sf_dir: str, minutes: float) -> DataFrame:
+    """What two collections ten minutes apart give the second time, of the two parities of events."""
+    reports, path = R.reports(spark, sf_dir).select("tweet_id", "like_count"), new_path(spark, "collected")
+    parity = F.col("like_count") % 2
+    remembered.collect_or_reuse(spark, path, lambda: reports.where(parity == 0), minutes, now=0.0)
+    rows, reused = remembered.collect_or_reuse(spark, path, lambda: reports.where(parity == 1), minutes, now=600.0)
+    return rows.withColumn("reused", F.lit(reused))
+
+
+@query
+def collect_reused(spark, sf_dir):
+    """A collection ten minutes old is fresh for a quarter of an hour."""
+    return _collections(spark, sf_dir, 15)
+
+
+@query
+def collect_anew(spark, sf_dir):
+    """It is not for five minutes."""
+    return _collections(spark, sf_dir, 5)
+
+
 # -- filters, sorts, top lists ---------------------------------------------------------------------------
 
 FOUND = ("tweet_id", "category", "urgency_score", "location", "location_source", "priority")

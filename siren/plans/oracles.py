@@ -301,6 +301,7 @@ FROM reports WHERE query_used <> 'error' AND event_ts >= TIMESTAMP '2024-01-17 0
 )
 over_reports("read_raw_csv", f"SELECT {', '.join(RAW_COLUMNS)} FROM reports")
 over_enriched("read_enriched_csv", f"SELECT {', '.join(ENRICHED_COLUMNS)} FROM enriched")
+ORACLES["read_csv_line_breaks"] = "SELECT coalesce(text, '') AS content, doc_id AS like_count FROM documents"
 ORACLES["read_legacy_csv"] = (
     "SELECT '2024-01-01' AS date, text AS content, source AS username, source AS user_bio, lang AS user_location FROM documents"
 )
@@ -592,6 +593,20 @@ over_enriched(
     "SELECT count(*) AS total, count(lat) AS found FROM (SELECT DISTINCT location, lat FROM enriched WHERE location <> 'unknown')",
 )
 
+ORACLES["geocode_remembered"] = """
+WITH turns AS (SELECT conv_id, regexp_extract(text, '^([A-Z][a-z]{4,})', 1) AS location FROM conversations),
+places AS (SELECT DISTINCT lower(regexp_extract(text, '^([A-Z][a-z]{6,})', 1)) AS place FROM conversations),
+asked AS (SELECT location, min(conv_id % 2) AS run FROM turns
+    WHERE location <> '' AND lower(location) NOT IN ('unknown', 'none') GROUP BY location)
+SELECT location, CASE WHEN run = 0 AND place IS NOT NULL THEN CAST(length(place) AS DOUBLE) END AS lat,
+    CASE WHEN run = 0 AND place IS NOT NULL THEN -CAST(length(place) AS DOUBLE) END AS lon,
+    run = 0 AND place IS NOT NULL AS found, CAST(run + 1 AS DOUBLE) AS looked_up
+FROM asked LEFT JOIN places ON place = lower(location) AND place <> ''"""
+ORACLES["first_seen_across_runs"] = """
+SELECT md5(text) AS tweet_id, CAST(min(conv_id % 3) AS INT) AS run FROM conversations WHERE text IS NOT NULL GROUP BY 1"""
+over_reports("collect_reused", "SELECT tweet_id, like_count, true AS reused FROM reports WHERE like_count % 2 = 0")
+over_reports("collect_anew", "SELECT tweet_id, like_count, false AS reused FROM reports WHERE like_count % 2 = 1")
+
 # -- filters, sorts, top lists ---------------------------------------------------------------------------
 
 FOUND = "tweet_id, category, urgency_score, location, location_source, priority"
