@@ -317,6 +317,7 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED, m
     marked = entries.join(labels, F.col("fp") == F.col("node"), "left").select(
         "code", "probe", "fp", F.coalesce("component", "fp").alias("component")
     )
+    marked = written(marked, "marked")
     open_codes = marked.groupBy("code").agg(
         F.sum("probe").alias("probes"), F.sum(1 - F.col("probe")).alias("own"),
         F.min("component").alias("_low"), F.max("component").alias("_high"),
