@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siren.llm.files import read_binary, write_binary
-from siren.llm.rows import id_and_text, slices
+from siren.llm.rows import id_and_text, slices, written
 from siren.llm.word_bpe import chunk_encoder
 from siren.session import new_path
 
@@ -207,20 +207,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            files = [WaveletFile(content.as_py()) for content in batch.column("content")]
-            arrays = [pa.array([f.part for f in files], pa.int64()), pa.array([f.n for f in files], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["part", "n"])
-
-    files = read_binary(spark, path).select("content")
-    per_part = files.mapInArrow(sizes, "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    # Files are opened once; how many tokens each partition wrote follows from its documents.
+    read = written(read_binary(spark, path).select("content").mapInArrow(documents, f"part long, {TOKENS}"), "token-rows")
+    per_part = read.groupBy("part").agg(F.max(F.col("start") + F.col("n_tokens")).alias("n"))
     before, total = [], 0
     for row in per_part.orderBy("part").collect():  # one row for each partition of the writing job
         before.append((row.part, total))
         total += row.n
     before = spark.createDataFrame(before, "part long, _before long")
-    read = files.mapInArrow(documents, f"part long, {TOKENS}")
     return read.join(F.broadcast(before), "part").select(
         "doc_id", (F.col("start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32"
     )
