@@ -45,9 +45,11 @@ SHORT_LIST = 2
 #: Cells of the table of frequencies that travel together.
 CHUNK = 4096
 SALTS = 32
-#: Words of 64 bits of a set's bitmap, and cells of the table of wanted texts (512 KB as bits).
+#: Words of 64 bits of a set's bitmap, and cells of the table of wanted texts (8 MB as bits) and of its parts.
 BITMAP = [f"bits_{k}" for k in range(8)]
-WANTED_BITS = 22
+WANTED_BITS, WANTED_PART_BITS = 26, 16
+#: Entries of one list and size band in one task.
+DEALT_ENTRIES = 4096
 
 PROFILE = "uid long, doc_id long, text_hash long, n long, gid long, set_hash long, " + ", ".join(f"{b} long" for b in BITMAP)
 CANDIDATES = "kind int, list long, a long, b long, position long"
@@ -174,7 +176,7 @@ def _profiles(rows: DataFrame, frequencies, words: int, percent: int) -> DataFra
     return rows.mapInArrow(profile, PROFILE)
 
 
-def _index(rows: DataFrame, frequencies, words: int, percent: int, shards: int) -> DataFrame:
+def _index(rows: DataFrame, frequencies, words: int, percent: int, shards: int, shard_entries: int) -> DataFrame:
     """Packed entries of the index: each group once per task, its prefix dealt over the shards."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,9 +188,12 @@ def _index(rows: DataFrame, frequencies, words: int, percent: int, shards: int)
         def packed() -> pa.RecordBatch:
             every = np.concatenate(held, axis=1)
             shard = (every[0] % np.uint64(shards)).astype(np.int64)
-            every = every[:, np.argsort(shard, kind="stable")]
-            ends = np.cumsum(np.bincount(shard, minlength=shards))
-            out = [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
+            parts = _parts(frequencies.value, every[0] >> np.uint64(32), shard_entries)
+            shard += shards * (mix(every[1] ^ np.uint64(0x2545F4914F6CDD1D)) % parts.astype(np.uint64)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            every, shard = every[:, order], shard[order]
+            heads = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+            out = [(int(shard[a]), a, b) for a, b in zip(heads, [*heads[1:], len(shard)], strict=True)]
             payloads = [pack(every[:, a:b]) for _, a, b in out]
             arrays = [pa.array([k for k, _, _ in out], pa.int64()), pa.array(payloads, pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, ["shard", "payload"])
@@ -217,6 +222,11 @@ def _index(rows: DataFrame, frequencies, words: int, percent: int, shards: int)
     return rows.select("text").mapInArrow(entries, "shard long, payload binary")
 
 
+def _parts(frequencies: np.ndarray, shingle: np.ndarray, shard_entries: int) -> np.ndarray:
+    """Over how many shards a shingle's list is dealt, by how long it can be; shingles are the upper 32 bits."""
+    return frequencies[(shingle >> np.uint64(32 - FREQUENCY_BITS)).astype(np.int64)] // shard_entries + 1
+
+
 def pack(entries: np.ndarray) -> bytes:
     """Rows shingle, gid, n, rare, position; consecutive entries of a group name it once. Of shingles 32 bits stay, which
     can only add candidates."""
@@ -251,13 +261,19 @@ def possible(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, percent
     return (100 + percent) * common >= percent * (n + m)
 
 
-def candidates(entries: np.ndarray, percent: int, shard: int) -> dict[str, np.ndarray]:
-    """Pairs of groups (kind 0) from the lists of a shard, and the entries of its long lists (kind 1)."""
+def candidates(entries: np.ndarray, percent: int, shard: int, dealt: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Pairs of groups (kind 0) from the lists of a shard, and the entries of its long lists (kind 1).
+
+    ``dealt`` marks the entries of lists that have parts in other shards; those are long, whatever stands here.
+    """
     # Shingles of one group only, which most are, have no list.
+    dealt = np.zeros(entries.shape[1], bool) if dealt is None else dealt
     met = np.sort(entries[0])
     met = met[np.flatnonzero(met[1:] == met[:-1])] if len(met) > 1 else met[:0]
+    met = np.unique(np.concatenate([met, entries[0][dealt]]))
     near = np.searchsorted(met, entries[0])
     shared = np.flatnonzero(met[np.minimum(near, len(met) - 1)] == entries[0]) if len(met) else np.zeros(0, np.int64)
+    parted = np.unique(entries[0][dealt])
     shingle, gid, n, rare, position = entries[:, shared]
     order = np.lexsort((position, gid, n, shingle))
     shingle, gid, rare = shingle[order], gid[order], rare[order]
@@ -269,19 +285,20 @@ def candidates(entries: np.ndarray, percent: int, shard: int) -> dict[str, np.nd
     heads = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])) if len(shingle) else np.zeros(0, int)
     sizes = np.diff(np.append(heads, len(shingle)))
     left, right = [], []
+    long = (sizes > SHORT_LIST) | np.isin(shingle[heads], parted)
     for size in range(2, SHORT_LIST + 1):
-        of_size = heads[sizes == size]
+        of_size = heads[(sizes == size) & ~long]
         for a in range(size):
             for b in range(a + 1, size):
                 left.append(of_size + a)
                 right.append(of_size + b)
-    long_heads, long_sizes = heads[sizes > SHORT_LIST], sizes[sizes > SHORT_LIST]
+    long_heads, long_sizes = heads[long], sizes[long]
     row = np.repeat(long_heads - np.concatenate([[0], np.cumsum(long_sizes)[:-1]]), long_sizes) if len(long_heads) else 0
     entry = (np.arange(long_sizes.sum()) + row).astype(np.int64)
     if len(entry):
         left += [entry[:-1], entry, entry]
         right.append(np.where(shingle[entry[:-1]] == shingle[entry[1:]], entry[1:], entry[:-1]))
-        right += [np.repeat(long_heads, long_sizes), np.repeat(long_heads + 1, long_sizes)]
+        right += [np.repeat(long_heads, long_sizes), np.repeat(long_heads + (long_sizes > 1), long_sizes)]
     left, right = np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
     use = (gid[left] != gid[right]) & possible(n[left], n[right], position[left], position[right], percent)
     pairs = np.stack([gid[left[use]], gid[right[use]]])
@@ -297,8 +314,8 @@ def candidates(entries: np.ndarray, percent: int, shard: int) -> dict[str, np.nd
     }
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, many: bool) -> DataFrame:
-    """The pairs (a, b) of class ids whose whole sets are similar enough; ``many`` pairs and texts are never broadcast."""
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of class ids whose whole sets are similar enough; texts are never broadcast."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -323,9 +340,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, many
 
     left = texts.select(F.col("uid").alias("a"), F.col("blob").alias("blob_a"))
     right = texts.select(F.col("uid").alias("b"), F.col("blob").alias("blob_b"))
-    both = pairs.select("a", "b").join(left.hint("merge") if many else left, "a").join(
-        right.hint("merge") if many else right, "b"
-    )
+    both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     return both.select("a", "b", "blob_a", "blob_b").mapInArrow(verify, "a long, b long")
 
 
@@ -347,42 +362,104 @@ def _side(rows: DataFrame, number: int, *plain: str) -> DataFrame:
 
 
 def _wanted(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """Rows that may be among the needed ones, by a table of bits of fixed size; those that are not are left out later."""
-    size = 1 << WANTED_BITS
+    """Rows that may be among the needed ones, by a table of bits of fixed size; joins leave out those that are not."""
+    size, part = 1 << WANTED_BITS, 1 << WANTED_PART_BITS
     cell = F.pmod(F.xxhash64("uid"), F.lit(size)).cast("int").alias("cell")
-    cells = needed.select(cell).distinct().toPandas()["cell"].to_numpy()  # at most 2^WANTED_BITS
-    bits = np.zeros(size, bool)
-    bits[cells] = True
-    table = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bits of the parts that have any, a part at a time; cells come in order."""
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            for k in np.unique(cells // part).tolist():
+                bits = held.setdefault(k, np.zeros(part, bool))
+                bits[cells[cells // part == k] % part] = True
+        parts = [pa.array(list(held), pa.int32()), pa.array([np.packbits(b).tobytes() for b in held.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(parts, ["part", "bits"])
+
+    dealt = needed.select(cell).repartition(F.floor(F.col("cell") / part))
+    table = np.zeros(size // 8, np.uint8)
+    for row in dealt.mapInArrow(mark, "part int, bits binary").toLocalIterator():  # the whole table once
+        table[row.part * part // 8 : (row.part + 1) * part // 8] = np.frombuffer(bytes(row.bits), np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(zstandard.compress(table.tobytes(), 1))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(table.value).astype(bool)
+        release()
+        wanted = np.frombuffer(zstandard.decompress(sent.value), np.uint8)
         compressor = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            found = batch.filter(pa.array(wanted[batch.column("cell").to_numpy()]))
+            cells = batch.column("cell").to_numpy()
+            found = batch.filter(pa.array((wanted[cells >> 3] >> (7 - (cells & 7)) & 1).astype(bool)))
             blobs = [compressor.compress(t or b"") for t in found.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([found.column("uid"), pa.array(blobs, pa.binary())], ["uid", "blob"])
 
     return rows.select("uid", "text", cell).mapInArrow(keep, "uid long, blob binary")
 
 
+def _links(rows: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """The pairs that are linked; of the texts, only theirs are read again and moved."""
+    needed = pairs.select(F.col("a").alias("uid")).unionAll(pairs.select(F.col("b").alias("uid"))).distinct()
+    texts = written(_wanted(rows, needed), f"texts-{name}")
+    return written(_verified(pairs, texts, words, percent), f"links-{name}")
+
+
+def _could(percent: int) -> Column:
+    """Whether sets of ``n_1`` and ``n_2`` can be linked if their first common shingle is at these positions or later."""
+    common = F.least(F.col("n_1") - F.col("position_1"), F.col("n_2") - F.col("position_2"))
+    return (100 + percent) * common >= percent * (F.col("n_1") + F.col("n_2"))
+
+
+def _band(percent: int) -> Column:
+    """Sizes that can be linked are in one band or in bands next to each other."""
+    return F.floor(F.log(F.col("n")) / F.log(F.lit(100.1 / percent))).cast("long")
+
+
+def live_entries(lists: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(list, uid, n, position, component) of the entries of cells that may hold a link between components."""
+    marked = lists.join(labels, F.col("uid") == F.col("node"), "left").select(
+        "list", "uid", "n", "position", F.coalesce("component", "uid").alias("component")
+    )
+    marked = written(marked, "marked-lists")
+    ends = [F.min("component").alias("low"), F.max("component").alias("high")]
+    cells = marked.groupBy("list", "n", "position").agg(*ends)
+    open_lists = marked.groupBy("list").agg(*ends).where("low < high").select("list")
+    cells = cells.join(open_lists, "list", "left_semi").withColumn("band", _band(percent))
+    # Of one size, what stands first can be linked with most.
+    sizes = cells.groupBy("list", "n", "band").agg(
+        F.min("position").alias("position_2"), F.min("low").alias("low_2"), F.max("high").alias("high_2")
+    )
+    sizes = sizes.select("list", F.explode(F.expr("sequence(band - 1, band + 1)")).alias("band"),
+                         F.col("n").alias("n_2"), "position_2", "low_2", "high_2")
+    one = cells.withColumns({"n_1": F.col("n"), "position_1": F.col("position")})
+    apart = F.least("low", "low_2") != F.greatest("high", "high_2")
+    on = (one["list"] == sizes["list"]) & (one["band"] == sizes["band"]) & _could(percent) & apart
+    live = one.join(sizes, on, "left_semi").select("list", "n", "position")
+    return written(marked.join(live, ["list", "n", "position"], "left_semi"), "live-entries")
+
+
 def _cross_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list that are not in one component yet and could be linked."""
-    marked = lists.join(labels, F.col("uid") == F.col("node"), "left").select(
-        *lists.columns, F.coalesce("component", "uid").alias("component")
+    entries = live_entries(lists, labels, percent).withColumn("band", _band(percent))
+    salts = entries.groupBy("list", "band").agg(F.ceil(F.count(F.lit(1)) / DEALT_ENTRIES).alias("salts"))
+    entries = entries.join(salts, ["list", "band"]).join(classes.select("uid", *BITMAP), "uid")
+    entries = written(entries, "open-entries")
+    kept = ["list", "uid", "n", "position", "component", *BITMAP]
+    one = _side(entries.select(*kept, "band", F.pmod(F.xxhash64("uid"), "salts").alias("salt")), 1, "list", "band", "salt")
+    # Entries of the band above meet those of this band, where salts are dealt by this band's size.
+    above = entries.withColumn("band", F.col("band") - 1).drop("salts").join(salts, ["list", "band"])
+    other = entries.withColumn("_above", F.lit(False)).unionByName(above.withColumn("_above", F.lit(True)))
+    two = other.select(*kept, "band", "_above", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    two = _side(two, 2, "list", "band", "salt", "_above")
+    order = F.col("_above") | (F.col("uid_1") < F.col("uid_2"))
+    pairs = one.join(two, ["list", "band", "salt"]).where(
+        order & (F.col("component_1") != F.col("component_2")) & _could(percent) & _near(percent)
     )
-    open_lists = marked.groupBy("list").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-    open_lists = open_lists.where("_low < _high").select("list")
-    entries = written(marked.join(open_lists, "list", "left_semi"), "open-lists")
-    entries = written(entries.join(classes.select("uid", "n", *BITMAP), "uid"), "open-entries")
-    one, two = _side(entries, 1, "list"), _side(entries, 2, "list")
-    common = F.least(F.col("n_1") - F.col("position_1"), F.col("n_2") - F.col("position_2"))
-    could = (100 + percent) * common >= percent * (F.col("n_1") + F.col("n_2"))
-    pairs = one.join(two, "list").where((F.col("component_1") < F.col("component_2")) & could & _near(percent))
     return pairs.select(*_ordered(F.col("uid_1"), F.col("uid_2"))).distinct()
 
 
-def similarity_classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+def similarity_classes(
+    docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, shard_entries: int = SHARD_ENTRIES
+) -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, text_hash (xxhash64 of the text), n_shingles, component_id, component.
 
     ``component_id`` is the smallest ``doc_id`` that links lead to (NULL ids count for nothing), ``component`` the uid
@@ -392,7 +469,7 @@ def similarity_classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     spark: SparkSession = docs.sparkSession
     rows = id_and_text(docs).withColumns({"uid": F.monotonically_increasing_id(), "text_hash": F.xxhash64("text")})
     cells = _frequencies(rows, words)
-    shards = int(cells.sum()) * (100 - percent) // 100 // SHARD_ENTRIES + 1
+    shards = int(cells.sum()) * (100 - percent) // 100 // shard_entries + 1
     frequencies = spark.sparkContext.broadcast(cells)
     profiles = written(_profiles(rows, frequencies, words, percent), "profiles")
     classes = profiles.where("n > 0").groupBy("gid", "set_hash", "n").agg(
@@ -405,9 +482,10 @@ def similarity_classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
         every = [unpack(payload.as_py()) for payload in table.column("payload")]
         entries = np.concatenate(every, axis=1)
         del every
-        return pa.table(candidates(entries, percent, key[0].as_py()))
+        shard = key[0].as_py() % shards
+        return pa.table(candidates(entries, percent, shard, _parts(frequencies.value, entries[0], shard_entries) > 1))
 
-    index = _index(rows, frequencies, words, percent, shards)
+    index = _index(rows, frequencies, words, percent, shards, shard_entries)
     found = written(index.groupBy("shard").applyInArrow(of_shard, CANDIDATES), "candidates")
     member = classes.select("gid", "uid", "n", *BITMAP)
     group_pairs = found.where("kind = 0").select(F.col("a").alias("gid_1"), F.col("b").alias("gid_2")).distinct()
@@ -422,22 +500,17 @@ def similarity_classes(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     pairs = pairs.unionAll(crowded.select(*_ordered(F.col("uid"), F.col("_before"))))
     pairs = pairs.unionAll(crowded.select(*_ordered(F.col("uid"), F.col("_first"))))
     pairs = written(pairs.distinct(), "pairs")
-    member = member.select("gid", "uid")
+    member = member.select("gid", "uid", "n")
     lists = found.where("kind = 1").select("list", F.col("a").alias("gid"), "position").join(member, "gid")
     inner = member.join(crowded.select("gid").distinct(), "gid", "left_semi")
     inner = inner.withColumns({"list": F.col("gid"), "position": F.lit(0).cast("long")})
-    lists = written(lists.select("list", "uid", "position").unionAll(inner.select("list", "uid", "position")), "lists")
-    needed = pairs.select(F.col("a").alias("uid")).unionAll(pairs.select(F.col("b").alias("uid")))
-    needed = needed.unionAll(lists.select("uid")).distinct()
-    needed = written(needed, "needed")
-    texts = written(_wanted(rows, needed).join(needed, "uid", "left_semi"), "texts")
-
-    links = written(_verified(pairs, texts, words, percent, many=True), "links")
-    labels = components(links)
+    entry = ["list", "uid", "n", "position"]
+    lists = lists.select(*entry).unionAll(inner.select(*entry))
+
+    labels = components(_links(rows, pairs, words, percent, "sparse"))
     more = written(_cross_pairs(lists, labels, classes, percent), "more-pairs")
-    more_links = _verified(more, texts, words, percent, many=False)
     stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    labels = components(written(stars.unionAll(more_links), "all-links"))
+    labels = components(stars.unionAll(_links(rows, more, words, percent, "crossed")))
 
     # Documents of a class, then classes of a component; both may hold a third of all rows.
     shared = classes.where("rows > 1").select("gid", "set_hash", "n", F.col("uid").alias("_class"))

@@ -88,10 +88,9 @@ def corpus(seed):
 
 @pytest.mark.parametrize(("seed", "shard"), [(1, 2_000_000), (2, 400)])
 def test_similarity_classes(spark, monkeypatch, seed, shard):
-    monkeypatch.setattr(jaccard_join, "SHARD_ENTRIES", shard)
     monkeypatch.setattr(jaccard_join, "HELD_ENTRIES", shard)
     docs = corpus(seed)
-    rows = similarity_classes(table(spark, docs)).collect()
+    rows = similarity_classes(table(spark, docs), shard_entries=shard).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str) == brute_force(docs)
 
 
@@ -168,3 +167,30 @@ def test_prefix_filter_keeps_every_link():
             lengths = [len(x) - int(jaccard_join.needed_overlap(np.array(len(x)), 75)) + 1 for x in (a, b)]
             shared = [x for x in a[: lengths[0]] if x in b[: lengths[1]]]
             assert any(jaccard_join.possible(len(a), len(b), a.index(x), b.index(x), 75) for x in shared)
+
+
+@pytest.mark.parametrize("shard_entries", [1, 7, 100])
+def test_lists_over_many_shards(spark, shard_entries):
+    """Lists of shingles that are dealt over shards find the same components."""
+    draw = random.Random(shard_entries)
+    parts = [" ".join(f"p{k}w{j}" for j in range(30)) for k in range(6)]
+    docs = [(k, " ".join(draw.sample(parts, 4)) + f" end {k % 9}") for k in range(120)]
+    docs += [(200 + k, parts[0] + " " + parts[1] + f" own{k} more{k}") for k in range(40)]
+    found = similarity_classes(table(spark, docs), shard_entries=shard_entries).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, found.collect()), key=str) == brute_force(docs)
+
+
+def test_texts_around_a_common_core_are_not_compared(spark, monkeypatch):
+    """20,000 unlinked texts that share shingles: every list is one cell, which is ruled out against itself."""
+    live = []
+
+    def counted(*args, find=jaccard_join.live_entries):
+        live.append(find(*args))
+        return live[-1]
+
+    monkeypatch.setattr(jaccard_join, "live_entries", counted)
+    docs = [(k, f"one two three four five six seven x{k}") for k in range(20_000)]
+    docs += [(30_000 + k, " ".join(f"c{j}" for j in range(40)) + f" y{k}") for k in range(300)]
+    found = similarity_classes(table(spark, docs)).select("doc_id", "component_id").collect()
+    assert all(r.component_id == min(r.doc_id, 30_000) for r in found)
+    assert live[0].count() == 0
