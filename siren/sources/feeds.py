@@ -18,6 +18,7 @@ from siren.functions.text import (
     author_handle, author_name, iso_date, parse_pub_date, report_id, squeeze, strip_tags, text_or_empty,
 )
 from siren.operators.collect import cap_per_query
+from siren.sources.quoted import CDATA, read_records
 from siren.schemas import ALERT_ITEM, FEED_ITEM, RAW_COLUMNS, SITUATION_REPORTS, SOCIAL_POST
 
 # Fixed values of the feeds.
@@ -31,14 +32,27 @@ SITUATION_USER = "ReliefWeb"
 SITUATION_BIO = "UN ReliefWeb disaster report"
 SITUATION_QUERY = "reliefweb_api"
 
+#: Folders that feed files of a query are landed in.
+PARTITIONS = ("query_used", "mirror_rank")
+
 
 def read_items(spark: SparkSession, path: str, schema: T.StructType, item_lines: bool = False) -> DataFrame:
-    """The ``<item>`` elements of XML feed files.
+    """The ``<item>`` elements of XML feed files, with the partition columns among ``schema``.
 
-    A feed document is read by one task, as a whole. Feeds landed in bulk as one self-contained item per line
-    (``item_lines``) are split between tasks like any text.
+    Files are cut at the ends of items, so a large document is read by many tasks, and an end that stands inside CDATA is
+    none. Feeds landed in bulk as one self-contained item per line (``item_lines``) are read by lines.
     """
-    return spark.read.format("xml").options(rowTag="item", multiLine=not item_lines).schema(schema).load(path)
+    if item_lines:
+        return spark.read.format("xml").options(rowTag="item", multiLine=False).schema(schema).load(path)
+    folder = [f for f in schema.fields if f.name in PARTITIONS]
+    element = T.StructType([f for f in schema.fields if f.name not in PARTITIONS])
+    parts = read_records(
+        spark, path, header=False, separator="</item>", marks=CDATA, partitions=T.StructType(folder)
+    )
+    item = F.regexp_extract("text", r"(?s)<item(?=[\s>]).*", 0)
+    items = parts.withColumn("_item", item).where("_item != ''")
+    row = F.from_xml(F.concat("_item", F.lit("</item>")), element)
+    return items.select(row.alias("_row"), *[f.name for f in folder]).select("_row.*", *[f.name for f in folder])
 
 
 def read_rss_reports(
@@ -111,7 +125,8 @@ def read_situation_reports(
 ) -> DataFrame:
     """Situation reports, one JSON document per line or file: all of them, or the newest ``limit``.
 
-    Texts are whole unless ``max_body_chars`` cuts the body or ``max_chars`` what is made of title and body. that carries a type must have one of ``types``; records without were filtered by the request.
+    Texts are whole unless ``max_body_chars`` cuts the body or ``max_chars`` what is made of title and body. A record that
+    carries a type must have one of ``types``; records without were filtered by the request.
     """
     documents = spark.read.schema(SITUATION_REPORTS).option("multiLine", False).json(path)
     fields = documents.select(F.inline("data")).select("fields.*")

@@ -33,7 +33,8 @@ def read_csv(
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     # Line breaks inside quotes stay as they are.
     row = F.from_csv("text", ddl, {"escape": '"', "multiLine": "true", "lineSep": "\x00"})
-    return read_records(spark, path).select(row.alias("_row")).select("_row.*")
+    records = read_records(spark, path).select(F.regexp_replace("text", "\r$", "").alias("text"))
+    return records.select(row.alias("_row")).select("_row.*")
 
 
 def write_csv(df: DataFrame, path: str, escaped: bool = False) -> None:

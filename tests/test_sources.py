@@ -94,6 +94,30 @@ def test_social_posts(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("size", [48, 200, 4096])
+def test_feed_document_split_anywhere(spark, tmp_path, size):
+    """A document is cut at ends of items, not at ends inside CDATA, whatever the splits are."""
+    items = [
+        item(title=f"<![CDATA[report {k} </item> & <item> {'x' * (k % 50)}]]>", description=f"number &lt;{k}&gt; of the day", link=f"l{k}", creator="a")
+        if k % 3 == 0 else item(description=f"number {k} of the\nday", link=f"l{k}", pubDate="Sat, 18 Apr 2026 10:47:54 GMT")
+        for k in range(60)
+    ]
+    land(tmp_path / "query_used=q 1" / "mirror_rank=2", "a.xml", ROOT % "\n".join(items))
+    land(tmp_path / "query_used=q 2" / "mirror_rank=0", "b.xml", ROOT % items[0])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = feeds.read_items(spark, str(tmp_path), feeds._with_partitions(feeds.FEED_ITEM))
+        assert found.rdd.getNumPartitions() > 2
+        rows = sorted((r.query_used, r.mirror_rank, int(r.link[1:]), r.title, r.description) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    title = lambda k: f"report {k} </item> & <item> {'x' * (k % 50)}".strip()
+    wanted = [("q 1", 2, k, title(k), f"number <{k}> of the day") if k % 3 == 0 else ("q 1", 2, k, None, f"number {k} of the\nday") for k in range(60)]
+    assert rows == [*wanted, ("q 2", 0, 0, title(0), "number <0> of the day")]
+
+
 AWKWARD = ['say "help", now', "line one\nline two", " padded ", "back\\slash", "", 'ends with "', '"\n"', '"",""\r\n,x', "100%25 %0A", "\n\n"]
 
 
