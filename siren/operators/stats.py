@@ -11,6 +11,9 @@ from siren import lexicons as L
 from siren.functions.scoring import is_critical
 from siren.operators.search import top_high_urgency
 
+#: Accuracy of the sketches that selection goes by: a rank is met to within this share of the values.
+SKETCH = 10_000
+
 DISTRIBUTIONS = ("category", "location_source", "priority")
 
 
@@ -82,24 +85,75 @@ def distributions(df: DataFrame, columns: Sequence[str] = DISTRIBUTIONS) -> Data
     )
 
 
+def order_statistics(values: DataFrame, column: str, ranks: Sequence[int], n: int) -> dict[int, float]:
+    """The values at the given ranks (from 0) of the ``n`` values of a column, exactly, by selection.
+
+    Sketches of the values that are left give two of them close around each rank; counting what lies below these two leaves
+    a few thousandths of the values between them, so the rounds are few whatever the values are, and nothing is sorted or
+    collected. NaN is the largest value.
+    """
+    value = F.col(column)
+    found: dict[int, float] = {}
+    # Rank: the open interval it lies in, the values below that, and those within.
+    left: dict[int, tuple[float | None, float | None, int, int]] = {rank: (None, None, 0, n) for rank in ranks}
+    while left:
+
+        def within(rank: int) -> Column:
+            low, high, _, _ = left[rank]
+            above = F.lit(True) if low is None else value > F.lit(low)
+            return above if high is None else above & (value < F.lit(high))
+
+        def share(rank: int, by: float) -> float:
+            _, _, below, m = left[rank]
+            return min(1.0, max(0.0, (rank - below + 0.5 + by) / m))
+
+        around = {rank: left[rank][3] / SKETCH + 1 for rank in left}
+        sketched = values.agg(*[
+            F.percentile_approx(F.when(within(rank), value), [share(rank, -around[rank]), share(rank, around[rank])], SKETCH)
+            for rank in left
+        ]).first()
+        bounds = dict(zip(left, sketched, strict=True))
+        counted = values.agg(*[
+            F.struct(*[F.count_if(within(rank) & test) for bound in bounds[rank] for test in (value < F.lit(bound), value <= F.lit(bound))])
+            for rank in left
+        ]).first()
+        for rank, counts in zip(list(left), counted, strict=True):
+            low, high, below, m = left.pop(rank)
+            (a, b), (before_a, upto_a, before_b, upto_b), at = bounds[rank], counts, rank - below
+            if before_a <= at < upto_a:
+                found[rank] = a
+            elif before_b <= at < upto_b:
+                found[rank] = b
+            elif at < before_a:
+                left[rank] = (low, a, below, before_a)
+            elif at < before_b:
+                left[rank] = (a, b, below + upto_a, before_b - upto_a)
+            else:
+                left[rank] = (b, high, below + upto_b, m - upto_b)
+    return found
+
+
 def describe_urgency(df: DataFrame, column: str = "urgency_score") -> DataFrame:
-    """count, mean, std, min, interpolated quartiles, max of the column's values as they are.
+    """count, mean, std, min, interpolated quartiles, max of any column's values, however many different ones it has.
 
-    Moments are merged by the tasks. Exact quartiles are taken over (value, count) pairs; scores have two decimals
-    between 0 and 100, so there are at most 10,001 of those.
+    Moments are merged by the tasks; quartiles lie between two order statistics, which are selected exactly.
     """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("score"))
-    counts = values.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    quartiles = counts.agg(F.percentile("score", [0.25, 0.5, 0.75], F.col("n")).alias("q")).scalar()
     moments = values.agg(
         F.count(F.lit(1)).alias("count"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"),
         F.min("score").alias("min"), F.max("score").alias("max"),
-    )
-    return moments.withColumn("_quartiles", quartiles).select(
-        "count", "mean", "std", "min",
-        F.get("_quartiles", 0).alias("p25"), F.get("_quartiles", 1).alias("p50"), F.get("_quartiles", 2).alias("p75"),
-        "max",
-    )
+    ).first()
+    places = [(moments["count"] - 1) * q for q in (0.25, 0.5, 0.75)] if moments["count"] else []
+    ranks = sorted({rank for place in places for rank in (int(place), min(int(place) + 1, moments["count"] - 1))})
+    at = order_statistics(values, "score", ranks, moments["count"])
+    quartiles = []
+    for place in places:
+        low, high = at[int(place)], at[min(int(place) + 1, moments["count"] - 1)]
+        quartiles.append(low if low == high else (int(place) + 1 - place) * low + (place - int(place)) * high)
+    quartiles = quartiles or [None] * 3
+    row = (moments["count"], moments["mean"], moments["std"], moments["min"], *quartiles, moments["max"])
+    schema = "count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+    return df.sparkSession.createDataFrame([row], schema)
 
 
 def urgency_histogram(df: DataFrame, bins: int = 20, column: str = "urgency_score") -> DataFrame:

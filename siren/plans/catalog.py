@@ -14,6 +14,7 @@ from siren.functions import text as T
 from siren.operators import batch, collect, gazetteer, learn, remembered, search, stats
 from siren.operators import enrich as E
 from siren.operators.lookup import spread
+from siren.operators.skipping import TrigramIndex
 from siren.plans import relations as R
 from siren.schemas import ensure_columns, validate_reports
 from siren.session import new_path
@@ -680,6 +681,17 @@ QUERIES["filter_not_geocoded"] = over_enriched(search.filter_not_geocoded, "loca
 QUERIES["sort_by"] = over_enriched(lambda df: search.sort_by(df, "priority_rank", ascending=True))
 QUERIES["top_urgent"] = over_enriched(lambda df: search.top_urgent(df, 100))
 QUERIES["top_high_urgency"] = over_enriched(lambda df: search.top_high_urgency(df, 5))
+@query
+def search_by_trigrams(spark, sf_dir):
+    """Documents that match a pattern, from those files only whose trigrams allow for it."""
+    table, index = new_path(spark, "texts"), new_path(spark, "trigrams")
+    documents = R.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    documents.repartitionByRange(16, "doc_id").write.parquet(table)
+    trigrams = TrigramIndex(spark, table, index)
+    trigrams.refresh()
+    return trigrams.search(r"licen[cs]e[sd]? UNDER|@mail[0-9]+\.example").select("doc_id", F.length("content").alias("n_chars"))
+
+
 QUERIES["search_reports"] = over_enriched(
     lambda df: search.search_reports(
         df, content="rescue|help", location="o", min_urgency=20, categories=["Help Request"],

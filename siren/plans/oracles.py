@@ -621,6 +621,9 @@ found("filter_urgency_range", "urgency_score BETWEEN 5 AND 48")
 found("filter_category", "category = 'Damage Report'")
 found("filter_category_in", "category IN ('Help Request', 'Damage Report')")
 found("filter_source_in", "location_source IN ('bio', 'hashtag')")
+ORACLES["search_by_trigrams"] = r"""
+SELECT doc_id, CAST(length(text) AS INT) AS n_chars FROM documents
+WHERE regexp_matches(lower(text), 'licen[cs]e[sd]? under|@mail[0-9]+\.example')"""
 found("filter_content_contains", "lower(content) LIKE '%rescue%' OR lower(content) LIKE '%café%'")
 found("filter_location_contains", "location ILIKE '%ho_st%' OR location ILIKE '%river%'")
 found("filter_has_coords", "lat IS NOT NULL AND lon IS NOT NULL")

@@ -106,3 +106,30 @@ def test_run_summary(stored):
     rows = stats.run_summary(stored).collect()
     assert sum(int(r.value) for r in rows if r.section == "category") == stored.count()
     assert sum(r.section == "top" for r in rows) == 5
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 1000])
+def test_quartiles_of_any_values(spark, rows):
+    """Exact whatever the values are: all different, of any size, or a third of them the same."""
+    import numpy as np
+
+    draw = np.random.default_rng(rows)
+    kinds = [draw.lognormal(0, 40, rows), draw.normal(0, 1, rows).round(1), np.where(draw.random(rows) < 0.4, 7.0, draw.random(rows) * 14)]
+    for values in kinds:
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "urgency_score double")
+        row = stats.describe_urgency(df).first()
+        assert [row.p25, row.p50, row.p75] == pytest.approx(np.percentile(values, [25, 50, 75]).tolist(), rel=1e-12)
+        assert (row["count"], row.min, row.max) == (rows, values.min(), values.max())
+
+
+def test_selection_narrows_down(spark, monkeypatch):
+    """With rough sketches it takes more rounds and finds the same."""
+    monkeypatch.setattr(stats, "SKETCH", 20)
+    df = spark.range(5000).selectExpr("CAST(pmod(xxhash64(id), 100003) AS DOUBLE) AS v")
+    values = sorted(r.v for r in df.collect())
+    assert stats.order_statistics(df, "v", [0, 17, 2500, 4999], 5000) == {k: values[k] for k in (0, 17, 2500, 4999)}
+
+
+def test_statistics_of_nothing(spark):
+    row = stats.describe_urgency(spark.createDataFrame([(None,)], "urgency_score double")).first()
+    assert (row["count"], row.mean, row.p50, row.max) == (0, None, None, None)
