@@ -296,15 +296,17 @@ def attach_coordinates(
     entries = (gazetteer.entries if ready else distinct_places(gazetteer)).select(
         F.col("place").alias("_place"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")
     )
+    fit = gazetteer.entries_fit if ready else None
+    if fit is None:
+        fit = fits(entries if ready else gazetteer, max_broadcast_rows)
     spread = row_hash(df) if spread_by is None else F.col(spread_by)
     name = F.when(F.col("_pair").isNull(), lookup_name(location))
-    rows = df.withColumn("_pair", parse_coordinates(location)).withColumn(
-        "_place", F.coalesce(name, F.concat(F.lit("\x00"), spread.cast("string")))
-    )
+    # Rows that stay where they are need no key of their own.
+    key = name if fit else F.coalesce(name, F.concat(F.lit("\x00"), spread.cast("string")))
+    rows = df.withColumn("_pair", parse_coordinates(location)).withColumn("_place", key)
     joined = lookup_join(
-        rows, entries, "_place", spread, max_broadcast_rows=max_broadcast_rows, salts=salts,
-        bounded_by=None if ready else gazetteer, known_to_fit=ready and gazetteer.entries_fit,
-    )
+        rows, entries, "_place", spread, max_broadcast_rows=max_broadcast_rows, salts=salts, known_to_fit=fit
+    )
     return joined.withColumns({
         "lat": F.coalesce("_pair.lat", "_lat"),
         "lon": F.coalesce("_pair.lon", "_lon"),

@@ -81,10 +81,12 @@ def lookup_join(
     ``salts`` salt values and joined on key and salt, so that a key holding a third of the rows is spread over as
     many tasks. The salt is a hash of ``spread_by``, not a random number: a task that is run again must send each
     row to the same place. ``bounded_by`` is a table the lookup has no more rows than, and is cheaper to count;
-    ``known_to_fit`` tells that its size was checked before.
+    ``known_to_fit`` tells what a check before has found.
     """
     columns = rows.columns + [name for name in lookup.columns if name != on]
-    if known_to_fit or fits(lookup if bounded_by is None else bounded_by, max_broadcast_rows):
+    if known_to_fit is None:
+        known_to_fit = fits(lookup if bounded_by is None else bounded_by, max_broadcast_rows)
+    if known_to_fit:
         return rows.join(F.broadcast(lookup), on, how).select(*columns)
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
