@@ -13,7 +13,7 @@ from siren.functions import places, scoring
 from siren.functions import text as T
 from siren.operators import batch, collect, gazetteer, learn, remembered, search, stats
 from siren.operators import enrich as E
-from siren.operators.lookup import spread
+from siren.operators.lookup import spread, written
 from siren.operators.skipping import TrigramIndex
 from siren.plans import relations as R
 from siren.schemas import ensure_columns, validate_reports
@@ -799,8 +799,10 @@ def save_load_model(spark, sf_dir):
     model = learn.train_classifier(labelled, reg_params=(0.1,), features=1 << 12, max_iter=5)
     path = new_path(spark, "model")
     learn.save_model(model, path)
-    before = model.transform(labelled).select("doc_id", F.col("prediction").alias("before"))
+    # Predictions are written while their model is at hand.
+    before = written(model.transform(labelled).select("doc_id", F.col("prediction").alias("before")), "before")
     after = learn.load_model(path).transform(labelled).select("doc_id", F.col("prediction").alias("after"))
+    after = written(after, "after")
     same = (F.col("before") == F.col("after")).alias("same")
     return before.join(after, "doc_id").groupBy(same).agg(F.count(F.lit(1)).alias("n"))
 
