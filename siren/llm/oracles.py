@@ -10,17 +10,21 @@ _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFG
         + strpos('0123456789abcdef', substr(h, (5 * i) // 4 + 2, 1)) - 1) >> (3 - (5 * i) % 4)) & 31) + 1)::INT, 1)), '')"""
 
 
-def _rendered(turns: str, condition: str) -> str:
-    text = "'<|im_start|>' || role || chr(10) || replace(text, '<|im_', '< |im_') || '<|im_end|>' || chr(10)"
-    return f"(SELECT coalesce(string_agg({text}, '' ORDER BY turn), '') FROM {turns} s WHERE s.conv_id = p.conv_id AND {condition})"
+def _rendered(turns: str) -> str:
+    text = "'<|im_start|>' || t.role || chr(10) || replace(t.text, '<|im_', '< |im_') || '<|im_end|>' || chr(10)"
+    return f"coalesce(list_aggregate(list_transform({turns}, lambda t: {text}), 'string_agg', ''), '')"
 
 
-def _mask(turns: str, condition: str) -> str:
+def _mask(turns: str) -> str:
     runs = (
-        "'-' || (13 + length(role)) || ' ' || CASE WHEN role = 'assistant' THEN '+' ELSE '-' END || "
-        "(length(replace(text, '<|im_', '< |im_')) + 10) || ' -1'"
+        "'-' || (13 + length(t.role)) || ' ' || CASE WHEN t.role = 'assistant' THEN '+' ELSE '-' END || "
+        "(length(replace(t.text, '<|im_', '< |im_')) + 10) || ' -1'"
     )
-    return f"(SELECT coalesce(string_agg({runs}, ' ' ORDER BY turn), '') FROM {turns} s WHERE s.conv_id = p.conv_id AND {condition})"
+    return f"coalesce(list_aggregate(list_transform({turns}, lambda t: {runs}), 'string_agg', ' '), '')"
+
+
+def _digits(md5: str, first: int) -> str:
+    return f"('0x' || substr({md5}, {first}, 8))::BIGINT"
 
 
 def _crc32(text: str) -> str:
@@ -55,20 +59,24 @@ def _merkle_fold(name: str, start: str, tree: str) -> str:
 
 ORACLES: dict[str, str] = {
     "op2_preference_format": f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') role, coalesce(text, '') text FROM conversations),
-l AS (SELECT conv_id, max(turn) lt FROM t WHERE role = 'assistant' GROUP BY conv_id),
-a AS (SELECT t.conv_id, t.text FROM t JOIN l ON t.conv_id = l.conv_id AND t.turn = l.lt),
-c AS (SELECT t.* FROM t JOIN l ON t.conv_id = l.conv_id AND t.turn <= l.lt),
-r AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN c.turn = l.lt THEN a.text ELSE c.text END text
-    FROM c JOIN l ON c.conv_id = l.conv_id JOIN a ON a.conv_id = xor(c.conv_id, 1)),
-p AS (SELECT l.conv_id, l.lt, x.text = y.text AS same,
-        (SELECT count(*) FROM c WHERE c.conv_id = l.conv_id) n
-    FROM l JOIN a x ON x.conv_id = l.conv_id JOIN a y ON y.conv_id = xor(l.conv_id, 1))
-SELECT conv_id, (n - CASE WHEN same THEN 0 ELSE 1 END)::INT prompt_turns,
-    {_rendered('c', '(same OR s.turn < lt)')} prompt,
-    {_rendered('c', 'NOT same AND s.turn = lt')} chosen, {_mask('c', 'NOT same AND s.turn = lt')} chosen_mask,
-    {_rendered('r', 'NOT same AND s.turn = lt')} rejected, {_mask('r', 'NOT same AND s.turn = lt')} rejected_mask
-FROM p""",
+WITH t AS (SELECT conv_id::BIGINT conv_id, md5(conv_id::BIGINT::VARCHAR) h,
+        list({{'role': coalesce(role, 'user'), 'text': coalesce(text, '')}}
+            ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) c
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT *, list_filter(range(1, len(c) + 1), lambda k: c[k].role = 'assistant') a FROM t),
+q AS (SELECT conv_id, h, c[: a[1 + {_digits('h', 9)} % len(a)] - 1] head, c[a[1 + {_digits('h', 17)} % len(a)] :] tail,
+        {_digits('h', 1)} % (SELECT greatest(count(*) // 256, 1) FROM p WHERE len(a) > 0) circle
+    FROM p WHERE len(a) > 0),
+b AS (SELECT conv_id, count(*) OVER (PARTITION BY circle) n, list_concat(head, coalesce(
+        lead(tail) OVER (PARTITION BY circle ORDER BY h, conv_id),
+        first_value(tail) OVER (PARTITION BY circle ORDER BY h, conv_id))) r
+    FROM q),
+s AS (SELECT t.conv_id, c, CASE WHEN n > 1 THEN r ELSE c END r FROM t LEFT JOIN b ON b.conv_id = t.conv_id),
+k AS (SELECT *, coalesce(list_position(list_transform(range(1, greatest(len(c), len(r)) + 1),
+        lambda k: c[k] IS NOT DISTINCT FROM r[k]), false) - 1, len(c)) k FROM s)
+SELECT conv_id, k::INT prompt_turns, {_rendered('c[: k]')} prompt,
+    {_rendered('c[k + 1 :]')} chosen, {_mask('c[k + 1 :]')} chosen_mask,
+    {_rendered('r[k + 1 :]')} rejected, {_mask('r[k + 1 :]')} rejected_mask FROM k""",
     "op5_block_naming": f"""
 WITH d AS (SELECT doc_id, {_LOWER} t FROM documents),
 g AS (SELECT t, max(doc_id) keep_id, count(*) group_size FROM d GROUP BY t)

@@ -7,9 +7,11 @@ whether they are trained on (the text and end mark of assistant turns) or not (h
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siren.llm.rows import written
+
 BEGIN, END, BREAK = "<|im_start|>", "<|im_end|>", "\n"
 #: What a text may not begin a mark with, and what stands for it.
 MARK, PLAIN = "<|im_", "< |im_"
@@ -80,25 +82,59 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     )
 
 
-def swapped_answers(turns: DataFrame) -> DataFrame:
-    """Pairs from plain conversations: chosen is a conversation up to its last answer, and rejected is the same with
-    the last answer of its neighbour (the conversation whose id differs in the lowest bit).
+#: About how many conversations are ranked together to find partners.
+RANKED = 256
+
+
+def _digits(column: str, first: int) -> Column:
+    """Eight hex digits of an MD5 as a number."""
+    return F.conv(F.substring(column, first, 8), 16, 10).cast("long")
+
 
-    For tables without preference labels. Conversations without an answer or without such a neighbour give no pair;
-    turns without a conversation id belong to none. Turns are ordered by number, role and text.
+def _ranked(talks: DataFrame) -> DataFrame:
+    """Each answered conversation's successor in a circle: (conv_id, partner).
+
+    Circles hold about ``RANKED`` conversations, so no rank goes through one task; ids alone are moved. One that is alone
+    in its circle has no successor.
+    """
+    ids = talks.where("answers > 0").select("conv_id", "_md5")
+    circles = max(ids.count() // RANKED, 1)
+    ids = ids.withColumn("_circle", F.pmod(_digits("_md5", 1), F.lit(circles)))
+    circle = Window.partitionBy("_circle")
+    order = circle.orderBy("_md5", "conv_id")
+    first = F.first("conv_id").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    partner = F.coalesce(F.lead("conv_id").over(order), first)
+    found = ids.select("conv_id", partner.alias("partner"))
+    return found.where(F.col("partner") != F.col("conv_id"))
+
+
+def branched(turns: DataFrame) -> DataFrame:
+    """Pairs from plain conversations, for tables without preference labels: one row per conversation.
+
+    ``chosen`` is the whole conversation. ``rejected`` leaves it at one of its answers, picked by the MD5 of its id, and goes
+    on as another conversation does from one of its own answers to its end, so the two may part at any answer, or later
+    where the other goes on alike. The other is the next one in the order of the ids' MD5s (``_ranked``) and is real text
+    too. Conversations without an answer or without another have no branch: both sides are equal. Turns without a
+    conversation id belong to none. Turns are ordered by number, role and text; repeated ones repeat.
     """
     turn = F.struct(F.col("turn"), F.col("role"), F.col("text"))
     grouped = turns.where(F.col("conv_id").isNotNull()).groupBy(F.col("conv_id").cast("long").alias("conv_id"))
-    talks = grouped.agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    answers = F.transform("turns", lambda t: F.coalesce(t["role"] == TRAINED_ROLE, F.lit(False)))
-    last = F.size("turns") - F.array_position(F.reverse(answers), True).cast("int") + 1
-    talks = talks.where(F.array_contains(answers, True)).withColumn("_last", last)
-    plain = F.transform(F.slice("turns", F.lit(1), F.col("_last")), lambda t: F.struct(t["role"], t["text"]))
-    talks = talks.select("conv_id", plain.alias("chosen"))
-    neighbours = talks.select(
-        F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.element_at("chosen", -1)["text"].alias("_answer")
-    )
-    answer = F.array(F.struct(F.lit(TRAINED_ROLE).alias("role"), F.col("_answer").alias("text")))
-    return talks.join(neighbours, "conv_id").select(
-        "conv_id", "chosen", F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), answer).alias("rejected")
+    talks = grouped.agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
+    plain = F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    talks = talks.select("conv_id", plain.alias("chosen"), F.md5(F.col("conv_id").cast("string")).alias("_md5"))
+    places = F.filter(
+        F.sequence(F.lit(1), F.size("chosen")),
+        lambda k: F.coalesce(F.element_at("chosen", k)["role"] == TRAINED_ROLE, F.lit(False)),
     )
+    talks = written(talks.withColumn("_places", places).withColumn("answers", F.size("_places")), "conversations")
+
+    def picked(first: int) -> Column:
+        """Where one of the answers is."""
+        return F.element_at("_places", (F.pmod(_digits("_md5", first), F.col("answers")) + 1).cast("int"))
+
+    answered = talks.where("answers > 0")
+    tails = answered.select(F.col("conv_id").alias("partner"), F.slice("chosen", picked(17), F.size("chosen")).alias("_tail"))
+    branches = _ranked(talks).join(tails, "partner").select("conv_id", "_tail")
+    heads = talks.withColumn("_head", F.when(F.col("answers") > 0, F.slice("chosen", F.lit(1), picked(9) - 1)))
+    rejected = F.coalesce(F.concat("_head", "_tail"), "chosen")
+    return heads.join(branches, "conv_id", "left").select("conv_id", "chosen", rejected.alias("rejected"))

@@ -17,7 +17,7 @@ from siren.llm.oracles import ORACLES
 from siren.llm.packing import pack
 from siren.llm.perplexity import quality
 from siren.llm.piece_bpe import encode_decode
-from siren.llm.preferences import format_preferences, swapped_answers
+from siren.llm.preferences import branched, format_preferences
 from siren.llm.simhash import fingerprint_classes
 from siren.llm.token_files import token_files
 from siren.llm.variants import variants
@@ -39,7 +39,7 @@ def op1_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How does each conversation train against the variant that ends with its neighbour's last answer?
+    """How does each conversation train against the variant that goes on like another one from one of its answers?
 
     The table has no preference labels. Masks are written as lengths of runs: + trained, - not.
     """
@@ -48,7 +48,7 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         marked = F.transform(name, lambda r: F.concat(F.when(r["trained"], "+").otherwise("-"), r["chars"].cast("string")))
         return F.array_join(marked, " ").alias(name)
 
-    pairs = format_preferences(swapped_answers(_table(spark, sf_dir, "conversations")))
+    pairs = format_preferences(branched(_table(spark, sf_dir, "conversations")))
     return pairs.select(
         "conv_id", "prompt_turns", "prompt", "chosen", runs("chosen_mask"), "rejected", runs("rejected_mask")
     )

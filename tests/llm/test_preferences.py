@@ -1,8 +1,10 @@
 """Preference formatting against plain Python."""
 
 import random
+from collections import defaultdict
+from hashlib import md5
 
-from siren.llm.preferences import format_preferences, swapped_answers
+from siren.llm.preferences import RANKED, branched, format_preferences
 
 SCHEMA = "id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, prompt string"
 
@@ -44,18 +46,62 @@ def test_format_preferences(spark):
     assert format_preferences(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_swapped_answers(spark):
+TURNS = "conv_id long, turn long, role string, text string, chosen string"
+
+
+def expected_pairs(turns):
+    talks = defaultdict(list)
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            talks[conv].append((turn, role, text))
+    for talk in talks.values():
+        talk.sort(key=lambda t: [(x is not None, x if x is not None else 0) for x in t])
+    digest = {c: md5(str(c).encode()).hexdigest() for c in talks}
+    answers = {c: [k for k, t in enumerate(talk) if t[1] == "assistant"] for c, talk in talks.items()}
+    circles = defaultdict(list)
+    answered = [c for c in talks if answers[c]]
+    for c in answered:
+        circles[int(digest[c][:8], 16) % max(len(answered) // RANKED, 1)].append(c)
+    out = {c: ([t[1:] for t in talk], [t[1:] for t in talk]) for c, talk in talks.items()}
+    for circle in circles.values():
+        circle.sort(key=lambda c: (digest[c], c))
+        for c, other in zip(circle, circle[1:] + circle[:1], strict=True):
+            if other != c:
+                at = answers[c][int(digest[c][8:16], 16) % len(answers[c])]
+                behind = answers[other][int(digest[other][16:24], 16) % len(answers[other])]
+                out[c] = (out[c][0], [t[1:] for t in talks[c][:at] + talks[other][behind:]])
+    return out
+
+
+def found_pairs(rows):
+    pairs = branched(rows).collect()
+    assert len(pairs) == len({r.conv_id for r in pairs})
+    return {r.conv_id: ([tuple(t) for t in r.chosen], [tuple(t) for t in r.rejected]) for r in pairs}
+
+
+def test_branched_loses_no_conversation(spark):
     turns = [
         (0, 0, "user", "q"), (0, 1, "assistant", "one"), (0, 2, "user", "thanks"), (1, 0, "user", "w"), (1, 1, "assistant", None),
-        (2, 0, "user", "no answer"), (3, 0, "assistant", "x"), (4, 0, "assistant", "alone"), (None, 0, "assistant", "?"),
-        (6, None, None, None), (6, 1, "assistant", "a"), (6, 1, "assistant", "a"), (7, 0, "assistant", "b"),
+        (2, 0, "user", "no answer"), (3, 0, "assistant", "x" * 100_000), (None, 0, "assistant", "?"), (60, None, None, None),
+        (60, 1, "assistant", "a"), (60, 1, "assistant", "a"), (7000, 0, "assistant", "b"), (7000, 0, None, "b"), (-5, 3, "assistant", ""),
     ]
-    rows = spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn long, role string, text string, chosen string")
-    found = {r.conv_id: ([tuple(t) for t in r.chosen], [tuple(t) for t in r.rejected]) for r in swapped_answers(rows).collect()}
-    assert found == {
-        0: ([("user", "q"), ("assistant", "one")], [("user", "q"), ("assistant", None)]),
-        1: ([("user", "w"), ("assistant", None)], [("user", "w"), ("assistant", "one")]),
-        6: ([(None, None), ("assistant", "a"), ("assistant", "a")], [(None, None), ("assistant", "a"), ("assistant", "b")]),
-        7: ([("assistant", "b")], [("assistant", "a")]),
-    }
-    assert swapped_answers(rows.limit(0)).count() == 0
+    rows = spark.createDataFrame([(*t, "z") for t in turns], TURNS)
+    found = found_pairs(rows)
+    assert found == expected_pairs(turns) and len(found) == 7
+    assert found[2][0] == found[2][1] and sum(a != b for a, b in found.values()) >= 4
+    assert branched(rows.limit(0)).count() == 0
+    alone = rows.where("conv_id = 0")
+    assert all(a == b for a, b in found_pairs(alone).values())
+
+
+def test_branches_part_at_any_answer(spark):
+    rng = random.Random(2)
+    turns = []
+    for conv in rng.sample(range(10**12), 900):  # ids are sparse
+        for k in range(rng.randint(1, 8)):
+            turns.append((conv, k, rng.choice(["user", "assistant"]), rng.choice(["yes", "no", f"word {conv}"])))
+    rows = spark.createDataFrame([(*t, None) for t in turns], TURNS)
+    found = found_pairs(rows)
+    assert found == expected_pairs(turns)
+    lengths = {(r.prompt_turns, len(found[r.conv_id][0])) for r in format_preferences(branched(rows)).collect()}
+    assert len({n - k for k, n in lengths}) > 5 and len({k for k, _ in lengths}) > 5
