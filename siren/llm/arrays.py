@@ -117,9 +117,9 @@ def windows(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarr
     return mix(total[first]), first
 
 
-def padded(texts: list[str | None], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the texts, A-Z in lower case, each behind ``gap`` line breaks; where each begins and ends."""
-    values = [(t or "").encode().lower() for t in texts]
+def padded(texts: list[str | None], gap: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the texts, each behind ``gap`` line breaks; where each begins and ends. ``lower``: A-Z in lower case."""
+    values = [(t or "").encode().lower() if lower else (t or "").encode() for t in texts]
     data = np.frombuffer((b"\n" * gap).join([b"", *values]), np.uint8)
     lengths = np.array([len(v) for v in values], np.int64)
     ends = np.cumsum(lengths + gap)
