@@ -167,10 +167,10 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         every = every.unionAll(some)
     every = written(every, "grams")
     times = [F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    found = every.groupBy("model", "order").agg(*times).collect()  # five rows a model
+    found = every.groupBy("model", "order").agg(*times).collect()
     taken = [(r.model, r.order, *discounts(r.n1, r.n2, r.n3, r.n4)) for r in found]
     taken = spark.createDataFrame(taken, "model string, order int, d1 double, d2 double, d3 double")
-    every = every.join(taken, ["model", "order"])
+    every = every.join(F.broadcast(taken), ["model", "order"])  # five rows a model
     context = F.shiftright("gram", BITS)
     n = F.col("n")
     singles, pairs, more = (F.count_if(c) for c in (n == 1, n == 2, n > 2))
@@ -182,7 +182,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     rows = known.select("model", (F.col("gram") + F.col("order") * shift).alias("key"), (mine / F.col("total")).alias("value"))
     weights = contexts.select("model", (F.col("context") + (F.col("order") + ORDER) * shift).alias("key"), F.col("weight").alias("value"))
     rows = rows.unionAll(weights).withColumn("value", F.col("value").cast("float"))
-    return written(rows.repartition("model", "key").sortWithinPartitions("model", "key"), "model")
+    return written(rows.sortWithinPartitions("model", "key"), "model")
 
 
 Arrays = tuple[np.ndarray, np.ndarray]
