@@ -12,6 +12,8 @@ from siren.session import new_path
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
+#: Rows of a piece of a scan, for work that is heavy per row: seconds to a minute of it.
+ROWS_PER_TASK = 100_000
 
 
 def fits(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
@@ -55,13 +57,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Give a scan that has fewer pieces than there are cores to all cores; leave any other as it is.
+def spread(df: DataFrame, *key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Give a scan that has fewer pieces than there are cores, or than its rows ask for, to more tasks; leave any other as it is.
 
-    For tables in a few files that cannot be split, read by work that is heavy per row.
+    For tables in a few files, or in a few large row groups, which cannot be split, read by work that is heavy per row.
+    Small rows make few pieces however many they are; counting them reads the files' footers only.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
+    wanted = max(cores, -(-df.count() // rows_per_task))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *key)
 
 
 def lookup_join(

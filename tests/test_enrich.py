@@ -137,3 +137,13 @@ def test_real_texts_reach_every_source(spark):
     located = E.extract_location(E.preprocess(R.text_reports(spark, sf)), R.word_gazetteer(spark, sf))
     assert {r.location_source for r in located.select("location_source").distinct().collect()} == set(L.LOCATION_CONFIDENCE)
     assert located.select("location").distinct().count() > 100
+
+
+def test_scans_with_many_small_rows_are_spread(spark):
+    """As many pieces as there are cores are not enough for many rows; no row is lost on the way."""
+    from siren.operators.lookup import spread
+
+    rows = spark.range(0, 4000, numPartitions=spark.sparkContext.defaultParallelism)
+    parts = spread(rows, "id", rows_per_task=100)
+    assert parts.rdd.getNumPartitions() == 40 and parts.distinct().count() == 4000
+    assert spread(rows, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
