@@ -16,9 +16,14 @@ from siren.functions import scoring
 from siren.functions.places import first_usable, location_columns, location_steps
 from siren.functions.text import clean_text, extract_hashtags, hashtags_str
 from siren.operators.gazetteer import Places, attach_coordinates, gazetteer_match, prepare
-from siren.operators.lookup import computed_once
+from siren.operators.lookup import computed_once, lookup_join, row_hash, written
 from siren.schemas import ensure_columns
 
+#: What enriching reads of a report; all that it adds follows from these.
+TEXT_COLUMNS = ("content", "user_bio", "user_location")
+#: Different texts up to which they are enriched once each and joined back, and the texts a report must repeat on average.
+MAX_REPEATED, MIN_COPIES = 100_000, 4
+
 ScoreFn = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 EntityFn = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
@@ -148,3 +153,26 @@ def enrich(
     if geocode and places is not None:
         return attach_coordinates(result, places)
     return result.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")})
+
+
+def enrich_repeated(df: DataFrame, gazetteer: DataFrame | Places | None = None, **options) -> DataFrame:
+    """The same as ``enrich``, where each different (content, bio, profile) is worked on once if reports repeat them.
+
+    Equal texts have equal answers. A sketch counts the different ones; if they are few and come often, they are enriched,
+    written, and joined to the reports where these are. Otherwise every report is enriched as it stands.
+    """
+    places = None if gazetteer is None else prepare(gazetteer)
+    rows = ensure_columns(df, TEXT_COLUMNS)
+    seen = rows.agg(
+        F.approx_count_distinct(F.xxhash64(*TEXT_COLUMNS), 0.02).alias("different"), F.count(F.lit(1)).alias("n")
+    ).first()
+    if seen["different"] > MAX_REPEATED or seen["n"] < MIN_COPIES * seen["different"]:
+        return enrich(df, places, **options)
+    texts = written(enrich(rows.select(*TEXT_COLUMNS).distinct(), places, **options), "enriched-texts")
+    columns = [name for name in texts.columns if name not in TEXT_COLUMNS]
+    rows = rows.select(*[name for name in rows.columns if name not in columns])
+    joined = lookup_join(
+        rows.withColumn("_texts", F.struct(*TEXT_COLUMNS)),
+        texts.select(F.struct(*TEXT_COLUMNS).alias("_texts"), *columns), "_texts", row_hash(rows),
+    )
+    return joined.select(*rows.columns, *columns)

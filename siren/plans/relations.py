@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siren.functions.text import iso_date, report_id
-from siren.operators.enrich import enrich
+from siren.operators.enrich import enrich, enrich_repeated  # noqa: F401
 from siren.operators.lookup import spread
 from siren.schemas import GAZETTEER
 from siren.session import new_path
@@ -93,7 +93,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich(reports(spark, sf_dir), gazetteer(spark))
+    return enrich_repeated(reports(spark, sf_dir), gazetteer(spark))
 
 
 _stored: dict[tuple[str, str], str] = {}

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from siren.functions.scoring import is_critical
-from siren.operators.enrich import enrich
+from siren.operators.enrich import enrich_repeated
 from siren.operators.gazetteer import Places, prepare
 from siren.sources.versioned import Version, VersionedTable
 from siren import lexicons as L
@@ -87,7 +87,7 @@ def stream_enrich(
     places = None if gazetteer is None else prepare(gazetteer)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        enrich(batch, places).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        enrich_repeated(batch, places).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return _each_batch(stream, write_batch, checkpoint, interval)
 

@@ -147,3 +147,26 @@ def test_scans_with_many_small_rows_are_spread(spark):
     parts = spread(rows, "id", rows_per_task=100)
     assert parts.rdd.getNumPartitions() == 40 and parts.distinct().count() == 4000
     assert spread(rows, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_repeated_texts_are_enriched_once(spark):
+    """Few different texts: the scorer sees each once, and every report gets what enriching it alone gives."""
+    from siren.operators.enrich import enrich_repeated
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(batches):
+        for texts in batches:
+            calls.add(len(texts))
+            yield texts.str.len().map(lambda n: [0.2, 0.5, 0.3] if n > 20 else [0.4, 0.2, 0.4])
+
+    content = F.expr("CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Help, flood near Lima' WHEN 2 THEN '' ELSE 'Sun in Oslo #Oslo' END")
+    rows = spark.range(0, 400, numPartitions=4).select("id", content.alias("content"), F.lit("x, NY").alias("user_bio"))
+    once = enrich_repeated(rows, score_fn=scorer)
+    found = sorted(once.collect(), key=lambda r: r.id)
+    assert calls.value <= 4
+    expected = E.enrich(rows, score_fn=scorer)
+    assert once.columns == expected.columns and once.dtypes == expected.dtypes
+    assert found == sorted(expected.collect(), key=lambda r: r.id)
+    each = rows.withColumn("content", F.col("id").cast("string"))
+    assert enrich_repeated(each).count() == 400
