@@ -12,6 +12,8 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,10 @@ MAX_INLINE_PLACES = 1000
 MAX_TRIE_NAMES = 200_000
 #: Bits of each of the two tables (8 MB); a larger gazetteer only lets more names through to the join.
 FILTER_BITS = 26
+#: Names that the bit tables let through before they leave a Python worker, so that its memory does not follow the gazetteer.
+MAX_LISTED = 10_000
+#: Words whose first step a task remembers.
+MAX_WORDS = 50_000
 NO_PLACE = ["unknown", "", "none"]
 
 #: What JVM and Python agree on as a word of a lower-case text: letters and numbers of any alphabet.
@@ -45,11 +51,8 @@ class Places:
     filters: Broadcast | None = None
     names: DataFrame | None = None
     bounds: dict[str, int] = field(default_factory=dict)
-
-    @property
-    def entries_fit(self) -> bool | None:
-        """Whether the coordinates are known to be few; None: not measured."""
-        return True if self.inline is not None else None
+    #: Whether the coordinates are few enough to broadcast, measured once.
+    entries_fit: bool = True
 
 
 def prepare(
@@ -66,12 +69,17 @@ def prepare(
         return Places(distinct_places(gazetteer), inline=inline)
     stored = written(gazetteer.select("place", "display", "lat", "lon"), "gazetteer")
     names = written(place_names(stored).groupBy("name").agg(F.min("display").alias("display")), "place-names")
-    entries = distinct_places(stored)
+    # What each batch of a stream looks up is aggregated and measured here, once.
+    entries = written(distinct_places(stored), "places")
+    entries_fit = fits(entries, max_broadcast_rows)
     context = stored.sparkSession.sparkContext
     if fits(names, min(max_trie, max_broadcast_rows)):
         trie = word_trie((row.name, row.display) for row in names.toLocalIterator())
-        return Places(entries, trie=context.broadcast(trie), names=names)
-    return Places(entries, filters=context.broadcast(_filters(names)), names=names, bounds={"max_broadcast_rows": max_broadcast_rows})
+        return Places(entries, trie=context.broadcast(trie), names=names, entries_fit=entries_fit)
+    return Places(
+        entries, filters=context.broadcast(_filters(names)), names=names, entries_fit=entries_fit,
+        bounds={"max_broadcast_rows": max_broadcast_rows},
+    )
 
 
 def distinct_places(gazetteer: DataFrame) -> DataFrame:
@@ -202,47 +210,96 @@ def _step(word: str, sum_: int) -> tuple[int, int]:
     return sum_, (sum_ ^ (sum_ >> 16)) & ((1 << FILTER_BITS) - 1)
 
 
-def _listed(words: list[str], paths: bytes, ends: bytes) -> Iterator[tuple[int, str]]:
-    """(position, name) of what may be listed names: each place's path is followed while its cells are marked."""
-    for start in range(len(words)):
-        sum_ = 0
-        for at in range(start, len(words)):
+def _listed(words: list[str], paths: bytes, ends: bytes, starts: dict[str, int | None] | None = None) -> Iterator[tuple[int, str]]:
+    """(position, name) of what may be listed names: each place's path is followed while its cells are marked.
+
+    ``starts`` remembers words from text to text: the checksum of one that may begin a name, None for any other.
+    """
+    starts = {} if starts is None else starts
+    if len(starts) > MAX_WORDS:
+        starts.clear()
+    for start, word in enumerate(words):
+        if word in starts:
+            sum_ = starts[word]
+        else:
+            sum_, cell = _step(word, 0)
+            starts[word] = sum_ = sum_ if paths[cell >> 3] >> (7 - (cell & 7)) & 1 else None
+        if sum_ is None:
+            continue
+        at, cell = start, (sum_ ^ (sum_ >> 16)) & ((1 << FILTER_BITS) - 1)
+        while True:
+            if ends[cell >> 3] >> (7 - (cell & 7)) & 1:
+                yield start, " ".join(words[start : at + 1])
+            at += 1
+            if at == len(words):
+                break
             sum_, cell = _step(words[at], sum_)
             if not paths[cell >> 3] >> (7 - (cell & 7)) & 1:
                 break
-            if ends[cell >> 3] >> (7 - (cell & 7)) & 1:
-                yield start, " ".join(words[start : at + 1])
 
 
 def _match_by_join(df: DataFrame, places: Places, columns: Mapping[str, str]) -> DataFrame:
     filters, outs = places.filters, list(columns.values())
     key = _digest(list(columns))
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def candidates(batches: Iterator[pa.RecordBatch], only_first: bool) -> Iterator[pa.RecordBatch]:
         paths, ends = (bits.tobytes() for bits in filters.value)
-        for batch in batches:
-            out: list[tuple] = []
-            for k in range(len(outs)):
-                for text_key, text in zip(batch.column("text"), batch.column(f"part_{k}"), strict=True):
-                    found = [(text_key.as_py(), k, at, name) for at, name in _listed(_WORD.findall(text.as_py()), paths, ends)]
-                    out += found
-            rows = list(zip(*out, strict=True)) if out else [[]] * 4
-            types = [pa.binary(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["text", "part", "pos", "name"]
+        types = [pa.binary(), pa.int32(), pa.int32(), pa.string()]
+        out: list[list] = [[], [], [], []]
+        starts: dict[str, int | None] = {}
+
+        def listed_so_far() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, types, strict=True)], ["text", "part", "pos", "name"]
             )
+            for column in out:
+                column.clear()
+            return batch
 
+        for batch in batches:
+            for k in range(len(outs)):
+                for row in range(batch.num_rows):
+                    text_key, first = batch.column("text")[row].as_py(), None
+                    words = _WORD.findall(batch.column(f"part_{k}")[row].as_py())
+                    for at, name in _listed(words, paths, ends, starts):
+                        if only_first and first not in (None, at):
+                            break
+                        first = at
+                        for column, value in zip(out, (text_key, k, at, name), strict=True):
+                            column.append(value)
+                        if len(out[0]) >= MAX_LISTED:
+                            yield listed_so_far()
+        yield listed_so_far()
+
+    def named(rows: DataFrame, only_first: bool, how: str) -> DataFrame:
+        """What may be listed names, with the displays of those that are; written, as their names are counted before."""
+        schema = "text binary, part int, pos int, name string"
+        listed = written(rows.mapInArrow(lambda batches: candidates(batches, only_first), schema), "listed-names")
+        return lookup_join(
+            listed, places.names.select("name", "display"), "name", F.struct("text", "pos"), how=how, **places.bounds
+        )
+
+    def answered(found: DataFrame, **more: Column) -> DataFrame:
+        """One row per text; copies of a text meet as partial minima."""
+        first = F.struct("pos", -F.length("name"))
+        of = [(F.col("part") == k) & F.col("display").isNotNull() for k in range(len(outs))]
+        return found.groupBy(F.col("text").alias("_text")).agg(
+            *[F.min_by(F.when(known, F.col("display")), F.when(known, first)).alias(out) for known, out in zip(of, outs, strict=True)],
+            *[column.alias(name) for name, column in more.items()],
+        )
+
+    # A place that begins where the first name may begin is the first one. Texts where that was a chance hit of the bit
+    # tables are gone through again, over all names they may hold.
     texts = df.select(key.alias("text"), *[F.lower(text_or_empty(t)).alias(f"part_{k}") for k, t in enumerate(columns)])
-    listed = texts.where("text IS NOT NULL").mapInArrow(candidates, "text binary, part int, pos int, name string")
-    found = lookup_join(
-        listed, places.names.select("name", "display"), "name", F.struct("text", "pos"), how="inner", **places.bounds
-    )
-    # Copies of a text meet as partial minima. The answers are written: the rows are then read once, beside them.
-    first = F.struct("pos", -F.length("name"))
-    answers = found.groupBy(F.col("text").alias("_text")).agg(*[
-        F.min_by(F.when(F.col("part") == k, F.col("display")), F.when(F.col("part") == k, first)).alias(out)
-        for k, out in enumerate(outs)
-    ])
+    texts = texts.where("text IS NOT NULL")
+    parts = {f"_part_{k}": F.count_if(F.col("part") == k) for k in range(len(outs))}
+    early = written(answered(named(texts, True, "left"), **parts), "first-places")
+    missed = reduce(or_, [(F.col(f"_part_{k}") > 0) & F.col(out).isNull() for k, out in enumerate(outs)])
+    # The answers are written: the rows are then read once, beside them.
+    answers = early.where(~missed).select("_text", *outs)
+    again = early.where(missed).select(F.col("_text").alias("text"))
+    if not again.isEmpty():
+        answers = answers.unionByName(answered(named(texts.join(again, "text", "left_semi"), False, "inner")))
     # Rows without a word name no place; each has a key of its own.
     none = F.concat(F.lit("none-"), row_hash(df).cast("string")).cast("binary")
     keyed = df.withColumn("_text", F.coalesce(key, none))

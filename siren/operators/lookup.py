@@ -12,6 +12,8 @@ from siren.session import new_path
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
+#: Rows of one key beyond which it is dealt over several tasks.
+HOT_ROWS = 100_000
 #: Rows of a piece of a scan, for work that is heavy per row: seconds to a minute of it.
 ROWS_PER_TASK = 100_000
 
@@ -81,17 +83,23 @@ def lookup_join(
 ) -> DataFrame:
     """Join rows to a lookup table that has unique values of ``on``.
 
-    A lookup of checked size (rows and bytes) is broadcast and the rows stay where they are. A larger one is replicated over
-    ``salts`` salt values and joined on key and salt, so that a key holding a third of the rows is spread over as
-    many tasks. The salt is a hash of ``spread_by``, not a random number: a task that is run again must send each
-    row to the same place. ``bounded_by`` is a table the lookup has no more rows than, and is cheaper to count;
-    ``known_to_fit`` tells what a check before has found.
+    A lookup of checked size (rows and bytes) is broadcast and the rows stay where they are. Beyond that both are shuffled, and
+    keys of more than ``HOT_ROWS`` rows get up to ``salts`` salt values, so that a key holding a third of the rows is spread
+    over as many tasks; only these keys' lookup rows are repeated, so the lookup is moved about once however large it is.
+    The salt is a hash of ``spread_by``, not a random number: a task that is run again must send each row to the same place.
+    The rows' keys are counted first, so rows that cost much are better written before. ``bounded_by`` is a table the lookup
+    has no more rows than, and is cheaper to count; ``known_to_fit`` tells what a check before has found.
     """
     columns = rows.columns + [name for name in lookup.columns if name != on]
     if known_to_fit is None:
         known_to_fit = fits(lookup if bounded_by is None else bounded_by, max_broadcast_rows)
     if known_to_fit:
         return rows.join(F.broadcast(lookup), on, how).select(*columns)
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_rows.join(salted_lookup, [on, "_salt"], how).select(*columns)
+    counted = rows.groupBy(F.col(on).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
+    parts = F.least(F.ceil(F.col("_n") / HOT_ROWS), F.lit(salts)).cast("int")
+    hot = F.broadcast(counted.select("_hot", parts.alias("_salts")))
+    salts_of = F.coalesce("_salts", F.lit(1))
+    is_hot = F.col(on).eqNullSafe(F.col("_hot"))
+    salted_rows = rows.join(hot, is_hot, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts_of).cast("int"))
+    salted_lookup = lookup.join(hot, is_hot, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts_of - 1)))
+    return salted_rows.drop("_hot", "_salts").join(salted_lookup.drop("_hot", "_salts"), [on, "_salt"], how).select(*columns)

@@ -123,3 +123,47 @@ def test_sizes_are_summed_where_the_rows_are(spark):
 
     df = spark.range(1000).selectExpr("id", "repeat('x', 100) AS name")
     assert fits(df, 1000) and not fits(df, 999) and not fits(df, 1000, max_bytes=100_000)
+
+
+def test_only_hot_keys_repeat_the_lookup(spark, monkeypatch):
+    """A large lookup is moved about once: its rows are repeated for keys with many rows alone, and no row is lost."""
+    from siren.operators import lookup
+
+    monkeypatch.setattr(lookup, "HOT_ROWS", 1000)
+    rows = skewed(spark).union(spark.range(3000).selectExpr("CONCAT('n', id)", "CAST(NULL AS STRING)"))
+    table = spark.range(5000).selectExpr("CONCAT('Town ', id) AS location", "id AS n").union(
+        spark.sql("SELECT 'Lima', -1L")
+    ).repartition(4)
+    joined = lookup_join(rows, table, "location", "tweet_id", max_broadcast_rows=0)
+    joined.write.format("noop").mode("overwrite").save()
+    assert joined.count() == 23000 and joined.where("n = -1").count() == 6667 and joined.where("n >= 0").count() == 6666
+    assert "sequence(0, 31" not in joined._jdf.queryExecution().toString()
+
+
+def test_names_leave_a_worker_in_small_batches(spark, monkeypatch):
+    """However many names the texts of a batch hold, a worker holds a bounded number of them."""
+    seen = {}
+
+    def caught(df, name):
+        if name == "listed-names" and "sizes" not in seen:
+            seen["sizes"] = df.mapInArrow(lambda batches: (G.pa.RecordBatch.from_arrays([G.pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+        return written(df, name)
+
+    from siren.operators.lookup import written
+
+    monkeypatch.setattr(G, "written", caught)
+    df = spark.createDataFrame([("Lima York " * 3000,)] * 8, "content string").coalesce(1)
+    matched = G.gazetteer_match(df, make_gazetteer(spark), {"content": "place"}, max_inline=0, max_broadcast_rows=0)
+    assert matched.where("place = 'Lima'").count() == 8
+    sizes = [row.n for row in seen["sizes"]]
+    assert max(sizes) <= 10_000
+
+
+def test_chance_hits_of_the_bit_tables_hide_no_place(spark, monkeypatch):
+    """Where the first marked name is none, the names behind it still count."""
+    everything = lambda names: tuple(G.np.full((1 << G.FILTER_BITS) // 8, 255, G.np.uint8) for _ in range(2))
+    monkeypatch.setattr(G, "_filters", everything)
+    rows = [(i, text) for i, text in enumerate(sample_texts())]
+    df = spark.createDataFrame(rows, "id long, content string")
+    found = G.gazetteer_match(df, make_gazetteer(spark), {"content": "place"}, max_inline=0, max_broadcast_rows=0).collect()
+    assert sorted((r.id, r.place or "") for r in found) == sorted((i, brute_force(t) or "") for i, t in rows)
