@@ -107,10 +107,10 @@ def read_enriched_csv(spark, sf_dir):
 
 @query
 def read_csv_line_breaks(spark, sf_dir):
-    """Documents with their line breaks in one file, read in pieces that begin and end anywhere."""
+    """Documents with their line breaks, written by as many tasks as read them, read in pieces that begin and end anywhere."""
     path = new_path(spark, "quoted-csv")
     columns = R.table(spark, sf_dir, "documents").select(F.col("text").alias("content"), F.col("doc_id").alias("like_count"))
-    tables.write_csv(tables.raw_rows(columns).coalesce(1), path)
+    tables.write_csv(tables.raw_rows(columns), path)
     return tables.read_raw_csv(spark, path).select("content", "like_count")
 
 

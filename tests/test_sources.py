@@ -208,3 +208,18 @@ def test_freshness(spark, tmp_path, seconds, label, fresh):
 def test_json_records_keep_nulls(spark):
     record = tables.to_json_records(spark.createDataFrame([("a", None)], "x string, lat double")).first().record
     assert json.loads(record) == {"x": "a", "lat": None}
+
+
+def test_csv_with_line_breaks_is_landed_by_many_tasks(spark, tmp_path, monkeypatch):
+    """No task writes the whole table: as many files as the documents have pieces."""
+    from siren.plans import catalog
+
+    spark.range(0, 400, numPartitions=4).selectExpr("id AS doc_id", "CONCAT('a \"b\"\n', id) AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(catalog, "new_path", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 30)
+    try:
+        found = catalog.QUERIES["read_csv_line_breaks"](spark, str(tmp_path))
+        assert sorted(r.content for r in found.collect()) == sorted(f'a "b"\n{i}' for i in range(400))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list((tmp_path / "quoted-csv").glob("*.csv"))) == 4
