@@ -23,6 +23,8 @@ from siren.schemas import ensure_columns
 TEXT_COLUMNS = ("content", "user_bio", "user_location")
 #: Different texts up to which they are enriched once each and joined back, and the texts a report must repeat on average.
 MAX_REPEATED, MIN_COPIES = 100_000, 4
+#: Rows of a piece that answers are joined to: so few large files do not make few long tasks, nor streams many small files.
+ROWS_PER_JOIN_TASK = 1_000_000
 
 ScoreFn = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 EntityFn = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
@@ -163,14 +165,23 @@ def enrich_repeated(df: DataFrame, gazetteer: DataFrame | Places | None = None,
     """
     places = None if gazetteer is None else prepare(gazetteer)
     rows = ensure_columns(df, TEXT_COLUMNS)
-    seen = rows.agg(
-        F.approx_count_distinct(F.xxhash64(*TEXT_COLUMNS), 0.02).alias("different"), F.count(F.lit(1)).alias("n")
+    seen = rows.withColumn("_piece", F.spark_partition_id()).agg(
+        F.approx_count_distinct(F.xxhash64(*TEXT_COLUMNS), 0.02).alias("different"), F.count(F.lit(1)).alias("n"),
+        F.approx_count_distinct("_piece").alias("pieces"),
     ).first()
     if seen["different"] > MAX_REPEATED or seen["n"] < MIN_COPIES * seen["different"]:
         return enrich(df, places, **options)
-    texts = written(enrich(rows.select(*TEXT_COLUMNS).distinct(), places, **options), "enriched-texts")
+    # Coordinates are looked up for the written texts, which are few however large the gazetteer is.
+    geocode = options.pop("geocode", True)
+    texts = written(enrich(rows.select(*TEXT_COLUMNS).distinct(), places, geocode=False, **options), "enriched-texts")
+    if geocode and places is not None:
+        texts = attach_coordinates(texts.drop("lat", "lon"), places, rows_are_written=True)
+        texts = written(texts, "geocoded-texts")
     columns = [name for name in texts.columns if name not in TEXT_COLUMNS]
     rows = rows.select(*[name for name in rows.columns if name not in columns])
+    wanted = -(-seen["n"] // ROWS_PER_JOIN_TASK)
+    if seen["pieces"] < wanted:
+        rows = rows.repartition(wanted, row_hash(rows))
     joined = lookup_join(
         rows.withColumn("_texts", F.struct(*TEXT_COLUMNS)),
         texts.select(F.struct(*TEXT_COLUMNS).alias("_texts"), *columns), "_texts", row_hash(rows),

@@ -51,8 +51,9 @@ class Places:
     filters: Broadcast | None = None
     names: DataFrame | None = None
     bounds: dict[str, int] = field(default_factory=dict)
-    #: Whether the coordinates are few enough to broadcast, measured once.
+    #: Whether the coordinates, and the names, are few enough to broadcast, measured once.
     entries_fit: bool = True
+    names_fit: bool = True
 
 
 def prepare(
@@ -61,13 +62,13 @@ def prepare(
     max_trie: int = MAX_TRIE_NAMES,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> Places:
-    """Make a gazetteer ready. One that is too large for an expression is written once, and only that table is read."""
+    """Make a gazetteer ready. What it is derived from is read once: it is written, and only that table is read."""
     if isinstance(gazetteer, Places):
         return gazetteer
-    inline = inline_places(gazetteer, max_inline)
-    if inline is not None:
-        return Places(distinct_places(gazetteer), inline=inline)
     stored = written(gazetteer.select("place", "display", "lat", "lon"), "gazetteer")
+    inline = inline_places(stored, max_inline)
+    if inline is not None:
+        return Places(distinct_places(stored), inline=inline)
     names = written(place_names(stored).groupBy("name").agg(F.min("display").alias("display")), "place-names")
     # What each batch of a stream looks up is aggregated and measured here, once.
     entries = written(distinct_places(stored), "places")
@@ -78,7 +79,7 @@ def prepare(
         return Places(entries, trie=context.broadcast(trie), names=names, entries_fit=entries_fit)
     return Places(
         entries, filters=context.broadcast(_filters(names)), names=names, entries_fit=entries_fit,
-        bounds={"max_broadcast_rows": max_broadcast_rows},
+        names_fit=fits(names, max_broadcast_rows), bounds={"max_broadcast_rows": max_broadcast_rows},
     )
 
 
@@ -276,7 +277,8 @@ def _match_by_join(df: DataFrame, places: Places, columns: Mapping[str, str]) ->
         schema = "text binary, part int, pos int, name string"
         listed = written(rows.mapInArrow(lambda batches: candidates(batches, only_first), schema), "listed-names")
         return lookup_join(
-            listed, places.names.select("name", "display"), "name", F.struct("text", "pos"), how=how, **places.bounds
+            listed, places.names.select("name", "display"), "name", F.struct("text", "pos"), how=how,
+            known_to_fit=places.names_fit, rows_are_written=True, **places.bounds,
         )
 
     def answered(found: DataFrame, **more: Column) -> DataFrame:
@@ -343,6 +345,7 @@ def attach_coordinates(
     spread_by: str | None = None,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     salts: int = SALTS,
+    rows_are_written: bool = False,
 ) -> DataFrame:
     """Add ``lat`` and ``lon``: a coordinate literal as it is, a name through the gazetteer, else NULL.
 
@@ -362,7 +365,8 @@ def attach_coordinates(
     key = name if fit else F.coalesce(name, F.concat(F.lit("\x00"), spread.cast("string")))
     rows = df.withColumn("_pair", parse_coordinates(location)).withColumn("_place", key)
     joined = lookup_join(
-        rows, entries, "_place", spread, max_broadcast_rows=max_broadcast_rows, salts=salts, known_to_fit=fit
+        rows, entries, "_place", spread, max_broadcast_rows=max_broadcast_rows, salts=salts, known_to_fit=fit,
+        rows_are_written=rows_are_written,
     )
     return joined.withColumns({
         "lat": F.coalesce("_pair.lat", "_lat"),

@@ -34,6 +34,13 @@ def _bytes_of(name: str, kind: str) -> Column:
     return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) if nested else F.lit(16)
 
 
+def _few_keys(rows: DataFrame, on: str, max_keys: int) -> bool:
+    """Whether the different keys of some rows can be broadcast, by a sketch; no row moves."""
+    size = _bytes_of(on, dict(rows.dtypes)[on])
+    seen = rows.agg(F.approx_count_distinct(on, 0.02).alias("keys"), F.coalesce(F.max(size), F.lit(0)).alias("bytes")).first()
+    return seen["keys"] <= max_keys and seen["keys"] * seen["bytes"] <= MAX_BROADCAST_BYTES
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of a row's own values, for salts: a task that is run again sends each row to the same place."""
     return F.xxhash64(*[name for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
@@ -80,6 +87,7 @@ def lookup_join(
     salts: int = SALTS,
     bounded_by: DataFrame | None = None,
     known_to_fit: bool | None = None,
+    rows_are_written: bool = False,
 ) -> DataFrame:
     """Join rows to a lookup table that has unique values of ``on``.
 
@@ -88,11 +96,16 @@ def lookup_join(
     over as many tasks; only these keys' lookup rows are repeated, so the lookup is moved about once however large it is.
     The salt is a hash of ``spread_by``, not a random number: a task that is run again must send each row to the same place.
     The rows' keys are counted first, so rows that cost much are better written before. ``bounded_by`` is a table the lookup
-    has no more rows than, and is cheaper to count; ``known_to_fit`` tells what a check before has found.
+    has no more rows than, and is cheaper to count; ``known_to_fit`` tells what a check before has found. ``rows_are_written``
+    tells that rows are cheap to read: if they have few different keys, only the lookup rows of these are taken, where they are.
     """
     columns = rows.columns + [name for name in lookup.columns if name != on]
     if known_to_fit is None:
         known_to_fit = fits(lookup if bounded_by is None else bounded_by, max_broadcast_rows)
+    if not known_to_fit and rows_are_written and _few_keys(rows, on, max_broadcast_rows):
+        asked = F.broadcast(rows.select(on).distinct())
+        lookup = written(lookup.join(asked, on, "left_semi"), "asked-for")
+        known_to_fit = fits(lookup, max_broadcast_rows)
     if known_to_fit:
         return rows.join(F.broadcast(lookup), on, how).select(*columns)
     counted = rows.groupBy(F.col(on).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)

@@ -170,3 +170,18 @@ def test_repeated_texts_are_enriched_once(spark):
     assert found == sorted(expected.collect(), key=lambda r: r.id)
     each = rows.withColumn("content", F.col("id").cast("string"))
     assert enrich_repeated(each).count() == 400
+
+
+def test_few_large_files_make_no_few_long_tasks(spark, monkeypatch):
+    """Answers are joined by as many tasks as the rows ask for, and coordinates come back with them."""
+    monkeypatch.setattr(E, "ROWS_PER_JOIN_TASK", 100)
+    content = F.expr("CASE id % 2 WHEN 0 THEN 'Help, flood near Lisbon' ELSE 'Sun' END")
+    rows = spark.range(0, 1000, numPartitions=2).select("id", content.alias("content"))
+    more = spark.range(2000).selectExpr("concat('zzplace', id) place", "'x' display", "0D lat", "0D lon")
+    places = R.gazetteer(spark).unionAll(more)
+    once = E.enrich_repeated(rows, places)
+    expected = E.enrich(rows, places)
+    assert once.rdd.getNumPartitions() == 10 and once.columns == expected.columns
+    assert sorted(once.collect(), key=lambda r: r.id) == sorted(expected.collect(), key=lambda r: r.id)
+    monkeypatch.setattr(E, "ROWS_PER_JOIN_TASK", 500)
+    assert E.enrich_repeated(rows, places).rdd.getNumPartitions() == 2

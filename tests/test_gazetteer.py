@@ -167,3 +167,34 @@ def test_chance_hits_of_the_bit_tables_hide_no_place(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, content string")
     found = G.gazetteer_match(df, make_gazetteer(spark), {"content": "place"}, max_inline=0, max_broadcast_rows=0).collect()
     assert sorted((r.id, r.place or "") for r in found) == sorted((i, brute_force(t) or "") for i, t in rows)
+
+
+def test_few_keys_leave_a_large_lookup_where_it_is(spark):
+    """Written rows with few different keys take their rows of the lookup; neither side is shuffled."""
+    rows = spark.createDataFrame([("Lima", 1), ("none", 2), (None, 3), ("Lima", 4)], "location string, n int")
+    table = spark.range(5000).selectExpr("CONCAT('Town ', id) AS location", "id AS m").union(spark.sql("SELECT 'Lima', -1L"))
+    sizes = {"max_broadcast_rows": 100, "rows_are_written": True}
+    joined = lookup_join(rows, table, "location", "n", **sizes)
+    assert sorted((r.n, r.m) for r in joined.collect()) == sorted([(1, -1), (2, None), (3, None), (4, -1)])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert [r.n for r in lookup_join(rows, table, "location", "n", "inner", **sizes).orderBy("n").collect()] == [1, 4]
+    placed = G.attach_coordinates(rows, make_gazetteer(spark), max_broadcast_rows=3, rows_are_written=True)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and placed.where("lat IS NOT NULL").count() == 2
+
+
+def test_what_a_gazetteer_is_made_of_is_read_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    gazetteer = make_gazetteer(spark)
+    n = gazetteer.count()
+    for sizes in ({}, {"max_inline": 0}, {"max_inline": 0, "max_broadcast_rows": 0}):
+        before = calls.value
+        places = G.prepare(gazetteer.mapInArrow(counted, gazetteer.schema), **sizes)
+        assert places.entries.count() and calls.value - before == n
