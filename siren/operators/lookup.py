@@ -70,11 +70,15 @@ def spread(df: DataFrame, *key: str, rows_per_task: int = ROWS_PER_TASK) -> Data
     """Give a scan that has fewer pieces than there are cores, or than its rows ask for, to more tasks; leave any other as it is.
 
     For tables in a few files, or in a few large row groups, which cannot be split, read by work that is heavy per row.
-    Small rows make few pieces however many they are; counting them reads the files' footers only.
+    Small rows make few pieces however many they are; counting them reads the files' footers only. Only pieces that hold
+    rows count: a scan cuts files by bytes, but a row group goes to one of its pieces whole.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = max(cores, -(-df.count() // rows_per_task))
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *key)
+    seen = df.select(F.spark_partition_id().alias("piece")).agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("piece", 0.01).alias("pieces")
+    ).first()
+    wanted = max(min(cores, seen["n"]), -(-seen["n"] // rows_per_task))
+    return df if seen["pieces"] >= 0.95 * wanted else df.repartition(max(cores, wanted), *key)
 
 
 def lookup_join(

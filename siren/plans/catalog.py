@@ -774,7 +774,7 @@ def train_classifier(spark, sf_dir):
     """A classifier of the documents' languages, on a fifth of each language that it has not seen."""
     languages = F.array(*[F.lit(lang) for lang in ("de", "en", "es", "fr")])
     label = (F.array_position(languages, F.col("lang")) - 1).alias("label")
-    documents = R.table(spark, sf_dir, "documents").select("doc_id", "text", label)
+    documents = spread(R.table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "text", label)
     split = learn.stratified_split(documents, "doc_id")
     model = learn.train_classifier(split.where("split = 'train'"), reg_params=(0.001, 0.1), features=1 << 12, max_iter=10)
     metrics = learn.eval_metrics(model.transform(split.where("split = 'test'")))

@@ -185,3 +185,20 @@ def test_few_large_files_make_no_few_long_tasks(spark, monkeypatch):
     assert sorted(once.collect(), key=lambda r: r.id) == sorted(expected.collect(), key=lambda r: r.id)
     monkeypatch.setattr(E, "ROWS_PER_JOIN_TASK", 500)
     assert E.enrich_repeated(rows, places).rdd.getNumPartitions() == 2
+
+
+def test_a_row_group_cut_by_bytes_is_one_piece(spark, tmp_path):
+    """A scan may have as many pieces as wanted with all rows in one of them, as a row group goes to one piece whole."""
+    from siren.operators.lookup import spread
+
+    spark.range(20_000).selectExpr("id", "uuid() AS text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = spark.read.parquet(str(tmp_path / "t"))
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        parts = spread(rows, "id", rows_per_task=5000)
+        filled = parts.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert filled == spark.sparkContext.defaultParallelism and parts.distinct().count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)

@@ -82,3 +82,14 @@ def test_run_log_appends(spark, tmp_path):
         learn.run_log(spark, {"epochs": 3, "batch_size": 16}, metrics, str(tmp_path / "runs"), run)
     rows = spark.read.parquet(str(tmp_path / "runs")).orderBy("run_id").collect()
     assert [(r.run_id, r.params["epochs"], r.eval_f1) for r in rows] == [("a", "3", 1.0), ("b", "3", 1.0)]
+
+
+def test_training_reads_texts_once(spark, monkeypatch):
+    """All candidates are fitted on word counts made once; the model still starts at texts."""
+    cut = []
+    transform = learn.RegexTokenizer.transform
+    monkeypatch.setattr(learn.RegexTokenizer, "transform", lambda self, *args: cut.append(1) or transform(self, *args))
+    model = learn.train_classifier(labelled(spark), reg_params=(0.01, 0.1), features=1 << 10, max_iter=10)
+    assert len(cut) == 1
+    found = model.transform(labelled(spark))
+    assert found.where("prediction = label").count() == 72 and len(model.stages) == 4
