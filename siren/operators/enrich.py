@@ -158,25 +158,36 @@ def enrich(
 
 
 def enrich_repeated(df: DataFrame, gazetteer: DataFrame | Places | None = None, **options) -> DataFrame:
-    """The same as ``enrich``, where each different (content, bio, profile) is worked on once if reports repeat them.
+    """The same as ``enrich``, where each different (content, bio, profile) is worked on once if reports repeat them."""
+    places = None if gazetteer is None else prepare(gazetteer)
+    geocode = options.pop("geocode", True)
+
+    def few(texts: DataFrame) -> DataFrame:
+        if not geocode or places is None:
+            return enrich(texts, places, geocode=geocode, **options)
+        # Coordinates are looked up for the written texts, which are few however large the gazetteer is.
+        found = written(enrich(texts, places, geocode=False, **options), "enriched-texts")
+        return attach_coordinates(found.drop("lat", "lon"), places, rows_are_written=True)
+
+    return once_each(df, few, lambda rows: enrich(rows, places, geocode=geocode, **options))
+
 
-    Equal texts have equal answers. A sketch counts the different ones; if they are few and come often, they are enriched,
-    written, and joined to the reports where these are. Otherwise every report is enriched as it stands.
+def once_each(
+    df: DataFrame, work: Callable[[DataFrame], DataFrame], otherwise: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """The columns that ``work`` adds to reports, where it sees each different (content, bio, profile) once if these repeat.
+
+    Equal texts have equal answers. A sketch counts the different ones; if they are few and come often, they are worked on,
+    written, and joined to the reports where these are. Otherwise every report is worked on as it stands.
     """
-    places = None if gazetteer is None else prepare(gazetteer)
     rows = ensure_columns(df, TEXT_COLUMNS)
     seen = rows.withColumn("_piece", F.spark_partition_id()).agg(
         F.approx_count_distinct(F.xxhash64(*TEXT_COLUMNS), 0.02).alias("different"), F.count(F.lit(1)).alias("n"),
         F.approx_count_distinct("_piece").alias("pieces"),
     ).first()
     if seen["different"] > MAX_REPEATED or seen["n"] < MIN_COPIES * seen["different"]:
-        return enrich(df, places, **options)
-    # Coordinates are looked up for the written texts, which are few however large the gazetteer is.
-    geocode = options.pop("geocode", True)
-    texts = written(enrich(rows.select(*TEXT_COLUMNS).distinct(), places, geocode=False, **options), "enriched-texts")
-    if geocode and places is not None:
-        texts = attach_coordinates(texts.drop("lat", "lon"), places, rows_are_written=True)
-        texts = written(texts, "geocoded-texts")
+        return (otherwise or work)(df)
+    texts = written(work(rows.select(*TEXT_COLUMNS).distinct()), "texts-once")
     columns = [name for name in texts.columns if name not in TEXT_COLUMNS]
     rows = rows.select(*[name for name in rows.columns if name not in columns])
     wanted = -(-seen["n"] // ROWS_PER_JOIN_TASK)

@@ -784,12 +784,13 @@ def train_classifier(spark, sf_dir):
 @query
 def model_classify(spark, sf_dir):
     """A model taught by the rules gives the rules' categories."""
-    cleaned = E.preprocess(R.reports(spark, sf_dir))
-    labelled = E.rule_classify(cleaned).select(
-        F.col("clean_text").alias("text"), learn.label_id("category").alias("label")
+    reports = R.reports(spark, sf_dir)
+    labelled = E.once_each(reports, lambda texts: E.rule_classify(E.preprocess(texts))).select(
+        F.col("clean_text").alias("text"), learn.label_id("category").cast("double").alias("label")
     )
-    model = learn.build_pipeline(features=1 << 12, max_iter=50).fit(labelled.select("text", F.col("label").cast("double")))
-    return E.classify(cleaned, model=model).select("tweet_id", "category", "model_mode")
+    model = learn.fit_repeated(learn.build_pipeline(features=1 << 12, max_iter=50), labelled)
+    classified = E.once_each(reports, lambda texts: E.classify(E.preprocess(texts), model=model))
+    return classified.select("tweet_id", "category", "model_mode")
 
 
 @query

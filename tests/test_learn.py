@@ -84,6 +84,19 @@ def test_run_log_appends(spark, tmp_path):
     assert [(r.run_id, r.params["epochs"], r.eval_f1) for r in rows] == [("a", "3", 1.0), ("b", "3", 1.0)]
 
 
+def test_equal_rows_are_fitted_as_one(spark):
+    """Weighted rows give the model that all rows give, and each different text is worked on once."""
+    rows = labelled(spark).union(labelled(spark).where("label = 1")).withColumn("label", F.col("label").cast("double"))
+    pipeline = learn.build_pipeline(features=1 << 10, max_iter=50)
+    pipeline.getStages()[-1].setRegParam(0.01)
+    once, each = learn.fit_repeated(pipeline, rows), pipeline.fit(rows)
+    texts = [(text,) for texts in SENTENCES.values() for text in [*texts, "school bridge", "help open ruins"]]
+    df = spark.createDataFrame(texts, "text string")
+    for a, b in zip(once.transform(df).collect(), each.transform(df).collect(), strict=True):
+        assert a.prediction == b.prediction and list(a.probability) == pytest.approx(list(b.probability), abs=1e-5)
+        assert list(a.features) == pytest.approx(list(b.features))
+
+
 def test_training_reads_texts_once(spark, monkeypatch):
     """All candidates are fitted on word counts made once; the model still starts at texts."""
     cut = []
