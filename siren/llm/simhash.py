@@ -295,6 +295,20 @@ def around(prints: DataFrame, distance: int) -> DataFrame:
     return met.join(least, ["skip", "point"]).where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
 
 
+def _between(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of codes that still hold several components, with their components and how many they are."""
+    marked = entries.join(labels, F.col("fp") == F.col("node"), "left").select(
+        "code", "probe", "fp", F.coalesce("component", "fp").alias("component")
+    )
+    marked = written(marked, "marked")
+    open_codes = marked.groupBy("code").agg(
+        F.sum("probe").alias("probes"), F.sum(1 - F.col("probe")).alias("own"),
+        F.min("component").alias("_low"), F.max("component").alias("_high"),
+    )
+    open_codes = open_codes.where("_low != _high").select("code", "probes", "own")
+    return written(marked.join(open_codes, "code"), "open")
+
+
 def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED, most: int | None = None) -> DataFrame:
     """Links (a, b) of distinct fingerprints ``fp``: their components are those of all pairs within ``distance``.
 
@@ -314,16 +328,11 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED, m
     dense = written(dense, "dense")
     near = written(around(dense, distance - distance % 2), "near")
     labels = components(near)
-    marked = entries.join(labels, F.col("fp") == F.col("node"), "left").select(
-        "code", "probe", "fp", F.coalesce("component", "fp").alias("component")
-    )
-    marked = written(marked, "marked")
-    open_codes = marked.groupBy("code").agg(
-        F.sum("probe").alias("probes"), F.sum(1 - F.col("probe")).alias("own"),
-        F.min("component").alias("_low"), F.max("component").alias("_high"),
-    )
-    open_codes = open_codes.where("_low != _high").select("code", "probes", "own")
-    entries = written(marked.join(open_codes, "code"), "open")
+    if labels.isEmpty():
+        # No value is crowded: every fingerprint still stands for itself.
+        entries = entries.withColumn("component", F.col("fp"))
+    else:
+        entries = _between(entries.drop("probes", "own"), labels)
     most = len(masks(list(range(BITS - 1)), distance // 2)) * BITS if most is None else most
     much = F.col("probes") * F.col("own") > most * (F.col("probes") + F.col("own"))
     salts = F.ceil(F.col("probes") / SALT_ROWS).cast("long")

@@ -161,3 +161,15 @@ def test_rows_of_all_kinds(spark, monkeypatch):
     wanted = [(d, f"{naive(t):016x}", first.get(groups[naive(t)])) for d, t in docs]
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, wanted))
     assert S.fingerprint_classes(table.limit(0)).count() == 0
+
+
+def test_nothing_is_marked_where_no_value_is_crowded(spark, monkeypatch):
+    """Without crowded values every fingerprint stands for itself: no join of all entries to labels."""
+    names = []
+    real = S.written
+    monkeypatch.setattr(S, "written", lambda df, name: names.append(name) or real(df, name))
+    table = spark.createDataFrame([(value * 0x9E3779B97F4A7C15 % (1 << 62),) for value in range(1, 300)] + [(8,), (9,)], "fp long")
+    found = {(r.a, r.b) for r in S.links(table).collect()}
+    assert found == {(8, 9)} and "marked" not in names
+    S.links(table, crowded=0).collect()
+    assert "marked" in names
