@@ -296,7 +296,7 @@ def around(prints: DataFrame, distance: int) -> DataFrame:
 
 
 def _between(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """The entries of codes that still hold several components, with their components and how many they are."""
+    """The entries of crowded codes that still hold several components, with their components and how many they are."""
     marked = entries.join(labels, F.col("fp") == F.col("node"), "left").select(
         "code", "probe", "fp", F.coalesce("component", "fp").alias("component")
     )
@@ -324,15 +324,17 @@ def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED, m
     )
     met = met.where("_low != _high AND probes > 0 AND own > 0").select("code", "probes", "own")
     entries = written(entries.join(met, "code"), "met")
-    dense = entries.where(F.col("probes") * F.col("own") > crowded * (F.col("probes") + F.col("own"))).select("fp").distinct()
-    dense = written(dense, "dense")
+    is_crowded = F.col("probes") * F.col("own") > crowded * (F.col("probes") + F.col("own"))
+    dense = written(entries.where(is_crowded).select("fp").distinct(), "dense")
     near = written(around(dense, distance - distance % 2), "near")
     labels = components(near)
+    # Only crowded values need components, and only their entries are joined to them, however many others there are;
+    # under any other value a fingerprint stands for itself, and few are compared.
     if labels.isEmpty():
-        # No value is crowded: every fingerprint still stands for itself.
         entries = entries.withColumn("component", F.col("fp"))
     else:
-        entries = _between(entries.drop("probes", "own"), labels)
+        marked = _between(entries.where(is_crowded).drop("probes", "own"), labels)
+        entries = entries.where(~is_crowded).withColumn("component", F.col("fp")).unionByName(marked)
     most = len(masks(list(range(BITS - 1)), distance // 2)) * BITS if most is None else most
     much = F.col("probes") * F.col("own") > most * (F.col("probes") + F.col("own"))
     salts = F.ceil(F.col("probes") / SALT_ROWS).cast("long")

@@ -173,3 +173,23 @@ def test_nothing_is_marked_where_no_value_is_crowded(spark, monkeypatch):
     assert found == {(8, 9)} and "marked" not in names
     S.links(table, crowded=0).collect()
     assert "marked" in names
+
+
+def test_only_entries_of_crowded_values_are_marked(spark, monkeypatch):
+    """One crowded group does not take all other entries into the join to labels."""
+    rows = {}
+    real = S.written
+
+    def counted(df, name):
+        table = real(df, name)
+        rows[name] = table.count()
+        return table
+
+    monkeypatch.setattr(S, "written", counted)
+    draw = random.Random(12)
+    base = draw.getrandbits(64)
+    group = [base, *(base ^ (1 << b) for b in range(64))]
+    others = [p ^ flip for p in (draw.getrandbits(64) for _ in range(1000)) for flip in (0, 1 << draw.randrange(64))]
+    prints = sorted({*group, *others})
+    assert linked(spark, prints, crowded=16) == classes(prints)
+    assert 0 < rows["marked"] < rows["met"] / 4
