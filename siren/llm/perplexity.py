@@ -1,7 +1,7 @@
 """Quality rules: word, line and repetition counts, and perplexity bands under a Kneser-Ney model of each language.
 
 The model is over grams of five bytes as they are, so it grows with the corpus. Spark counts the grams of all different
-lines of whole texts: each task sums its own before the shuffle. From the counts Spark makes interpolated, modified
+lines of whole texts: each task sums its own before the shuffle, and only lines that several texts may share are moved. From the counts Spark makes interpolated, modified
 Kneser-Ney tables (three discounts in each order, lower orders by the number of different predecessors): one row for each
 gram and each context, sorted by their codes. Lookups are binary searches in sorted arrays.
 
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from siren.llm.arrays import Texts, Words, inside, padded, windows
 from siren.llm.rows import release, slices, written
@@ -41,6 +42,8 @@ MAX_MODEL_ROWS, BLOCK_BYTES = 4_000_000, 1 << 25
 WIDTH, LEAST_DEVIATION = (4.0, 12.0, 3.0), 0.02
 BIN = 0.002
 LOT = 4_000_000
+#: Bits of the table of lines that several texts hold (16 MB), and of a part of it; a full table only moves more lines.
+LINE_BITS, PART_BITS = 27, 17
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 BLANKS = "\t\n\x0b\x0c\r "
 RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -86,50 +89,98 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED_PERCENT * n_words)
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """Every line of the texts that pass the plain rules, once in each language: (lang, line). NULL languages are one of
-    their own.
+def _passing_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str | None, str]]]:
+    """(lang, line) of every line of the texts that pass the plain rules, once for each text, in lists of bounded size.
 
-    Texts that fail the plain rules are rejected anyway and do not count. A text's copies, or a passage that many texts
-    share, do not pass for fluent language, and how rows are dealt out has no part in it.
+    Texts that fail the plain rules are rejected anyway and do not count. NULL languages are one of their own.
     """
+    release()
+    for batch in batches:
+        for part in slices(batch, "text", LOT):
+            langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
+            rules = text_rules(texts)
+            failed = base_failed(rules["n_words"], rules["n_repeat_words"]).tolist()
+            yield [(x, line) for t, x, f in zip(texts, langs, failed, strict=True) if not f for line in set(t.split("\n"))]
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            for part in slices(batch, "text", LOT):
-                langs, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
-                rules = text_rules(texts)
-                failed = base_failed(rules["n_words"], rules["n_repeat_words"]).tolist()
-                found = {(x, line) for t, x, f in zip(texts, langs, failed, strict=True) if not f for line in t.split("\n")}
-                arrays = [pa.array([pair[k] for pair in found], pa.string()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(arrays, ["lang", "line"])
 
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lines, "lang string, line string").distinct()
+def _line_hashes(lines: list[tuple[str | None, str]]) -> np.ndarray:
+    return np.array([xxh64_intdigest(line, crc32((lang or "").encode())) for lang, line in lines], np.uint64).view(np.int64)
+
+
+def shared_marks(rows: DataFrame) -> np.ndarray:
+    """Bits that tell which lines more than one text holds, by the lines' hashes; a few others are marked by chance.
+
+    Only hashes are shuffled, and only a table of fixed size (16 MB) reaches the driver.
+    """
+    part_bits, cell_bits = PART_BITS, LINE_BITS
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines in _passing_lines(batches):
+            hashes, n = np.unique(_line_hashes(lines), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n)], ["hash", "n"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cells = np.sort(batch.column("cell").to_numpy())
+            for some in np.split(cells, np.flatnonzero(np.diff(cells >> part_bits)) + 1):
+                if len(some):
+                    bits = held.setdefault(int(some[0] >> part_bits), np.zeros(1 << part_bits - 3, np.uint8))
+                    some = some & ((1 << part_bits) - 1)
+                    np.bitwise_or.at(bits, some >> 3, (1 << (some & 7)).astype(np.uint8))
+        arrays = [pa.array(list(held), pa.int64()), pa.array([bits.tobytes() for bits in held.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["part", "bits"])
+
+    shared = rows.mapInArrow(hashed, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
+    cells = shared.select(F.col("hash").bitwiseAND((1 << cell_bits) - 1).alias("cell"))
+    cells = cells.repartition(F.shiftright("cell", part_bits))
+    out = np.zeros(1 << cell_bits - 3, np.uint8)
+    size = 1 << part_bits - 3
+    for row in cells.mapInArrow(packed, "part long, bits binary").collect():
+        out[row.part * size : (row.part + 1) * size] = np.frombuffer(bytes(row.bits), np.uint8)
+    return out
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """How often each gram occurs in the different lines of each language and fold: (model, gram, n)."""
+    """How often each gram occurs in the different lines of each language and fold: (model, gram, n).
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every line of the texts that pass the plain rules counts once in each language. A text's copies, or a passage that many
+    texts share, do not pass for fluent language, and how rows are dealt out has no part in it. Lines that only one text
+    holds are counted where they are; only those that ``shared_marks`` marks are moved, to be made one. ``docs`` is read
+    three times.
+    """
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    marks = docs.sparkSession.sparkContext.broadcast(shared_marks(rows))
+    mask = (1 << LINE_BITS) - 1
+
+    def chosen(batches: Iterator[pa.RecordBatch], shared: bool) -> Iterator[list[tuple[str | None, str]]]:
+        for lines in _passing_lines(batches):
+            cells = _line_hashes(lines) & mask
+            marked = (marks.value[cells >> 3] >> (cells & 7) & 1).astype(bool)
+            yield [lines[k] for k in np.flatnonzero(marked == shared).tolist()]
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines in chosen(batches, True):
+            found = set(lines)
+            arrays = [pa.array([pair[k] for pair in found], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "line"])
+
+    def counted(lots: Iterator[list[tuple[str | None, str]]]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        release()
 
         def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
             codes, index = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
             return codes, np.bincount(index, np.concatenate([n for _, n in parts])).astype(np.int64)
 
-        for batch in batches:
-            for part in slices(batch, "line", LOT):
-                lots: dict[str, list[str]] = {}
-                for lang, line in zip(part.column("lang").to_pylist(), part.column("line").to_pylist(), strict=True):
-                    lots.setdefault(model_name(lang, fold_of(line)), []).append(line)
-                for name, lines in lots.items():
-                    parts = held.setdefault(name, [])
-                    parts.append(np.unique(line_grams(lines)[0], return_counts=True))
-                    if len(parts) == 16:
-                        held[name] = [merged(parts)]
+        for some in lots:
+            of_model: dict[str, list[str]] = {}
+            for lang, line in some:
+                of_model.setdefault(model_name(lang, fold_of(line)), []).append(line)
+            for name, lines in of_model.items():
+                parts = held.setdefault(name, [])
+                parts.append(np.unique(line_grams(lines)[0], return_counts=True))
+                if len(parts) == 16:
+                    held[name] = [merged(parts)]
         for name, parts in held.items():
             codes, n = merged(parts)
             for k in range(0, len(codes), 1 << 16):
@@ -137,7 +188,16 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 arrays = [pa.array([name] * len(codes[some]), pa.string()), pa.array(codes[some]), pa.array(n[some])]
                 yield pa.RecordBatch.from_arrays(arrays, ["model", "gram", "n"])
 
-    counts = distinct_lines(docs).mapInArrow(counted, "model string, gram long, n long")
+    def made_one(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str | None, str]]]:
+        release()
+        for batch in batches:
+            for part in slices(batch, "line", LOT):
+                yield list(zip(part.column("lang").to_pylist(), part.column("line").to_pylist(), strict=True))
+
+    schema = "model string, gram long, n long"
+    alone = rows.mapInArrow(lambda batches: counted(chosen(batches, False)), schema)
+    shared = rows.mapInArrow(moved, "lang string, line string").distinct()
+    counts = alone.unionAll(shared.mapInArrow(lambda batches: counted(made_one(batches)), schema))
     return counts.groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 

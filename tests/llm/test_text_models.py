@@ -373,6 +373,26 @@ def test_lines_count_once_however_rows_are_dealt_out(spark):
         assert r.kept == found[1][k].kept and r.log_perplexity == pytest.approx(found[1][k].log_perplexity, abs=1e-9)
 
 
+def test_only_lines_of_several_texts_are_moved(spark, monkeypatch):
+    """Other lines are counted where they are; chance marks move more lines and change no count."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 7))) for _ in range(200)]
+    shared, *own = (" ".join(rng.choice(vocabulary, 60)) for _ in range(41))
+    docs = table(spark, [(k, f"{line}\n{shared}", ("en", None)[k % 2]) for k, line in enumerate(own)])
+    marks = np.flatnonzero(np.unpackbits(perplexity.shared_marks(docs.select("lang", "text")), bitorder="little"))
+    wanted = perplexity._line_hashes([("en", shared), (None, shared)]) & ((1 << perplexity.LINE_BITS) - 1)
+    assert marks.tolist() == sorted(wanted.tolist())
+
+    def counts():
+        return sorted(map(tuple, perplexity.count_grams(docs).collect()))
+
+    found = counts()
+    assert sum(n for _, _, n in found) == sum(map(len, own)) + 2 * len(shared)
+    monkeypatch.setattr(perplexity, "LINE_BITS", 5)
+    monkeypatch.setattr(perplexity, "PART_BITS", 3)
+    assert counts() == found
+
+
 def test_both_forms_of_the_agenda_agree():
     coder = piece_coder(MODEL)
     rng = np.random.default_rng(9)
