@@ -62,16 +62,23 @@ def prepare(
     max_trie: int = MAX_TRIE_NAMES,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> Places:
-    """Make a gazetteer ready. What it is derived from is read once: it is written, and only that table is read."""
+    """Make a gazetteer ready. What it is derived from is read once: one row per place is written, and only that table is read.
+
+    Most places are their own names, words with a space between; such names differ as the places do, so the table holds the
+    names too. Only where a place is written otherwise ("St. John's") are the names brought together in a table of their own.
+    """
     if isinstance(gazetteer, Places):
         return gazetteer
-    stored = written(gazetteer.select("place", "display", "lat", "lon"), "gazetteer")
-    inline = inline_places(stored, max_inline)
+    stored = written(_by_place(gazetteer), "places")
+    entries = stored.select("place", "display", "lat", "lon")
+    shown = F.coalesce("display", "shown").alias("display")
+    inline = inline_places(stored.select("place", shown), max_inline)
     if inline is not None:
-        return Places(distinct_places(stored), inline=inline)
-    names = written(place_names(stored).groupBy("name").agg(F.min("display").alias("display")), "place-names")
-    # What each batch of a stream looks up is aggregated and measured here, once.
-    entries = written(distinct_places(stored), "places")
+        return Places(entries, inline=inline)
+    names = stored.select(F.coalesce("name", "place").alias("name"), shown).where("name != ''")
+    if not stored.where("name != ''").isEmpty():
+        names = written(names.groupBy("name").agg(F.min("display").alias("display")), "place-names")
+    # What each batch of a stream looks up is measured here, once.
     entries_fit = fits(entries, max_broadcast_rows)
     context = stored.sparkSession.sparkContext
     if fits(names, min(max_trie, max_broadcast_rows)):
@@ -85,11 +92,23 @@ def prepare(
 
 def distinct_places(gazetteer: DataFrame) -> DataFrame:
     """One row per lower-case place name."""
+    return _by_place(gazetteer).select("place", "display", "lat", "lon")
+
+
+def _by_place(gazetteer: DataFrame) -> DataFrame:
+    """One row per lower-case place, with its name where that is not the place itself.
+
+    ``shown`` is the least display, which names take, where ``display`` is absent; both are mostly NULL, and take no room.
+    """
     entry = F.struct("display", "lat", "lon")
-    return (
-        gazetteer.groupBy(F.lower("place").alias("place"))
-        .agg(F.min(entry).alias("entry"))
-        .select("place", "entry.display", "entry.lat", "entry.lon")
+    grouped = gazetteer.groupBy(F.lower("place").alias("place")).agg(
+        F.min(entry).alias("entry"), F.min("display").alias("shown")
+    )
+    name = F.array_join(_words("place"), " ")
+    return grouped.select(
+        "place", "entry.display", "entry.lat", "entry.lon",
+        F.when(~name.eqNullSafe(F.col("place")), name).alias("name"),
+        F.when(F.col("entry.display").isNull(), F.col("shown")).alias("shown"),
     )
 
 

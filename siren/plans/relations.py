@@ -157,9 +157,12 @@ def wide_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landed_reports(spark: SparkSession, sf_dir: str, files: int = 6) -> str:
-    """The reports in several files, as a feed would land them."""
+    """The reports in several files, as a feed would land them.
+
+    Events are dealt to the files before they are made reports: what moves is short, and moves once.
+    """
     path = new_path(spark, "landed")
-    reports(spark, sf_dir).repartition(files, "tweet_id").write.parquet(path)
+    reports_of(table(spark, sf_dir, "events").repartition(files, "event_id")).write.parquet(path)
     return path
 
 

@@ -198,3 +198,30 @@ def test_what_a_gazetteer_is_made_of_is_read_once(spark):
         before = calls.value
         places = G.prepare(gazetteer.mapInArrow(counted, gazetteer.schema), **sizes)
         assert places.entries.count() and calls.value - before == n
+
+
+def test_names_that_are_places_are_kept_in_one_table(spark, monkeypatch):
+    """A gazetteer is moved and written once; only places written otherwise than their names ask for a second table."""
+    tables = []
+
+    def noted(df, name):
+        tables.append(name)
+        return written(df, name)
+
+    from siren.operators.lookup import written
+
+    monkeypatch.setattr(G, "written", noted)
+    columns = "place string, display string, lat double, lon double"
+    rows = [("Lima", "Lima", -12.0, -77.0), ("LIMA", None, 1.0, 2.0), ("New York", "b", 4.0, 3.0), ("!", "z", 0.0, 0.0), (None, "n", 0.0, 0.0)]
+    for sizes in ({"max_inline": 0}, {"max_inline": 0, "max_broadcast_rows": 0}):
+        tables.clear()
+        places = G.prepare(spark.createDataFrame(rows[:3], columns), **sizes)
+        assert tables == ["places"]
+        assert sorted(places.names.collect()) == [("lima", "Lima"), ("new york", "b")]
+        assert sorted(places.entries.collect()) == [("lima", None, 1.0, 2.0), ("new york", "b", 4.0, 3.0)]
+        tables.clear()
+        places = G.prepare(spark.createDataFrame([*rows, ("new - york", "a", 5.0, 6.0)], columns), **sizes)
+        assert tables == ["places", "place-names"]
+        assert sorted(places.names.collect()) == [("lima", "Lima"), ("new york", "a")]
+        assert places.entries.where("place = 'new york'").collect() == [("new york", "b", 4.0, 3.0)]
+    assert places.filters is not None
