@@ -842,9 +842,10 @@ def run_log(spark, sf_dir):
 
 
 def _stream_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reports as a stream of several files, two to a batch."""
+    """The reports as a stream of several files, a third of them to a batch: two of six."""
     path = R.landed_reports(spark, sf_dir)
-    return live.read_stream(spark, path, spark.read.parquet(path).schema, max_files=2)
+    landed = spark.read.parquet(path)
+    return live.read_stream(spark, path, landed.schema, max_files=max(2, -(-len(landed.inputFiles()) // 3)))
 
 
 def _enriched_stream(spark: SparkSession, sf_dir: str, places: DataFrame) -> str:

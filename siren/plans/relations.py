@@ -156,13 +156,19 @@ def wide_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gazetteer(spark).unionAll(others)
 
 
+#: Events beyond which there are more landed files, not longer ones.
+ROWS_PER_FILE = 250_000
+
+
 def landed_reports(spark: SparkSession, sf_dir: str, files: int = 6) -> str:
-    """The reports in several files, as a feed would land them.
+    """The reports in several files, as a feed would land them: ``files``, or more where these would be long.
 
     Events are dealt to the files before they are made reports: what moves is short, and moves once.
     """
     path = new_path(spark, "landed")
-    reports_of(table(spark, sf_dir, "events").repartition(files, "event_id")).write.parquet(path)
+    events = table(spark, sf_dir, "events")
+    files = max(files, -(-events.count() // ROWS_PER_FILE))
+    reports_of(events.repartition(files, "event_id")).write.parquet(path)
     return path
 
 

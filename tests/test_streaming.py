@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from siren.operators.enrich import enrich
 from siren.plans import relations as R
+from siren.plans.catalog import _stream_reports
 from siren.schemas import RAW
 from siren.streaming import live
 
@@ -85,5 +86,30 @@ def test_alerts(spark, tmp_path):
     assert sorted(r.tweet_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["t18", "t4"]
 
 
+def test_more_reports_are_landed_in_more_files_not_longer_ones(spark, tmp_path, monkeypatch):
+    """A batch is a third of the files, however many there are."""
+    sf_dir = "/root/testdata/sf0.001"
+    n = R.table(spark, sf_dir, "events").count()
+    assert len(spark.read.parquet(R.landed_reports(spark, sf_dir)).inputFiles()) == 6
+    monkeypatch.setattr(R, "ROWS_PER_FILE", -(-n // 24))
+    landed = spark.read.parquet(R.landed_reports(spark, sf_dir))
+    assert len(landed.inputFiles()) == 24 and landed.distinct().count() == n
+    batches = []
+    live._each_batch(
+        _stream_reports(spark, sf_dir), lambda batch, _: batches.append(batch.count()), str(tmp_path / "ck"), None
+    ).awaitTermination()
+    assert len(batches) == 3 and sum(batches) == n
+
+
+def test_pieces_a_little_long_are_not_moved(spark, monkeypatch):
+    """All rows of a batch are moved only if its pieces are more than twice as long as wanted."""
+    from siren.operators import enrich as E
+
+    rows = spark.range(0, 1000, numPartitions=2).selectExpr("id", "'Sun' AS content")
+    for wanted, pieces in ((400, 2), (250, 2), (200, 5)):
+        monkeypatch.setattr(E, "ROWS_PER_JOIN_TASK", wanted)
+        assert E.enrich_repeated(rows).rdd.getNumPartitions() == pieces
+
+
 def test_raw_schema_covers_the_csv_columns():
     assert RAW.names[0] == "date" and len(RAW.names) == 9
