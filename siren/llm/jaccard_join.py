@@ -44,7 +44,8 @@ SHARD_ENTRIES, HELD_ENTRIES = 1_000_000, 500_000
 SHORT_LIST = 2
 #: Cells of the table of frequencies that travel together.
 CHUNK = 4096
-SALTS = 32
+#: Classes of more documents than this, or 1/10,000 of all, are dealt over so many tasks.
+MANY_COPIES, SALTS = 1_000, 32
 #: Words of 64 bits of a set's bitmap, and cells of the table of wanted texts (8 MB as bits) and of its parts.
 BITMAP = [f"bits_{k}" for k in range(8)]
 WANTED_BITS, WANTED_PART_BITS = 26, 16
@@ -512,26 +513,26 @@ def similarity_classes(
     stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     labels = components(stars.unionAll(_links(rows, more, words, percent, "crossed")))
 
-    # Documents of a class, then classes of a component; both may hold a third of all rows.
-    shared = classes.where("rows > 1").select("gid", "set_hash", "n", F.col("uid").alias("_class"))
-    shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = profiles.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
-    classed = salted.join(shared, ["gid", "set_hash", "n", "_salt"], "left").select(
-        "uid", "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("_class", "uid").alias("_class")
-    )
-    of_class = classes.where("rows > 1").select("uid", "first_doc").unionAll(
-        classes.join(labels, F.col("uid") == F.col("node"), "left_semi").where("rows = 1").select("uid", "first_doc")
-    )
-    named = of_class.join(labels, F.col("uid") == F.col("node"), "left").select(
-        "uid", "first_doc", F.coalesce("component", "uid").alias("component")
-    )
-    named = written(named, "named")
-    first = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    ids = named.join(first, "component").select(F.col("uid").alias("_class"), "component", "component_id")
-    ids = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    classed = classed.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
-    return classed.join(ids, ["_class", "_salt"], "left").select(
-        "uid", "doc_id", "text_hash", "n_shingles",
+    # Classes of a component, then documents of a class; both may hold a third of all rows. A class that has no copies and
+    # no links stands for itself.
+    named = classes.join(labels, F.col("uid") == F.col("node"), "left").where("rows > 1 OR component IS NOT NULL")
+    named = written(named.select("gid", "set_hash", "n", "rows", "first_doc", "uid", "component"), "named")
+    first = named.where("component IS NOT NULL").groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    ids = named.join(first, "component", "left").select(
+        "gid", "set_hash", "n", "rows", F.coalesce("component", "uid").alias("component"),
+        F.when(F.col("component").isNull(), F.col("first_doc")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+    # Only classes of very many documents are dealt over tasks; repeating every class would make a table that Spark takes
+    # for as small as the classes' files, and broadcasts through the driver.
+    many = F.col("rows") > max(MANY_COPIES, profiles.count() // 10_000)
+    salts = F.when(many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    ids = ids.withColumn("_salt", F.explode(salts)).drop("rows")
+    dealt = classes.where(many).select("gid", "set_hash", "n", F.lit(SALTS).alias("_salts"))  # at most 10,000
+    salt = F.pmod(F.xxhash64("uid"), F.coalesce("_salts", F.lit(1))).cast("int")
+    salted = profiles.select("uid", "doc_id", "text_hash", "n", "gid", "set_hash")
+    salted = salted.join(F.broadcast(dealt), ["gid", "set_hash", "n"], "left").withColumn("_salt", salt)
+    return salted.join(ids.hint("merge"), ["gid", "set_hash", "n", "_salt"], "left").select(
+        "uid", "doc_id", "text_hash", F.col("n").alias("n_shingles"),
         F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("component", "uid").alias("component"),
     )

@@ -180,6 +180,29 @@ def test_lists_over_many_shards(spark, shard_entries):
     assert sorted(map(tuple, found.collect()), key=str) == brute_force(docs)
 
 
+def _nodes(plan):
+    """The nodes of a physical plan that ran, those of its stages too."""
+    yield plan
+    kind = plan.getClass().getSimpleName()
+    inner = "executedPlan" if kind == "AdaptiveSparkPlanExec" else "plan" if kind.endswith("QueryStageExec") else None
+    children = plan.children()
+    for child in [getattr(plan, inner)()] if inner else [children.apply(k) for k in range(children.size())]:
+        yield from _nodes(child)
+
+
+def test_only_classes_of_many_copies_are_repeated(spark, monkeypatch):
+    """A row for each class and task, of 300 classes, would be broadcast as if it were as small as the classes."""
+    monkeypatch.setattr(jaccard_join, "MANY_COPIES", 20, raising=False)
+    docs = [(k, " ".join(f"t{k % 300}w{j}" for j in range(9))) for k in range(600)]
+    docs += [(1000 + k, "one text that has very many copies of itself") for k in range(90)]
+    docs += [(2000, docs[5][1] + " end"), (None, docs[7][1]), (2001, "alone"), (2002, None)]
+    found = similarity_classes(table(spark, docs)).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, found.collect()), key=str) == brute_force(docs)
+    plan = found._jdf.queryExecution().executedPlan()
+    made = [n.metrics().apply("numOutputRows").value() for n in _nodes(plan) if n.nodeName() == "Generate"]
+    assert 300 < sum(made) < 400
+
+
 def test_texts_around_a_common_core_are_not_compared(spark, monkeypatch):
     """20,000 unlinked texts that share shingles: every list is one cell, which is ruled out against itself."""
     live = []
