@@ -318,6 +318,10 @@ def candidates(entries: np.ndarray, percent: int, shard: int, dealt: np.ndarray
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class ids whose whole sets are similar enough; texts are never broadcast."""
 
+    def sets_of(texts: dict[int, bytes]) -> dict[int, np.ndarray]:
+        hashes, counts = shingles(pa.array(list(texts.values()), pa.binary()).cast(pa.string()), words)
+        return dict(zip(texts, np.split(hashes, np.cumsum(counts)[:-1]), strict=True)) if texts else {}
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         unpacked = zstandard.ZstdDecompressor()
@@ -325,12 +329,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             blobs = dict(zip(a, batch.column("blob_a"), strict=True)) | dict(zip(b, batch.column("blob_b"), strict=True))
             sets: dict[int, np.ndarray] = {}
-            ids = list(blobs)
-            for k in range(0, len(ids), 512):
-                some = ids[k : k + 512]
-                texts = pa.array([unpacked.decompress(blobs[i].as_py()) for i in some], pa.binary()).cast(pa.string())
-                hashes, counts = shingles(texts, words)
-                sets.update(zip(some, np.split(hashes, np.cumsum(counts)[:-1]), strict=True))
+            some: dict[int, bytes] = {}
+            size = 0
+            for i, blob in blobs.items():
+                text = unpacked.decompress(blob.as_py())
+                if some and size + len(text) > LOT:
+                    sets.update(sets_of(some))
+                    some, size = {}, 0
+                some[i] = text
+                size += len(text)
+            sets.update(sets_of(some))
             keep = []
             for x, y in zip(a, b, strict=True):
                 one, other = sets[x], sets[y]
